@@ -59,7 +59,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     forget_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -59,7 +59,7 @@ def _blocks(path: str):
         apart = re.compile("|".join(map(re.escape, special))) if special else None
         task = TaskContext.get().partitionId() << 32
         made = 0
-        runs: dict[str, list[int]] = {}
+        runs: dict[str, int | tuple[int, ...]] = {}
         words: dict[str, int] = {}
         ids: list = []
         sizes: list[int] = []
@@ -70,7 +70,7 @@ def _blocks(path: str):
             nonlocal made, runs, words, ids, sizes, whole, starts, where, often
             at, n = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (where, often))
             packed = zlib.compress(at.astype(np.int32).tobytes(), 1), zlib.compress(n.astype(np.int32).tobytes(), 1)
-            row = [task + made], [ids], [sizes], [whole], [starts], [packed[0]], [packed[1]], [list(words)]
+            row = [task + made], [ids], [sizes], [whole], [starts], [packed[0]], [packed[1]], [zlib.compress("\n".join(words).encode(), 1)]
             made += 1
             runs, words, ids, sizes, whole, starts, where, often = {}, {}, [], [], [], [0], [], []
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
@@ -91,7 +91,11 @@ def _blocks(path: str):
                 for r, n in found.items():
                     known = runs.get(r)
                     if known is None:
-                        known = runs[r] = [words.setdefault(w, len(words)) for w, _ in cut(r)]
+                        known = tuple(words.setdefault(w, len(words)) for w, _ in cut(r))
+                        known = runs[r] = known[0] if len(known) == 1 else known
+                    if type(known) is int:
+                        mine[known] = mine.get(known, 0) + n
+                        continue
                     for w in known:
                         mine[w] = mine.get(w, 0) + n
                 at = np.fromiter(mine.keys(), np.int32, len(mine))
@@ -116,23 +120,56 @@ def _blocks(path: str):
 
 
 _LONGS = pa.list_(pa.int64())
-_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", _LONGS), ("n_bytes", _LONGS), ("whole", _LONGS), ("starts", _LONGS), ("at", pa.binary()), ("often", pa.binary()), ("words", pa.list_(pa.string()))])
-_BLOCK_DDL = "block bigint, doc_ids array<bigint>, n_bytes array<bigint>, whole array<bigint>, starts array<bigint>, at binary, often binary, words array<string>"
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", _LONGS), ("n_bytes", _LONGS), ("whole", _LONGS), ("starts", _LONGS), ("at", pa.binary()), ("often", pa.binary()), ("words", pa.binary())])
+_BLOCK_DDL = "block bigint, doc_ids array<bigint>, n_bytes array<bigint>, whole array<bigint>, starts array<bigint>, at binary, often binary, words binary"
+
+
+def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each pre-token of each block: the text in the library's byte characters, which hold no line feed, and its number."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            packed = zlib.decompress(batch.column(1)[i].as_py())
+            words = packed.decode().split("\n") if packed else []
+            for at in range(0, len(words), 10_000):
+                texts = pa.array(words[at : at + 10_000])
+                number = pa.array(np.arange(at, at + len(texts), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([texts, pa.array([batch.column(0)[i].as_py()] * len(texts), pa.int64()), number], names=["text", "block", "word"])
+
+
+#: Counts that a task holds before it packs them.
+_HELD = 400_000
 
 
 def _pieces(path: str):
-    """Over rows sorted by pre-token: the pieces of each distinct one, counted once."""
+    """Over rows sorted by pre-token: the pieces of each distinct one, counted once; packed by block as (gaps of the numbers, pieces)."""
+
+    def packed(blocks: np.ndarray, words: np.ndarray, pieces: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((words, blocks))
+        blocks, words, pieces = blocks[order], words[order], pieces[order]
+        cuts = np.flatnonzero(np.diff(blocks)) + 1
+        names, found = [], []
+        for a, b in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
+            gaps = np.diff(words[a:b], prepend=0).astype(np.int32)
+            names.append(int(blocks[a]))
+            found.append(zlib.compress(gaps.tobytes() + pieces[a:b].astype(np.int32).tobytes(), 1))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], names=["block", "counted"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = _tokenizer(path).model.tokenize
-        last, pieces = None, 0
+        last, pieces, held, n = None, 0, [], 0
         for batch in batches:
-            counts = []
-            for word in batch.column(0).to_pylist():
+            counts = np.empty(batch.num_rows, np.int32)
+            for i, word in enumerate(batch.column(0).to_pylist()):
                 if word != last:
                     last, pieces = word, len(cut(word))
-                counts.append(pieces)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(counts, pa.int32())], names=["block", "word", "pieces"])
+                counts[i] = pieces
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), counts))
+            n += batch.num_rows
+            if n >= _HELD:
+                yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
@@ -149,9 +186,9 @@ def _sums(limit: int):
                 begun = np.repeat(running[starts[:-1]], np.diff(starts))
                 words = running[1:] - begun
                 table = np.zeros(int(words.max()) + 1 if len(words) else 0, np.int64)
-                if counted.is_valid:
-                    pairs = counted.values
-                    table[pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
+                for part in counted.as_py() or ():
+                    moved, pieces = np.frombuffer(zlib.decompress(part), np.int32).reshape(2, -1)
+                    table[np.cumsum(moved)] = pieces
                 total = np.concatenate([[0], np.cumsum(table[words] * n)])
                 tokens = total[starts[1:]] - total[starts[:-1]] + whole.values.to_numpy()
                 yield pa.RecordBatch.from_arrays([ids.values, sizes.values, pa.array(tokens, pa.int64()), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -171,9 +208,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     An empty table gives an empty result.
     """
     blocks = staged(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_blocks(path), _BLOCK_DDL), "token-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("word", "text")).select("text", "block", "word")
-    counted = words.repartition("text").sortWithinPartitions("text").mapInArrow(_pieces(path), "block bigint, word int, pieces int")
-    # A block's dictionary is bounded by BLOCK_WORDS and one document.
-    by_block = counted.groupBy("block").agg(F.collect_list(F.struct("word", "pieces")).alias("counted")).withColumnRenamed("block", "of")
+    words = blocks.select("block", "words").mapInArrow(_dictionary, "text string, block bigint, word int")
+    counted = words.repartition("text").sortWithinPartitions("text").mapInArrow(_pieces(path), "block bigint, counted binary")
+    # A block's dictionary is bounded by BLOCK_WORDS and one document, and so is what is collected of it.
+    by_block = counted.groupBy("block").agg(F.collect_list("counted").alias("counted")).withColumnRenamed("block", "of")
     joined = blocks.drop("words").join(by_block, F.col("block") == F.col("of"), "left")
     return joined.select("doc_ids", "n_bytes", "whole", "starts", "at", "often", "counted").mapInArrow(_sums(limit), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
