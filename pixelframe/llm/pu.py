@@ -1,10 +1,11 @@
 """Quality classifier by positive-unlabelled learning.
 
 Known are trusted positives (texts labelled good) and unlabelled web text, a mixture of good and bad
-with an unknown share of good, the class prior. The prior is estimated first: a plain classifier of
-positives against unlabelled text gives the ratio of their densities, which is the inverse of the
-prior wherever there are good texts only, so the prior is the inverse of the ratio's median over positives that
-the classifier has not seen. Then a linear model is fitted that minimises the non-negative unbiased risk
+with an unknown share of good, the class prior. The prior is estimated first, by the best bin: a plain classifier of
+positives against unlabelled text ranks texts that it has not seen; of all thresholds, the one is taken at which
+the share of unlabelled texts above it, over that of positives, is least (with allowance for chance). Where only
+good texts score that high, this ratio is the prior. Then a linear model is fitted that minimises the non-negative
+unbiased risk
 
     prior * E_P[loss(f)] + max(0, E_U[loss(-f)] - prior * E_P[loss(-f)])
 
@@ -102,15 +103,20 @@ def _descend(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 200) -> float:
-    """Share of positives among the unlabelled, from every other row of each; at least 0.05, at most 0.99."""
-    p, u, seen = positive[::2], unlabelled[::2], positive[1::2] if len(positive) > 1 else positive
+    """Share of positives among the unlabelled; every other row of each is for the classifier, the rest for the bins."""
+    p, u = positive[::2], unlabelled[::2]
+    seen_p, seen_u = (x[1::2] if len(x) > 1 else x for x in (positive, unlabelled))
 
     def gradient(w: np.ndarray) -> np.ndarray:
         return -(p.T @ (1 - _sigmoid(p @ w))) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + 2e-3 * w
 
     w = _descend(gradient, p.shape[1], steps)
-    odds = np.exp(np.clip(seen @ w, -20, 20))
-    return float(np.clip(1 / np.median(odds), 0.05, 0.99))
+    sp, su = np.sort(seen_p @ w), np.sort(seen_u @ w)
+    above = np.arange(len(sp), 0, -1) / len(sp)
+    share = (len(su) - np.searchsorted(su, sp, side="left")) / len(su)
+    chance = sum(np.sqrt(np.log(40) / (2 * len(x))) for x in (sp, su))
+    best = int(np.argmin(share / above + 1.01 * chance / above))
+    return float(np.clip(share[best] / above[best], 0.05, 0.99))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 400, decay: float = 1e-3) -> Model:

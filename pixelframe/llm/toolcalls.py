@@ -119,35 +119,36 @@ def _moved(named: DataFrame, first: DataFrame) -> DataFrame | None:
     """Places of the linked calls and results, if any comes before what it waits for; None if all are in order.
 
     A round moves every row that is too early behind the last it waits for; rounds are as many as the longest chain of
-    rows that are out of order. A rank over the number of a conversation's rows tells a cycle.
+    rows that are out of order. A rank counts the moved rows before a row, so one over the number of a conversation's
+    moved rows tells a cycle.
     """
     sides = first.select("at_conv", "at_call", F.explode(F.array(F.struct(F.lit("call").alias("kind"), F.col("asked").alias("p")), F.struct(F.lit("result").alias("kind"), F.col("told").alias("p")))).alias("s")).where(F.col("s.p").isNotNull())
-    nodes = sides.select("at_conv", F.col("at_call").alias("node_call"), F.col("s.kind").alias("node_kind"), F.struct(F.col("s.p.turn").cast("bigint").alias("turn"), F.col("s.p.idx").alias("idx"), F.lit(0).alias("rank")).alias("at"))
+    start = F.struct(F.col("s.p.turn").cast("bigint").alias("turn"), F.col("s.p.idx").alias("idx"), F.lit(0).alias("rank"))
+    nodes = cut(sides.select("at_conv", F.col("at_call").alias("node_call"), F.col("s.kind").alias("node_kind"), start.alias("at"), F.lit(0).cast("bigint").alias("moved")))
     own = first.where(F.col("asked").isNotNull() & F.col("told").isNotNull()).select("at_conv", F.col("at_call").alias("src_call"), F.lit("call").alias("src_kind"), F.col("at_call").alias("dst_call"), F.lit("result").alias("dst_kind"))
     waits = named.where((F.col("kind") == "call") & F.col("after").isNotNull()).select(F.col("conv_id").alias("at_conv"), F.explode("after").alias("src_call"), F.col("call_id").alias("dst_call"))
     waits = waits.select("at_conv", "src_call", F.explode(F.array(F.lit("call"), F.lit("result"))).alias("src_kind"), "dst_call", F.lit("call").alias("dst_kind"))
     edges = cut(own.unionByName(waits).distinct())
-    nodes = cut(nodes)
-    moved = False
+    rounds = 0
     while True:
-        src = nodes.select(F.col("at_conv").alias("c1"), F.col("node_call").alias("n1"), F.col("node_kind").alias("k1"), F.col("at").alias("src_at"), *([F.col("size")] if moved else []))
+        src = nodes.select(F.col("at_conv").alias("c1"), F.col("node_call").alias("n1"), F.col("node_kind").alias("k1"), F.col("at").alias("src_at"), "moved")
         dst = nodes.select(F.col("at_conv").alias("c2"), F.col("node_call").alias("n2"), F.col("node_kind").alias("k2"), F.col("at").alias("dst_at"))
         early = edges.join(src, (F.col("at_conv") == F.col("c1")) & (F.col("src_call") == F.col("n1")) & (F.col("src_kind") == F.col("k1")))
-        early = early.join(dst, (F.col("at_conv") == F.col("c2")) & (F.col("dst_call") == F.col("n2")) & (F.col("dst_kind") == F.col("k2"))).where(F.col("dst_at") <= F.col("src_at"))
-        if moved:
-            early = early.where(F.col("src_at.rank") <= F.col("size"))
+        early = early.join(dst, (F.col("at_conv") == F.col("c2")) & (F.col("dst_call") == F.col("n2")) & (F.col("dst_kind") == F.col("k2")))
+        # In a cycle ranks grow until all of it is over the number of moved rows.
+        early = early.where((F.col("dst_at") <= F.col("src_at")) & (F.col("src_at.rank") <= 2 * F.col("moved")))
         if early.isEmpty():
             break
-        if not moved:
-            sizes = nodes.groupBy("at_conv").agg(F.count("*").cast("int").alias("size")).withColumnRenamed("at_conv", "sized")
-            nodes, moved = nodes.join(sizes, F.col("at_conv") == F.col("sized")).drop("sized"), True
+        rounds += 1
         behind = F.struct(F.col("src_at.turn").alias("turn"), F.col("src_at.idx").alias("idx"), (F.col("src_at.rank") + 1).alias("rank"))
         last = early.groupBy("c2", "n2", "k2").agg(F.max(behind).alias("behind"))
-        joined = nodes.join(last, (F.col("at_conv") == F.col("c2")) & (F.col("node_call") == F.col("n2")) & (F.col("node_kind") == F.col("k2")), "left")
-        nodes = cut(joined.select("at_conv", "node_call", "node_kind", F.greatest("at", F.coalesce("behind", "at")).alias("at"), "size"))
-    if not moved:
+        joined = nodes.drop("moved").join(last, (F.col("at_conv") == F.col("c2")) & (F.col("node_call") == F.col("n2")) & (F.col("node_kind") == F.col("k2")), "left")
+        nodes = cut(joined.select("at_conv", "node_call", "node_kind", F.greatest("at", F.coalesce("behind", "at")).alias("at")))
+        counts = nodes.where(F.col("at.rank") > 0).groupBy("at_conv").agg(F.count("*").alias("moved")).withColumnRenamed("at_conv", "counted")
+        nodes = nodes.join(counts, F.col("at_conv") == F.col("counted"), "left").drop("counted").withColumn("moved", F.coalesce("moved", F.lit(0).cast("bigint")))
+    if not rounds:
         return None
-    return nodes.select(F.col("at_conv").alias("m_conv"), F.col("node_call").alias("m_call"), F.col("node_kind").alias("m_kind"), "at", (F.col("at.rank") > F.col("size")).alias("cyclic"))
+    return nodes.select(F.col("at_conv").alias("m_conv"), F.col("node_call").alias("m_call"), F.col("node_kind").alias("m_kind"), "at", (F.col("at.rank") > F.col("moved")).alias("cyclic"))
 
 
 #: The schema of the query: each user turn is a call of ``reply``, the assistant turn after it the result.

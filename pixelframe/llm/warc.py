@@ -29,6 +29,9 @@ from .common import forget_on_exit, new_path, staged
 LEAST_REVISIT, ARCHIVE_BYTES, MOST_RECORD = 1000, 16 << 20, 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: Headers that every record has; characters that no header has.
+_NEEDED = ("warc-type", "warc-record-id", "warc-date")
+_CONTROL = re.compile(rb"[\x00-\x08\x0a-\x1f\x7f]")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -65,11 +68,11 @@ def read_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     headers: dict[str, str] = {}
     for line in data[version.end() : stop].split(b"\r\n"):
         name, colon, value = line.partition(b":")
-        if not colon:
-            raise Damaged("header without a colon")
+        if not colon or _CONTROL.search(line):
+            raise Damaged("a header is no header")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not headers.get("content-length", "").isdigit() or "warc-type" not in headers:
-        raise Damaged("no length or type")
+    if not headers.get("content-length", "").isdigit() or not all(headers.get(n) for n in _NEEDED):
+        raise Damaged("a header is missing")
     begin = stop + 4
     end = begin + int(headers["content-length"])
     if end + 4 > len(data):
@@ -78,8 +81,12 @@ def read_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("record does not end where it says")
     block = data[begin:end]
     named, _, digest = headers.get("warc-block-digest", "").partition(":")
-    if named.lower() == "sha1" and _bare(digest) != hashlib.sha1(block).hexdigest():
-        raise Damaged("block digest differs")
+    if named.lower() == "sha1":
+        if _bare(digest) != hashlib.sha1(block).hexdigest():
+            raise Damaged("block digest differs")
+    elif headers.get("warc-payload-digest", "").lower().startswith("sha1:") and headers["warc-type"] == "response":
+        if payload_of(headers, block)[2] != _bare(headers["warc-payload-digest"][5:]):
+            raise Damaged("payload digest differs")
     return headers, block, end + 4
 
 
@@ -115,7 +122,7 @@ def next_start(data: bytes, at: int) -> int:
     while True:
         found = _VERSION.search(data, plain)
         plain = found.start() if found else len(data)
-        if not found or ((plain == 0 or data[plain - 1] == 10) and re.match(rb"[A-Za-z][A-Za-z-]*:", data[found.end() : found.end() + 64])):
+        if not found or re.match(rb"[A-Za-z][A-Za-z-]*:", data[found.end() : found.end() + 64]):
             break
         plain += 1
     while True:
