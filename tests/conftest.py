@@ -5,9 +5,8 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
-SF = Path("/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
@@ -28,19 +27,9 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from support import SF
 
     con = duckdb.connect()
     for path in SF.glob("*.parquet"):
         con.execute(f"create view {path.stem} as select * from '{path}'")
     return con
-
-
-def same(got, con, sql):
-    """Rows of a DataFrame equal those of the SQL, whatever their order."""
-    want = con.sql(sql)
-    columns = sorted(want.columns)
-    assert columns == sorted(got.columns)
-    a = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr)
-    at = [want.columns.index(c) for c in columns]
-    b = sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
-    assert a == b
