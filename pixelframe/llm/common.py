@@ -69,11 +69,11 @@ def text_bytes(name: str = "text") -> Column:
     return F.col(name).cast("binary").alias(name)
 
 
-def columns_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
+def columns_of(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 1024) -> Iterator[tuple[list, ...]]:
     """The named columns of each batch as Python lists, in bounded slices."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            piece = batch.slice(at, 1024)
+        for at in range(0, batch.num_rows, rows):
+            piece = batch.slice(at, rows)
             yield tuple(piece.column(piece.schema.get_field_index(n)).to_pylist() for n in names)
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import WORD, columns_of
 
 #: First code point after each range, and the script of the range.
 SCRIPT_RANGES = (
@@ -47,6 +48,10 @@ _NAMES = sorted({name for _, name in SCRIPT_RANGES})
 _CODES = np.array([_NAMES.index(name) for _, name in SCRIPT_RANGES])
 
 
+#: Documents whose new words are encoded together.
+SLICE, SLICE_BYTES = 512, 2 << 20
+
+
 @dataclass(frozen=True)
 class Band:
     """What one vocabulary may measure: characters per token, byte share, entropy in bits."""
@@ -107,7 +112,7 @@ class Vocabulary:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.bytes = frozenset(i for i in range(model.get_piece_size()) if model.is_byte(i))
+            self.bytes = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
             self.encode = lambda words: model.encode(words, num_threads=1)
         else:
             import tiktoken
@@ -116,29 +121,45 @@ class Vocabulary:
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             model = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.bytes = frozenset(i for piece, i in ranks.items() if not _whole(piece))
+            self.bytes = np.zeros(max(ranks.values()) + 1, bool)
+            self.bytes[[i for piece, i in ranks.items() if not _whole(piece)]] = True
             self.encode = lambda words: [model.encode_ordinary(" " + w) for w in words]
 
-    def measure(self, words: Counter, n_chars: int) -> tuple[float, float, float]:
-        """Characters per token, byte share and entropy; zeros if there are no tokens."""
+    def learn(self, words: list[str]) -> None:
+        """Encodes the words that are not known, all at once; forgets the others first if they are too many."""
         known = self.known
+        if len(known) > self.remember:
+            known.clear()
         new = [w for w in words if w not in known]
         if new:
-            if len(known) > self.remember:
-                known.clear()
-                new = list(words)
             for word, ids in zip(new, self.encode(new), strict=True):
-                known[word] = ids
-        counts: dict[int, int] = {}
-        for word, n in words.items():
-            for i in known[word]:
-                counts[i] = counts.get(i, 0) + n
-        total = sum(counts.values())
-        if not total:
-            return 0.0, 0.0, 0.0
-        entropy = math.log2(total) - sum(n * math.log2(n) for n in counts.values()) / total
-        in_bytes = sum(counts[i] for i in counts.keys() & self.bytes) if len(counts) < len(self.bytes) else sum(n for i, n in counts.items() if i in self.bytes)
-        return n_chars / total, in_bytes / total, entropy
+                known[word] = array("I", ids).tobytes()
+
+    def measure(self, words: list[str], at: np.ndarray, doc: np.ndarray, n_chars: np.ndarray) -> np.ndarray:
+        """Characters per token, byte share and entropy, a row for each document; zeros where there are no tokens.
+
+        ``words`` are the distinct ones, ``at`` the place in them of each word of the documents, ``doc`` its document.
+        """
+        self.learn(words)
+        pieces = [self.known[w] for w in words]
+        flat = np.frombuffer(b"".join(pieces), np.uint32)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[at]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(starts[at] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+        doc = np.repeat(doc, each)
+        n = len(n_chars)
+        total = np.bincount(doc, minlength=n).astype(np.float64)
+        # Runs of the sorted pairs (document, id) are the documents' counts.
+        ordered = np.sort(doc.astype(np.uint64) << np.uint64(32) | ids)
+        last = np.flatnonzero(np.diff(ordered, append=np.uint64(1 << 63)))
+        counts = np.diff(last, prepend=-1).astype(np.float64)
+        weight = np.bincount((ordered[last] >> np.uint64(32)).astype(np.int64), counts * np.log2(counts), n)
+        some = np.maximum(total, 1)
+        entropy = np.maximum(0, np.log2(some) - weight / some)
+        found = np.stack([n_chars / some, np.bincount(doc, self.bytes[ids], n) / some, entropy], axis=1)
+        return np.where(total[:, None] > 0, found, 0)
 
 
 def _whole(piece: bytes) -> bool:
@@ -149,14 +170,14 @@ def _whole(piece: bytes) -> bool:
     return True
 
 
-_BLANK = re.compile(r"[\x20\x09-\x0D]+")
+_WORDS = re.compile(WORD).findall
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
 
 
 def base_measures(text: str) -> tuple[list[str], int, int, int, int]:
     """The words, their code points, the symbols, the repeated lines and the words in repeated 3-word windows."""
-    words = [w for w in _BLANK.split(text) if w]
+    words = _WORDS(text)
     chars = len(text) - sum(text.count(c) for c in _SPACES)
     symbols = sum(text.count(c) for c in _SYMBOLS)
     lines = [line for line in text.split("\n") if line.strip(_SPACES)]
@@ -202,28 +223,41 @@ def quality_rules(
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meters = {name: Vocabulary(path) for name, path in vocabularies.items()}
-        for ids, texts, langs in columns_of(batches, "doc_id", "text", "lang"):
+        for ids, texts, langs in _bounded(columns_of(batches, "doc_id", "text", "lang", rows=SLICE)):
+            decoded = [(raw or b"").decode("utf-8", "replace") for raw in texts]
+            bases = [base_measures(text) for text in decoded]
+            place: dict[str, int] = {}
+            at = np.fromiter((place.setdefault(w, len(place)) for base in bases for w in base[0]), np.int64)
+            doc = np.repeat(np.arange(len(bases)), [len(base[0]) for base in bases])
+            chars = np.array([len(text) for text in decoded], np.float64)
+            found = {name: meter.measure(list(place), at, doc, chars).tolist() for name, meter in meters.items()}
             rows = []
-            for doc_id, raw, lang in zip(ids, texts, langs, strict=True):
-                text = (raw or b"").decode("utf-8", "replace")
-                words, chars, symbols, same_lines, again = base_measures(text)
+            for i, (doc_id, text, lang, (words, n, symbols, same_lines, again)) in enumerate(zip(ids, decoded, langs, bases, strict=True)):
                 failed = len(words) < min_words or 100 * again > most_repeated_percent * len(words)
-                script, reason, first = script_of(text), "base" if failed else None, None
-                counts = Counter(words)
-                for name, meter in meters.items():
-                    found = meter.measure(counts, len(text))
-                    first = first or found
+                script, reason = script_of(text), "base" if failed else None
+                for name, measures in found.items():
                     by = bands[name]
                     band = by.get(lang) or by.get(script) or by["Other"]
-                    if reason is None and not band.holds(*found):
+                    if reason is None and not band.holds(*measures[i]):
                         reason = name
-                rows.append((doc_id, len(words), chars, symbols, same_lines, again, failed, reason is None, script, *first, reason))
+                rows.append((doc_id, len(words), n, symbols, same_lines, again, failed, reason is None, script, *next(iter(found.values()))[i], reason))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_FIELDS)
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"), lang).mapInArrow(measured, SCHEMA)
 
 
+def _bounded(slices: Iterator[tuple[list, ...]]) -> Iterator[tuple[list, ...]]:
+    """Slices cut further, so that one has about SLICE_BYTES of text or a single document."""
+    for ids, texts, langs in slices:
+        first, size = 0, 0
+        for i, raw in enumerate(texts):
+            size += len(raw or b"")
+            if size >= SLICE_BYTES or i + 1 == len(texts):
+                yield ids[first : i + 1], texts[first : i + 1], langs[first : i + 1]
+                first, size = i + 1, 0
+
+
 _FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
 _TYPES = [{"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in SCHEMA.split(", ")]
 
