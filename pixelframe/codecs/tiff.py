@@ -9,6 +9,7 @@ import numpy as np
 
 from ..errors import DecodeFailed
 from ..raster import Decoded, Raster, half_up, opaque, orient, with_alpha
+from . import ccitt
 from .bits import Reader, check_size, unpack_bits, unpack_packbits
 
 #: Bytes of each field type; what is read of it.
@@ -157,7 +158,13 @@ def _samples(d: Directory, width: int, height: int, depth: int, per: int, kind:
             raw = d.data[offsets[i] : offsets[i] + counts[i]]
             if reverse:
                 raw = np.packbits(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")).tobytes()
-            block = np.frombuffer(_expand(raw, compression, stride * rows), np.uint8).reshape(rows, stride)
+            if compression in (2, 3, 4):
+                if depth != 1 or here != 1:
+                    raise DecodeFailed("fax coding is for one bit")
+                plain = ccitt.decode(raw, tile_w, rows, compression, bool(d.one(292, 0) & 1))
+            else:
+                plain = _expand(raw, compression, stride * rows)
+            block = np.frombuffer(plain, np.uint8).reshape(rows, stride)
             if depth < 8:
                 values = unpack_bits(block, depth, tile_w * here)
             else:

@@ -77,3 +77,10 @@ def differences(pixels: DataFrame, along: str) -> DataFrame:
     other = "y" if along == "x" else "x"
     line = Window.partitionBy("image_id", other).orderBy(along)
     return pixels.withColumns({c: F.pmod(F.col(c) - F.coalesce(F.lag(c).over(line), F.lit(0)), F.lit(256)) for c in "rgba"})
+
+
+def running_sums(pixels: DataFrame, along: str) -> DataFrame:
+    """Undoes :func:`differences`: running sums modulo 256."""
+    other = "y" if along == "x" else "x"
+    line = Window.partitionBy("image_id", other).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+    return pixels.withColumns({c: F.pmod(F.sum(c).over(line), F.lit(256)) for c in "rgba"})

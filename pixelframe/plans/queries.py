@@ -14,6 +14,7 @@ from ..sources import images as sources
 from .convert import Settings, convert
 from .synth import SQL, light_pixels, table, text_pixels
 from .synth import images as synth_images
+from .synth import light_images
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -410,3 +411,38 @@ def q_anim_compose(spark: SparkSession, d: str) -> DataFrame:
     patches = raw.select("image_id", "frame", (F.col("turn") * 3 % 5 + F.floor(F.col("p") / 4)).cast("int").alias("y"), (F.col("turn") % 5 + F.col("p") % 4).cast("int").alias("x"), *(channel(k).alias(c) for k, c in enumerate("rgba")))
     out = animation.compose(frames, patches, 8, 8).withColumn("width", F.lit(8))
     return out.groupBy("image_id", "frame").agg(_checksum())
+
+
+# ---------------------------------------------------------------- light through files
+
+
+def _light_trip(name: str, fmt: str, bits: int) -> None:
+    """Scene light written and read: no sample is off by more than the format's mantissa, measured on the pixel's largest."""
+
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        pictures = light_images(table(spark, d, "embeddings"))
+        back = sources.decode(sources.encode(pictures, fmt), key="image_id").select("image_id", F.col("image").alias("back"))
+        both = pictures.join(back, "image_id").select("image_id", F.col("image.data").alias("a"), F.col("back.data").alias("b"))
+        return both.mapInArrow(sources.largest_error, "image_id bigint, error double").select("image_id", (F.col("error") <= 2.0**-bits).alias("within"))
+
+    _query(name, "SELECT vec_id AS image_id, TRUE AS within FROM embeddings", plain=True)(f)
+
+
+_light_trip("q_roundtrip_exr", "exr", 10)
+_light_trip("q_roundtrip_hdr_error", "hdr", 7)
+
+
+@_query("q_predictor2", ", q AS (SELECT image_id, width, height, y, x, " + ", ".join(f"(sum(d{c}) OVER w) % 256 AS {c}" for c in "rgba") + " FROM (SELECT *, " + ", ".join(f"(({c} - coalesce(lag({c}) OVER v, 0)) % 256 + 256) % 256 AS d{c}" for c in "rgba") + f" FROM pa WINDOW v AS (PARTITION BY image_id, y ORDER BY x)) WINDOW w AS (PARTITION BY image_id, y ORDER BY x)) SELECT image_id, {CHECK} FROM q GROUP BY image_id")
+def q_predictor2(spark: SparkSession, d: str) -> DataFrame:
+    """Differences along rows and their running sums: what TIFF's predictor undoes."""
+    return _checked(palette.running_sums(palette.differences(text_pixels(_docs(spark, d), alpha=True), "x"), "x"))
+
+
+@_query("q_convert_errors", "SELECT code, count(*) AS n_files FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'input/empty' WHEN 1 THEN 'input/unknown-format' WHEN 2 THEN 'decode/failed' ELSE 'ok' END AS code FROM documents WHERE octet_length(encode(text)) > 0) GROUP BY code", plain=True)
+def q_convert_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are empty, no image, cut off, or well: each is a row with its code."""
+    made = sources.encode(synth_images(_docs(spark, d)), "png")
+    k = F.pmod("image_id", F.lit(4))
+    content = F.when(k == 0, F.lit(b"")).when(k == 1, F.lit(b"no image at all")).when(k == 2, F.substring("content", 1, 60)).otherwise(F.col("content"))
+    out = convert(made.select("image_id", content.alias("content")), Settings(to="bmp"), key="image_id")
+    return out.groupBy(F.coalesce("error_code", F.lit("ok")).alias("code")).agg(F.count("*").alias("n_files"))

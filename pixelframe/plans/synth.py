@@ -77,3 +77,25 @@ def images(docs: DataFrame, alpha: bool = False, few: bool = False) -> DataFrame
 
     rows = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").alias("image_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"image_id bigint, image {IMAGE}")
+
+
+def light_images(embeddings: DataFrame) -> DataFrame:
+    """(image_id, image): the light of :func:`light_pixels` packed as float32."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ..raster import Raster
+    from ..sources.images import _IMAGE, IMAGE, packed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for row in batch.column(1):
+                v = np.abs(np.array(row.as_py(), np.float64)) * 8
+                data = np.stack([v, v / 2, v / 4, np.ones_like(v)], axis=1).astype("<f4").reshape(8, 8, 4)
+                made.append(packed(Raster(data)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, _IMAGE)], names=["image_id", "image"])
+
+    return embeddings.select(F.col("vec_id").alias("image_id"), "embedding").mapInArrow(run, f"image_id bigint, image {IMAGE}")

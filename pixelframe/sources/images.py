@@ -146,3 +146,13 @@ def write_files(converted: DataFrame, folder: str, path: str = "path") -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c.as_py()) for c in batch.column(1)], pa.int64())], names=["output_name", "n_bytes"])
 
     return named_outputs(converted.where("ok"), path).select("output_name", "content").mapInArrow(run, "output_name string, n_bytes bigint")
+
+
+def largest_error(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (image_id, a, b), packed light of one size: the largest difference of a sample, in parts of its pixel's largest."""
+    for batch in batches:
+        found = []
+        for a, b in zip(batch.column(1), batch.column(2), strict=True):
+            a, b = (np.frombuffer(x.as_py(), "<f4").reshape(-1, 4)[:, :3].astype(np.float64) for x in (a, b))
+            found.append(float((np.abs(a - b) / np.maximum(a.max(axis=1, keepdims=True), 1e-9)).max()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["image_id", "error"])

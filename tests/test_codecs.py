@@ -180,6 +180,68 @@ def test_tiff_kinds(mark):
     assert tiff.decode(tiff_of(bytes((255, 0, 0, 0)), cmyk, mark)).image.data[0, 0].tolist() == [0, 255, 255, 255]
 
 
+def fax(rows, group):
+    """Rows of bits in groups 2, 3 and 4, by the plain rules."""
+    from pixelframe.codecs import ccitt
+
+    def run(n, colour):
+        codes, out = (ccitt.WHITE, ccitt.BLACK)[colour], ""
+        while n >= 2560:
+            out, n = out + ccitt.LONG[-1], n - 2560
+        if n >= 1792:
+            out, n = out + ccitt.LONG[n // 64 - 28], n % 64
+        elif n >= 64:
+            out, n = out + codes[63 + n // 64], n % 64
+        return out + codes[n]
+
+    modes = {v: k for k, v in ccitt.MODES.items()}
+    above, bits = [0] * len(rows[0]), ""
+    for row in rows:
+        width = len(row)
+        change = lambda line, at, colour: next((i for i in range(max(at + 1, 0), width) if line[i] != (line[i - 1] if i else 0) and line[i] != colour), width)
+        end = lambda line, at: next((i for i in range(at + 1, width) if line[i] != line[i - 1]), width)
+        if group == 4:
+            at, colour = -1, 0
+            while at < width:
+                a1 = next((i for i in range(max(at, 0), width) if row[i] != colour), width)
+                b1 = change(above, at, colour)
+                b2 = end(above, b1)
+                if b2 < a1:
+                    bits, at = bits + modes["pass"], b2
+                elif abs(a1 - b1) <= 3:
+                    bits, at, colour = bits + modes[a1 - b1], a1, colour ^ 1
+                else:
+                    a2 = end(row, a1)
+                    bits, at = bits + modes["across"] + run(a1 - max(at, 0), colour) + run(a2 - a1, colour ^ 1), a2
+        else:
+            bits += "000000000001" if group == 3 else ""
+            at, colour = 0, 0
+            while at < width:
+                stop = next((i for i in range(at, width) if row[i] != colour), width)
+                bits, at, colour = bits + run(stop - at, colour), stop, colour ^ 1
+            bits += "0" * (-len(bits) % 8) if group == 2 else ""
+        above = row
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+@pytest.mark.parametrize("group", [2, 3, 4])
+def test_fax(group):
+    r = random.Random(group)
+    for width in (1, 9, 64, 700, 2700):
+        rows, now = [], [0] * width
+        for _ in range(12):
+            now = list(now)
+            for _ in range(r.randrange(4)):
+                a = r.randrange(width)
+                b = min(width, a + r.choice([1, 2, 5, 40, 2000]))
+                now[a:b] = [r.randrange(2)] * (b - a)
+            rows.append(now)
+        fields = {256: (4, [width]), 257: (4, [12]), 258: (3, [1]), 259: (3, [group]), 262: (3, [0])}
+        got = tiff.decode(tiff_of(fax(rows, group), fields)).image.data[..., 0]
+        assert np.array_equal(got == 0, np.array(rows) == 1)
+
+
 def test_psd_and_dds():
     head = b"8BPS" + struct.pack(">H6xHIIHH", 1, 3, 1, 2, 8, 3) + bytes(12)
     assert psd.decode(head + struct.pack(">H", 0) + bytes((1, 2, 3, 4, 5, 6))).data[0, :, :3].tolist() == [[1, 3, 5], [2, 4, 6]]
