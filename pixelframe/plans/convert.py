@@ -21,6 +21,7 @@ from ..functions import detect
 from ..functions import exif as exif_of
 from ..raster import Decoded, Frame, Raster, fit_longest_side, flatten, resize, to_colour_space, tone_map, with_alpha
 from ..registry import Options, Registry, default_registry
+from ..sources.images import in_pieces
 
 MOST_PIXELS = 80_000_000
 REPORT = (
@@ -111,18 +112,18 @@ def convert(files: DataFrame, settings: Settings | None = None, registry: Regist
     seen = seen.withColumn("refused", refused).select("key", F.when(F.col("refused").isNull(), F.col("content")).alias("content"), "refused")
     key_type = files.schema[key].dataType.simpleString()
 
+    def one(data: bytes | None, code: str | None) -> tuple:
+        if code is not None:
+            return False, None, None, None, code, None, None
+        try:
+            made, report = convert_bytes(data, settings, registry)
+            return True, made, target.mime, target.extension, None, None, report
+        except ImageError as e:
+            return False, None, None, None, e.code, str(e), None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row: dict = {"ok": False, "content": None, "mime": None, "extension": None, "error_code": batch.column(2)[i].as_py(), "error_message": None, "report": None}
-                if row["error_code"] is None:
-                    try:
-                        made, report = convert_bytes(batch.column(1)[i].as_py(), settings, registry)
-                        row |= {"ok": True, "content": made, "mime": target.mime, "extension": target.extension, "report": report}
-                    except ImageError as e:
-                        row |= {"error_code": e.code, "error_message": str(e)}
-                arrays = [batch.column(0).slice(i, 1)] + [pa.array([row[n]], t) for n, t in _OUT]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", *(n for n, _ in _OUT)])
+            yield from in_pieces(batch, lambda i, batch=batch: one(batch.column(1)[i].as_py(), batch.column(2)[i].as_py()), _OUT, lambda r: len(r[1] or b""))
 
     out = seen.mapInArrow(run, f"key {key_type}, ok boolean, content binary, mime string, extension string, error_code string, error_message string, report struct<{REPORT.replace(' ', ':').replace(',:', ',')}>")
     return out.withColumnRenamed("key", key)
