@@ -256,7 +256,73 @@ def _from_float(v: np.ndarray, colours: int, associated: int) -> Raster:
     return Raster(out, "srgb", bool(associated) and bool((out[..., 3] < 1).any()))
 
 
-def encode(image: Raster, alpha: bool | None = None, icc: bytes | None = None) -> bytes:
+#: Tags of the first directory that are carried, pointers to the directories below it, and tags that are left out there.
+CARRIED = (270, 271, 272, 305, 306, 315, 33432)
+_BELOW, _LEFT_OUT = (34665, 34853), (37500, 40965)
+#: Field: tag, type, and values or little-endian bytes.
+Field = tuple[int, int, list[int] | bytes]
+
+
+def _body(field: Field) -> bytes:
+    return field[2] if isinstance(field[2], bytes) else struct.pack(f"<{len(field[2])}{_CODES[field[1]]}", *field[2])
+
+
+def _room(fields: list[Field]) -> int:
+    """Bytes of a directory and of the values that do not fit into it."""
+    return 6 + 12 * len(fields) + sum(n + n % 2 for f in fields if (n := len(_body(f))) > 4)
+
+
+def _directory(fields: list[Field], at: int) -> bytes:
+    """A directory that stands at ``at``, its long values behind it."""
+    head, tail = bytearray(struct.pack("<H", len(fields))), bytearray()
+    for field in sorted(fields, key=lambda f: f[0]):
+        body = _body(field)
+        head += struct.pack("<HHI", field[0], field[1], len(body) // _SIZES[field[1]])
+        if len(body) > 4:
+            head += struct.pack("<I", at + 6 + 12 * len(fields) + len(tail))
+            tail += body + bytes(len(body) % 2)
+        else:
+            head += body.ljust(4, b"\0")
+    return bytes(head) + bytes(4) + bytes(tail)
+
+
+def _little(d: Directory, tag: int) -> Field | None:
+    """A field of a directory in little-endian order; None if it is damaged or of an unknown type."""
+    kind, _, _ = d.fields[tag]
+    try:
+        raw = d.raw(tag)
+    except DecodeFailed:
+        return None
+    unit = {3: 2, 8: 2, 4: 4, 9: 4, 11: 4, 5: 4, 10: 4, 12: 8}.get(kind, 1)
+    if kind not in _SIZES or not raw:
+        return None
+    if unit > 1 and d.mark == ">":
+        raw = np.frombuffer(raw, f">u{unit}").astype(f"<u{unit}").tobytes()
+    return tag, kind, raw
+
+
+def carried_exif(payload: bytes) -> tuple[list[Field], dict[int, list[Field]]]:
+    """What of an EXIF payload goes into a TIFF: fields of the first directory, and the directories below by their pointers."""
+    try:
+        mark, found = directories(payload)
+    except (DecodeFailed, struct.error):
+        return [], {}
+    if not found:
+        return [], {}
+    top = [f for t in CARRIED if t in found[0].fields and (f := _little(found[0], t))]
+    below = {}
+    for pointer in _BELOW:
+        try:
+            d = Directory(payload, found[0].one(pointer, 0), mark) if pointer in found[0].fields else None
+        except (DecodeFailed, struct.error):
+            continue
+        fields = [f for t in d.fields if t not in _LEFT_OUT and (f := _little(d, t))] if d else []
+        if fields:
+            below[pointer] = fields
+    return top, below
+
+
+def encode(image: Raster, alpha: bool | None = None, icc: bytes | None = None, exif: bytes | None = None) -> bytes:
     """Little-endian strips of about 64 KiB, deflated with the horizontal predictor."""
     deep = image.has_alpha if alpha is None else alpha
     per = 4 if deep else 3
@@ -265,36 +331,27 @@ def encode(image: Raster, alpha: bool | None = None, icc: bytes | None = None) -
     moved[:, 1:] -= pixels[:, :-1]
     lines = max(1, min(image.height, 65536 // (image.width * per)))
     strips = [zlib.compress(moved[y : y + lines].tobytes(), 6) for y in range(0, image.height, lines)]
-    fields: list[tuple[int, int, list[int] | bytes]] = [
-        (256, 4, [image.width]), (257, 4, [image.height]), (258, 3, [8] * per), (259, 3, [8]), (262, 3, [2]), (273, 4, [0] * len(strips)),
-        (274, 3, [1]), (277, 3, [per]), (278, 4, [lines]), (279, 4, [len(s) for s in strips]), (284, 3, [1]), (317, 3, [2]),
-    ]
-    if deep:
-        fields.append((338, 3, [2]))
-    if icc:
-        fields.append((34675, 7, icc))
-    start = 8 + 2 + 12 * len(fields) + 4
-    spare = sum(n + n % 2 for f in fields if (n := _size(f)) > 4)
-    at = start + spare
-    offsets = []
-    for s in strips:
+    top, below = carried_exif(exif) if exif else ([], {})
+
+    def fields(offsets: list[int], places: dict[int, int]) -> list[Field]:
+        out: list[Field] = [
+            (256, 4, [image.width]), (257, 4, [image.height]), (258, 3, [8] * per), (259, 3, [8]), (262, 3, [2]), (273, 4, offsets),
+            (274, 3, [1]), (277, 3, [per]), (278, 4, [lines]), (279, 4, [len(x) for x in strips]), (284, 3, [1]), (317, 3, [2]),
+        ]
+        out += [(338, 3, [2])] if deep else []
+        out += [(34675, 7, icc)] if icc else []
+        return out + top + [(pointer, 4, [at]) for pointer, at in places.items()]
+
+    at, places, offsets = 8 + _room(fields([0] * len(strips), dict.fromkeys(below, 0))), {}, []
+    for pointer, own in below.items():
+        places[pointer] = at
+        at += _room(own)
+    for strip in strips:
         offsets.append(at)
-        at += len(s) + len(s) % 2
-    fields[5] = (273, 4, offsets)
-    head, tail = bytearray(b"II" + struct.pack("<HIH", 42, 8, len(fields))), bytearray()
-    for tag, kind, value in fields:
-        body = value if isinstance(value, bytes) else struct.pack(f"<{len(value)}{_CODES[kind]}", *value)
-        head += struct.pack("<HHI", tag, kind, len(value))
-        if len(body) > 4:
-            head += struct.pack("<I", start + len(tail))
-            tail += body + bytes(len(body) % 2)
-        else:
-            head += body.ljust(4, b"\0")
-    return bytes(head) + bytes(4) + bytes(tail) + b"".join(s + bytes(len(s) % 2) for s in strips)
-
-
-def _size(field: tuple) -> int:
-    return len(field[2]) if isinstance(field[2], bytes) else len(field[2]) * _SIZES[field[1]]
+        at += len(strip) + len(strip) % 2
+    out = b"II" + struct.pack("<HI", 42, 8) + _directory(fields(offsets, places), 8)
+    out += b"".join(_directory(own, places[pointer]) for pointer, own in below.items())
+    return out + b"".join(x + bytes(len(x) % 2) for x in strips)
 
 
-__all__ = ["Directory", "Reader", "decode", "directories", "encode", "page_of"]
+__all__ = ["Directory", "Reader", "carried_exif", "decode", "directories", "encode", "page_of"]

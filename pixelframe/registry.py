@@ -146,7 +146,7 @@ def default_registry() -> Registry:
         "tga": lambda p, o: tga.encode(p.image),
         "pnm": lambda p, o: pnm.encode(p.image),
         "farbfeld": lambda p, o: farbfeld.encode(p.image),
-        "tiff": lambda p, o: tiff.encode(p.image, icc=o.icc),
+        "tiff": lambda p, o: tiff.encode(p.image, icc=o.icc, exif=o.exif),
         "pcx": lambda p, o: pcx.encode(flatten(p.image, o.background)),
         "ras": lambda p, o: ras.encode(p.image),
         "xbm": lambda p, o: xbm.encode(p.image, o.name),

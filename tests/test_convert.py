@@ -131,6 +131,17 @@ def test_exif_and_profiles():
     assert exif.payload_of(data, "png") == payload
     _, report = convert_bytes(data, Settings(to="png", metadata="preserve"), default_registry())
     assert report["had_exif"] and report["exif_kept"]
+    for mark in "<>":
+        exif_at = 8 + 2 + 24 + 4
+        own = struct.pack(mark + "H", 2) + struct.pack(mark + "HHII", 0x829A, 5, 1, exif_at + 30) + struct.pack(mark + "HHII", 0x927C, 7, 4, 0) + bytes(4) + struct.pack(mark + "II", 1, 250)
+        top = struct.pack(mark + "H", 2) + struct.pack(mark + "HHI", 0x0110, 2, 3) + b"Cam\0" + struct.pack(mark + "HHII", 0x8769, 4, 1, exif_at) + bytes(4)
+        shot = (b"II*\0" if mark == "<" else b"MM\0*") + struct.pack(mark + "I", 8) + top + own
+        made = tiff.encode(square(), exif=shot)
+        assert np.array_equal(tiff.decode(made).image.data, square().data)
+        kept = exif.summary(made)
+        assert kept.camera_model == "Cam"
+        below = tiff.Directory(made, tiff.page_of(made).one(0x8769, 0), "<")
+        assert below.values(0x829A) == [1 / 250] and 0x927C not in below.fields
     icc = bytes(128) + struct.pack(">I", 3) + b"".join(struct.pack(">4sII", t, 168 + 20 * i, 20) for i, t in enumerate((b"rXYZ", b"gXYZ", b"bXYZ")))
     icc += b"".join(bytes(8) + struct.pack(">3i", *(int(v * 65536) for v in xyz)) for xyz in ((0.5151, 0.2412, -0.001), (0.292, 0.6922, 0.0419), (0.1571, 0.0666, 0.7841)))
     assert exif.is_wide_gamut(icc) and not exif.is_wide_gamut(icc[:150])
