@@ -9,7 +9,7 @@ WIDTH, HEIGHT = 16, 12
 
 
 def _byte(head: str, n: str, at: Column) -> Column:
-    return F.conv(F.substring(F.col(head), (2 * F.pmod(at, F.col(n)) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    return F.conv(F.hex(F.substring(F.col(head), (F.pmod(at, F.col(n)) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
 
 
 def text_pixels(docs: DataFrame, alpha: bool = False, few: bool = False) -> DataFrame:
@@ -19,7 +19,9 @@ def text_pixels(docs: DataFrame, alpha: bool = False, few: bool = False) -> Data
     """
     size = WIDTH * HEIGHT
     # 7p stays below 1344, so that many bytes of a text are enough, whatever its length.
-    texts = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").alias("image_id"), F.hex(F.substring(F.col("text").cast("binary"), 1, 7 * size)).alias("head"), F.octet_length("text").alias("n"))
+    texts = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").alias("image_id"), F.substring(F.col("text").cast("binary"), 1, 7 * size).alias("head"), F.octet_length("text").alias("n"))
+    # Dealt by image while an image is one short row: the pixels are made where what groups them by image needs them.
+    texts = texts.repartition("image_id")
     p = texts.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     channel = lambda k: (_byte("head", "n", 3 * F.col("p") + k).bitwiseAND(F.lit(0xC0 if few else 0xFF)))
     a = 255 - _byte("head", "n", 7 * F.col("p")).bitwiseAND(F.lit(0xC0)) if alpha else F.lit(255)
@@ -75,7 +77,9 @@ def images(docs: DataFrame, alpha: bool = False, few: bool = False) -> DataFrame
                 made.append(packed(Raster(data.reshape(HEIGHT, WIDTH, 4), "srgb", bool((data[:, 3] != 255).any()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, _IMAGE)], names=["image_id", "image"])
 
-    rows = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").alias("image_id"), F.col("text").cast("binary").alias("text"))
+    # Places in the text stay below 1344, so that no more of a longer one is needed.
+    head = F.substring(F.col("text").cast("binary"), 1, 7 * WIDTH * HEIGHT)
+    rows = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").alias("image_id"), head.alias("text")).repartition("image_id")
     return rows.mapInArrow(run, f"image_id bigint, image {IMAGE}")
 
 
