@@ -13,6 +13,8 @@ many there are; the documents are never shuffled.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,12 +28,16 @@ from .common import columns_of, text_bytes, whole_row
 #: Words of a seed, share of an item that tiles must cover, bytes of test items that go to all tasks at once.
 SEED_WORDS, COVERED, ITEM_BYTES = 5, 0.6, 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Lower-cases A-Z and makes ASCII punctuation and white space blanks.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+#: Letters and digits of any script; all else parts words.
+_WORDS = re.compile(r"[^\W_]+")
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
-    return raw.translate(_FOLD).split() if raw else []
+    """Words of UTF-8 text with case folded by Unicode (so that ``STRASSE`` is ``straße``), composed accents, in order."""
+    if not raw:
+        return []
+    text = raw.decode("utf-8", "replace").casefold()
+    return " ".join(_WORDS.findall(unicodedata.normalize("NFC", text))).encode().split()
 
 
 def running(ids: np.ndarray, size: int) -> np.ndarray:

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -101,6 +102,29 @@ def test_empty_tables(spark, docs_of):
     assert g.decontaminated(docs_of(ODD), items_of(spark, [])).count() == len(ODD)
 
 
+FOREIGN = "Der Hörer übte größere Straßenübungen, während «l’été» à la fenêtre très éloignée déjà s’achève – où él cantó mañana"
+
+
+@pytest.mark.parametrize("text", [FOREIGN.upper(), FOREIGN.title(), unicodedata.normalize("NFD", FOREIGN), FOREIGN.replace(" ", " “").replace(",", "”…")], ids=["upper", "title", "decomposed", "quoted"])
+def test_case_accents_and_punctuation_beyond_ascii(spark, docs_of, text):
+    items, rows = items_of(spark, [(1, FOREIGN)]), [(7, f"Vorher steht etwas. {text} – nachher auch", "a"), (8, "größere Übungen", "a")]
+    assert [(r.doc_id, r.item_id, r.coverage) for r in g.find_leaks(docs_of(rows), items).collect()] == [(7, 1, 1.0)]
+    assert [r.doc_id for r in g.decontaminated(docs_of(rows), items).collect()] == [8]
+
+
+def folded(text):
+    """Words by a walk over the characters, apart from the operator's own way."""
+    out = "".join(c if c.isalnum() else " " for c in unicodedata.normalize("NFC", text.casefold()))
+    return f" {' '.join(out.split())} "
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_query_finds_every_passage_of_an_independent_fold(spark):
+    docs, items = ({r[0]: folded(r.text) for r in spark.read.parquet(str(SF / f"{t}.parquet")).select(k, "text").collect()} for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    got = {(r.doc_id, r.item_id) for r in op6_decontamination(spark, str(SF)).collect()}
+    assert {(d, i) for d, t in docs.items() for i, p in items.items() if p in t} <= got
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
 def test_query_finds_every_whole_passage(spark):
     docs = {r.doc_id: b" " + b" ".join(g.words_of(r.text.encode())) + b" " for r in spark.read.parquet(str(SF / "documents.parquet")).collect()}
