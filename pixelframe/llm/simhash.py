@@ -14,13 +14,16 @@ is lost, and the work is linear in the fingerprints.
 equal segments are left that could serve as a key. There the ring is made of cells: the document's
 shingles are dealt by hash into cells of a few shingles each, and a cell's signature changes only with
 its own shingles. Documents that share a cell are candidates; the pigeonring test runs over 16-bit
-segments of their 256-bit fingerprints, and those that pass take the full Hamming test.
+segments of their 256-bit fingerprints, and those that pass take the full Hamming test. Short documents
+have too few shingles for cells or fingerprints to tell: theirs are compared as sets, with a prefix filter.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -205,6 +208,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, dense:
 # ---------------------------------------------------------------- given similarity
 
 WIDE, CELLS, PER_CELL, LEAST_CELL = 4, 24, 4, 3
+#: Documents of at most so many distinct shingles are compared by their shingles too, exactly.
+SHORT, _TINY = 80, 1e-9
 #: A cell with at most so many documents has all its pairs tested; in a larger one each is tested against its hub.
 SMALL = 32
 
@@ -264,14 +269,16 @@ def pigeonring(differ: np.ndarray, distance: int) -> np.ndarray:
 def _described(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, keys, texts in columns_of(batches, "doc_id", "text_key", "text"):
-            wholes, prints, cells = [], [], []
+            wholes, prints, cells, few = [], [], [], []
             for raw in texts:
                 hashes = hashes_of(shingles_of(raw, shingle))
                 wholes.append(xxhash.xxh3_128_digest(b" ".join((raw or b"").lower().split())))
                 prints.append(fingerprint_of(wide_hashes(hashes)).tobytes())
-                cells.append(cell_signatures(np.unique(hashes)))
-            arrays = [pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(wholes, pa.binary()), pa.array(prints, pa.binary()), pa.array(cells, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "fp", "cells"])
+                distinct = np.unique(hashes)
+                cells.append(cell_signatures(distinct))
+                few.append(distinct.view(np.int64).tolist() if 0 < len(distinct) <= SHORT else None)
+            arrays = [pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(wholes, pa.binary()), pa.array(prints, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "fp", "cells", "few"])
 
     return run
 
@@ -309,6 +316,99 @@ def candidates(cells: DataFrame) -> DataFrame:
     return pairs.unionByName(spokes).distinct()
 
 
+def _by_key(links_of):
+    """Streams rows (key, node, value) sorted by key; ``links_of`` gives the linked places of the values of one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, nodes, values = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            links = links_of(pa.concat_arrays(values)) if sum(map(len, values)) > 1 else []
+            if len(links):
+                i, j = np.array(links, np.int64).T
+                whole = pa.concat_arrays(nodes)
+                yield pa.RecordBatch.from_arrays([whole.take(pa.array(i)), whole.take(pa.array(j))], names=["a", "b"])
+
+        for x in batches:
+            keys = x.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if at == end:
+                    continue
+                if keys[at] != held:
+                    yield from close()
+                    held, nodes, values = keys[at], [], []
+                nodes.append(x.column(1).slice(at, end - at))
+                values.append(x.column(2).slice(at, end - at))
+        yield from close()
+
+    return run
+
+
+def alike(sets: pa.Array, similarity: float) -> list[tuple[int, int]]:
+    """Links (places) with the components of all pairs of ``sets`` (lists without repeats) whose Jaccard similarity is enough.
+
+    Members that share one of their rarest values are tested, unless links connect them already.
+    """
+    lengths = sets.value_lengths().to_numpy()
+    _, inverse, counts = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    members = [np.sort(r) for r in np.split(rank[inverse], np.cumsum(lengths)[:-1])]
+    parent = list(range(len(members)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    found: list[tuple[int, int]] = []
+    #: Members by each of their rarest values, in buckets that links connect.
+    index: dict[int, list[list[int]]] = defaultdict(list)
+    for x, own in enumerate(members):
+        n, values, tested = len(own), set(own.tolist()), set()
+        rarest = own[: n - ceil(similarity * n - _TINY) + 1].tolist()
+        for value in rarest:
+            for bucket in index[value]:
+                if root(bucket[0]) == root(x):
+                    continue
+                for y in bucket:
+                    if y in tested:
+                        continue
+                    tested.add(y)
+                    m = len(members[y])
+                    if min(n, m) < similarity * max(n, m) - _TINY:
+                        continue
+                    both = len(values.intersection(members[y].tolist()))
+                    if both >= similarity * (n + m - both) - _TINY:
+                        found.append((y, x))
+                        parent[root(x)] = root(y)
+                        break
+        for value in rarest:
+            mine = next((b for b in index[value] if root(b[0]) == root(x)), None)
+            if mine is None:
+                index[value].append([x])
+            else:
+                mine.append(x)
+    return found
+
+
+def short_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect exactly the ``nodes`` (node, few) with a Jaccard similarity of ``similarity`` or more.
+
+    ``few`` holds the sorted distinct shingles of a short document, null for others. Two such lists share one of their
+    first n - ceil(similarity * n) + 1 shingles, in any common order: these are the keys.
+    """
+    first = F.expr(f"slice(few, 1, size(few) - cast(ceil({similarity}D * size(few) - {_TINY}D) as int) + 1)")
+    short = nodes.where(F.col("few").isNotNull())
+    keyed = short.select(F.explode(first).alias("key"), "node")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("at"))
+    shared = keyed.join(sizes, F.col("key") == F.col("at")).select("key", "node")
+    full = shared.join(short.select(F.col("node").alias("who"), "few"), F.col("node") == F.col("who")).select("key", "node", "few")
+    return full.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_by_key(lambda sets: alike(sets, similarity)), "a binary, b binary")
+
+
 def text_key(text: str = "text") -> Column:
     """Tells texts apart; null counts as the empty text."""
     return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
@@ -318,22 +418,24 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """One row for each row of ``docs`` (doc_id, text): doc_id, text_key (hash of the text) and keeper.
 
     Documents of the same words are one node; nodes whose shingle vectors have a cosine of ``similarity`` or
-    more, as their fingerprints tell it, are linked; ``keeper`` is true in one row of every group: that
+    more, as their fingerprints tell it, are linked, and so are short ones (at most SHORT distinct shingles) whose
+    shingle sets have that Jaccard similarity, all of them; ``keeper`` is true in one row of every group: that
     of the smallest doc_id (null last, then by text_key); of equal (doc_id, text) rows, in all.
 
     Null, empty and very long texts, repeated rows, other columns and empty tables: as
     :func:`near_duplicates`; all texts without words are copies of one another.
     """
-    schema = "doc_id bigint, text_key string, node binary, fp binary, cells array<bigint>"
+    schema = "doc_id bigint, text_key string, node binary, fp binary, cells array<bigint>, few array<bigint>"
     rows = staged(docs.select("doc_id", text_key().alias("text_key"), text_bytes()).mapInArrow(_described(shingle), schema), "simhash-wide")
-    # Rows of one node are equal in fp and cells.
+    # Rows of one node are equal in fp, cells and few.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")
-    nodes = staged(rows.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("cells").alias("cells")), "simhash-nodes")
+    nodes = staged(rows.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("cells").alias("cells"), F.first("few").alias("few")), "simhash-nodes")
     pairs = candidates(nodes.select(F.explode("cells").alias("cell"), "node").distinct())
     prints = nodes.select(F.col("node").alias("who"), "fp")
     with_a = pairs.join(prints, F.col("a") == F.col("who")).select("a", "b", F.col("fp").alias("fa"))
     with_b = with_a.join(prints, F.col("b") == F.col("who")).select("a", "b", "fa", F.col("fp").alias("fb"))
     links = with_b.mapInArrow(_close(budget(similarity)), "a binary, b binary")
+    links = links.unionByName(short_links(nodes.select("node", "few"), similarity)).distinct()
     roots = components(links).withColumnRenamed("node", "who")
     grouped = nodes.select("node", "first").join(roots, F.col("node") == F.col("who"), "left").select(F.coalesce("root", "node").alias("root"), "first")
     keepers = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))

@@ -174,6 +174,34 @@ def test_large_group_of_near_copies(spark, docs_of):
     assert [x.doc_id for x in s.deduplicated(docs_of(rows)).collect()] == [0]
 
 
+def test_short_copies_just_over_the_similarity_are_all_found(spark, docs_of):
+    """Copies of every length from 5 shingles to 64, with words appended or one changed, at the least Jaccard of 0.8 or more."""
+    r = random.Random(3)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    rows, copies = [], set()
+    for n in [*range(4, 30), 40, 50, 64]:
+        for _ in range(6):
+            base = [r.choice(vocabulary) for _ in range(n + 4)]
+            more = int(n / 0.8 + 1e-9) - n
+            rows.append((len(rows), " ".join(base), "a"))
+            copies.add(len(rows))
+            rows.append((len(rows), " ".join(base + [r.choice(vocabulary) for _ in range(more)]), "a"))
+            assert jaccard(base, rows[-1][1].split()) >= 0.8 and more
+    apart = [(10_000 + k, " ".join([r.choice(vocabulary) for _ in range(k % 9)] + vocabulary[:6] + [r.choice(vocabulary) for _ in range(5)]), "a") for k in range(100)]
+    kept = {x.doc_id for x in s.deduplicated(docs_of(rows + apart)).collect()}
+    assert kept == {i for i, *_ in rows + apart} - copies
+
+
+@pytest.mark.parametrize("groups", [1, 6, 60])
+def test_alike_has_the_components_of_all_pairs(groups):
+    r = random.Random(groups)
+    bases = [r.sample(range(2000), r.randrange(5, 60)) for _ in range(groups)]
+    sets = [sorted({-1, *(v if r.random() > 0.07 else r.randrange(9000) for v in r.choice(bases))}) for _ in range(150)]
+    near = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) - 1e-9
+    want = roots(range(150), [(i, k) for k in range(150) for i in range(k) if near(sets[i], sets[k])])
+    assert roots(range(150), s.alike(s.pa.array(sets, s.pa.list_(s.pa.int64())), 0.8)) == want
+
+
 def test_deduplicated_odd_rows(spark, docs_of):
     docs = docs_of(ODD)
     got = s.deduplicated(docs)
