@@ -14,7 +14,8 @@ is lost, and the work is linear in the fingerprints.
 equal segments are left that could serve as a key. There the ring is made of cells: the document's
 shingles are dealt by hash into cells of a few shingles each, and a cell's signature changes only with
 its own shingles. Documents that share a cell are candidates; the pigeonring test runs over 16-bit
-segments of their 256-bit fingerprints, and those that pass take the full Hamming test. Short documents
+segments of their 256-bit fingerprints, and those that pass take the full Hamming test. A cell of many documents
+is linked around pivots instead (:func:`ball_links`), which loses no component. Short documents
 have too few shingles for cells or fingerprints to tell: theirs are compared as sets, with a prefix filter.
 """
 
@@ -210,8 +211,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, dense:
 WIDE, CELLS, PER_CELL, LEAST_CELL = 4, 24, 4, 3
 #: Documents of at most so many distinct shingles are compared by their shingles too, exactly.
 SHORT, _TINY = 80, 1e-9
-#: A cell with at most so many documents has all its pairs tested; in a larger one each is tested against its hub.
-SMALL = 32
+#: A cell with at most so many documents has all its pairs listed; a larger one is linked in one place, to the same components.
+SMALL, _BLOCK = 32, 512
 
 
 def budget(similarity: float, bits: int = WIDE * 64) -> int:
@@ -297,23 +298,49 @@ def _close(distance: int):
     return run
 
 
-def candidates(cells: DataFrame) -> DataFrame:
-    """(a, b), a < b, from ``cells`` (cell, node): pairs of nodes that share a cell.
-
-    A small cell gives all its pairs. In a large one (near copies of one text) every node is paired with
-    the hub, the node whose cells are shared most: the text that the others were made from. That is
-    linear in the cell, and the hub's row is joined, never a group collected.
-    """
+def candidates(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From ``cells`` (cell, node): (a, b), a < b, the pairs of nodes that share a small cell, and the rows of large cells."""
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("cell", "at")
     shared = staged(cells.join(sizes, F.col("cell") == F.col("at")).select("cell", "node", "n"), "simhash-cells")
     small = shared.where(F.col("n") <= SMALL).select("cell", "node")
     pairs = small.join(small.select(F.col("cell").alias("at"), F.col("node").alias("other")), (F.col("cell") == F.col("at")) & (F.col("node") < F.col("other")))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b"))
-    common = shared.groupBy("node").agg(F.sum("n").alias("known")).withColumnRenamed("node", "who")
-    large = shared.where(F.col("n") > SMALL).join(common, F.col("node") == F.col("who"))
-    hubs = large.groupBy("cell").agg(F.max(F.struct("known", "node"))["node"].alias("hub")).withColumnRenamed("cell", "at")
-    spokes = large.join(hubs, F.col("cell") == F.col("at")).where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    return pairs.unionByName(spokes).distinct()
+    return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), shared.where(F.col("n") > SMALL).select("cell", "node")
+
+
+def ball_links(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links (places) with the components of all pairs of fingerprints (n x words) within ``distance`` bits.
+
+    All members are measured from a pivot, and those within the distance leave with it. Whoever is beyond twice the
+    distance can be near none of them; the others are tested against them until one is near. The rest goes on with
+    another pivot: the member next to the majority of bits while many leave with it, else the first.
+    """
+    links: list[tuple[int, int]] = []
+    rest, dominant = np.arange(len(prints)), True
+    while len(rest) > 1:
+        at = 0
+        if dominant:
+            at = int(np.bitwise_count(prints[rest] ^ fingerprint_of(prints[rest])).sum(axis=1, dtype=np.int64).argmin())
+        pivot, rest = rest[at], np.delete(rest, at)
+        away = np.bitwise_count(prints[rest] ^ prints[pivot]).sum(axis=1, dtype=np.int64)
+        near, middle = rest[away <= distance], rest[(away > distance) & (away <= 2 * distance)]
+        links += [(pivot, x) for x in near]
+        for at in range(0, len(near), _BLOCK):
+            if not len(middle):
+                break
+            some, linked = near[at : at + _BLOCK], np.zeros(len(middle), bool)
+            for k in range(0, len(middle), _BLOCK):
+                part = middle[k : k + _BLOCK]
+                close = np.bitwise_count(prints[part][:, None] ^ prints[some][None]).sum(axis=2, dtype=np.int64) <= distance
+                linked[k : k + _BLOCK] = close.any(axis=1)
+                links += [(some[close[i].argmax()], part[i]) for i in np.flatnonzero(close.any(axis=1))]
+            middle = middle[~linked]
+        dominant = len(near) * 8 >= len(rest)
+        rest = rest[away > distance]
+    return links
+
+
+def _balls(distance: int):
+    return lambda values: ball_links(np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(len(values), -1), distance)
 
 
 def _by_key(links_of):
@@ -430,11 +457,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     # Rows of one node are equal in fp, cells and few.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")
     nodes = staged(rows.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("cells").alias("cells"), F.first("few").alias("few")), "simhash-nodes")
-    pairs = candidates(nodes.select(F.explode("cells").alias("cell"), "node").distinct())
+    pairs, large = candidates(nodes.select(F.explode("cells").alias("cell"), "node").distinct())
     prints = nodes.select(F.col("node").alias("who"), "fp")
     with_a = pairs.join(prints, F.col("a") == F.col("who")).select("a", "b", F.col("fp").alias("fa"))
     with_b = with_a.join(prints, F.col("b") == F.col("who")).select("a", "b", "fa", F.col("fp").alias("fb"))
     links = with_b.mapInArrow(_close(budget(similarity)), "a binary, b binary")
+    cells = large.join(prints, F.col("node") == F.col("who")).select("cell", "node", "fp").repartition("cell").sortWithinPartitions("cell", "node")
+    links = links.unionByName(cells.mapInArrow(_by_key(_balls(budget(similarity))), "a binary, b binary"))
     links = links.unionByName(short_links(nodes.select("node", "few"), similarity)).distinct()
     roots = components(links).withColumnRenamed("node", "who")
     grouped = nodes.select("node", "first").join(roots, F.col("node") == F.col("who"), "left").select(F.coalesce("root", "node").alias("root"), "first")

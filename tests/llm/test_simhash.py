@@ -202,6 +202,55 @@ def test_alike_has_the_components_of_all_pairs(groups):
     assert roots(range(150), s.alike(s.pa.array(sets, s.pa.list_(s.pa.int64())), 0.8)) == want
 
 
+@pytest.mark.parametrize("spread", [10, 30, 45])
+def test_balls_have_the_components_of_all_pairs(spread):
+    """Balls of many radii, chains that step away from their centre, and fingerprints on their own."""
+    r = random.Random(spread)
+    prints = []
+    for _ in range(5):
+        at = r.getrandbits(256)
+        for _ in range(r.choice([3, 30, 90])):
+            prints.append(at ^ sum(1 << b for b in r.sample(range(256), r.randrange(spread))))
+            if r.random() < 0.2:
+                at ^= sum(1 << b for b in r.sample(range(256), 20))
+    prints += [r.getrandbits(256) for _ in range(40)] + prints[:3]
+    r.shuffle(prints)
+    n = len(prints)
+    want = roots(range(n), [(i, k) for k in range(n) for i in range(k) if (prints[i] ^ prints[k]).bit_count() <= 52])
+    rows = np.array([list(p.to_bytes(32, "little")) for p in prints], np.uint8).view("<u8")
+    assert roots(range(n), s.ball_links(rows, 52)) == want
+
+
+@pytest.mark.parametrize("small", [1, 6])
+def test_size_from_which_cells_are_large_does_not_matter(spark, docs_of, monkeypatch, small):
+    """Groups without their original, of members about as far from one another as links reach; so any hub misses some."""
+    r = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(9000)]
+    rows = []
+    for _ in range(30):
+        base = [r.choice(vocabulary) for _ in range(200)]
+        rows += [(len(rows) + k, " ".join(mutated(r, base, 0.024, vocabulary)), "a") for k in range(9)]
+    docs = docs_of(rows, clash=False).cache()
+    monkeypatch.setattr(s, "SMALL", 10**6)
+    want = sorted(x.doc_id for x in s.deduplicated(docs).collect())
+    monkeypatch.setattr(s, "SMALL", small)
+    assert sorted(x.doc_id for x in s.deduplicated(docs).collect()) == want and 30 < len(want) < len(rows)
+
+
+def test_large_cell_of_several_groups_without_a_common_original(spark, docs_of):
+    """40 pairs of near copies and a passage in all 80 texts; those of different pairs are unlike each other."""
+    r = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(9000)]
+    passage = [r.choice(vocabulary) for _ in range(260)]
+    rows = []
+    for k in range(40):
+        own = [r.choice(vocabulary) for _ in range(240)]
+        rows += [(2 * k, " ".join(passage + own), "a"), (2 * k + 1, " ".join(passage + mutated(r, own, 0.01, vocabulary)), "a")]
+    texts = [t.split() for _, t, _ in rows]
+    assert all(jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.85 for k in range(40)) and max(jaccard(texts[0], t) for t in texts[2:]) < 0.4
+    assert sorted(x.doc_id for x in s.deduplicated(docs_of(rows)).collect()) == list(range(0, 80, 2))
+
+
 def test_deduplicated_odd_rows(spark, docs_of):
     docs = docs_of(ODD)
     got = s.deduplicated(docs)
