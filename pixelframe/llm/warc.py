@@ -4,7 +4,8 @@ The reader walks a file from record to record: gzip members (one record each, or
 A member must inflate with its checksum, a record must have its version line, its headers, its length
 and the end it promises, and its block must have the digest that its header states. Where one of these
 fails, the reader searches for the next place at which a member inflates to a version line or a plain version line
-is followed by headers, goes on from there, and logs the bytes between as a quarantined gap.
+is followed by headers, goes on from there, and logs the bytes between as a quarantined gap. In a member of many
+records the same search goes on in what it inflates to, as far as that goes.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import forget_on_exit, new_path, staged
 
 #: Payloads of fewer bytes are always written in full; an archive is closed at this size; a record may inflate to so much.
 LEAST_REVISIT, ARCHIVE_BYTES, MOST_RECORD = 1000, 16 << 20, 1 << 30
+#: A gzip member of more bytes is read in pieces.
+MOST_WHOLE = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 #: Headers that every record has; characters that no header has.
@@ -49,9 +52,13 @@ class Record:
 
 @dataclass(frozen=True)
 class Gap:
+    """Lost bytes of the file; in a member of which records are kept, the place and length in what it inflates to."""
+
     offset: int
     length: int
     reason: str
+    inflated_offset: int | None = None
+    inflated_length: int | None = None
 
 
 # ---------------------------------------------------------------- reading
@@ -116,15 +123,18 @@ def inflate_member(data: bytes, at: int, most: int = MOST_RECORD) -> tuple[bytes
     return b"".join(out), here - len(z.unused_data)
 
 
+def next_plain(data: bytes, at: int) -> int:
+    """The first place from ``at`` on with a version line and a header; the end if there is none."""
+    while found := _VERSION.search(data, at):
+        if re.match(rb"[A-Za-z][A-Za-z-]*:", data[found.end() : found.end() + 64]):
+            return found.start()
+        at = found.start() + 1
+    return len(data)
+
+
 def next_start(data: bytes, at: int) -> int:
     """The first place from ``at`` on where a record can begin; the file's end if there is none."""
-    plain, member = at, at
-    while True:
-        found = _VERSION.search(data, plain)
-        plain = found.start() if found else len(data)
-        if not found or re.match(rb"[A-Za-z][A-Za-z-]*:", data[found.end() : found.end() + 64]):
-            break
-        plain += 1
+    plain, member = next_plain(data, at), at
     while True:
         member = data.find(b"\x1f\x8b\x08", member, plain + 3)
         if member < 0 or member >= plain:
@@ -143,12 +153,24 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     while at < len(data):
         try:
             if data[at : at + 2] == b"\x1f\x8b":
-                content, end = inflate_member(data, at)
+                content, end = inflate_member(data, at, MOST_WHOLE)
                 found = [Record(at, end - at, h, b) for h, b in _records(content)]
             else:
                 headers, block, end = read_record(data, at)
                 found = [Record(at, end - at, headers, block)]
         except Damaged as e:
+            if data[at : at + 2] == b"\x1f\x8b":
+                member = Member(data, at)
+                kept = member.parts()
+                first = next(kept, None)
+                if first:
+                    if gap:
+                        yield gap
+                        gap = None
+                    yield first
+                    yield from kept
+                    at = member.end
+                    continue
             end = next_start(data, at + 1)
             gap = Gap(gap.offset, end - gap.offset, gap.reason) if gap else Gap(at, end - at, str(e))
         else:
@@ -171,6 +193,107 @@ def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
+class Member:
+    """A gzip member that is damaged, holds damaged records or is very large; it is inflated in pieces, twice."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at = data, at
+        self.reason, self.reached = "", at
+        self.size = sum(map(len, self._pieces()))
+        self.sound = not self.reason
+        self.end = self.reached if self.sound else next_start(data, at + 1)
+        if not self.sound and self.data[self.end : self.end + 5] == b"WARC/":  # perhaps within what was inflated, if it is stored
+            self.end = next_start(data, max(self.end, self.reached))
+
+    def _pieces(self) -> Iterator[bytes]:
+        """What can be inflated; then ``reason`` tells what broke it off, and ``reached`` where."""
+        z, here = zlib.decompressobj(31), self.at
+        while not z.eof:
+            if here >= len(self.data):
+                self.reason, self.reached = "truncated member", here
+                return
+            piece, before = self.data[here : here + 4096], z.copy()
+            try:
+                out = z.decompress(piece)
+            except zlib.error as e:
+                # What is good of this piece, byte by byte.
+                self.reason = f"member does not inflate: {str(e).rpartition(': ')[2]}"
+                for k in range(len(piece)):
+                    try:
+                        out = before.decompress(piece[k : k + 1])
+                    except zlib.error:
+                        break
+                    yield out
+                self.reached = here + k
+                return
+            here += len(piece)
+            self.reached = here - len(z.unused_data)
+            yield out
+
+    def parts(self) -> Iterator[Record | Gap]:
+        """Records that pass and gaps in what is inflated; nothing if no record passes."""
+        gaps: list[Gap] = []
+        any_kept = False
+        for x in self._walk():
+            if isinstance(x, Record) or any_kept:
+                yield from gaps
+                yield x
+                gaps, any_kept = [], True
+            else:
+                gaps.append(x)
+        if any_kept and not self.sound:
+            yield Gap(self.at, self.end - self.at, self.reason, self.size, None)
+
+    def _walk(self) -> Iterator[Record | Gap]:
+        pieces, held, at, base, done, gap = self._pieces(), b"", 0, 0, False, None
+
+        def lost(a: int, b: int, reason: str) -> tuple[int, int, str]:
+            return (gap[0], b, gap[2]) if gap else (a, b, reason)
+
+        def more() -> None:
+            """At least doubles what is held from ``at`` on, so that reading again costs no more than in proportion."""
+            nonlocal held, at, base, done
+            new, need = [held[at:]], max(1 << 16, len(held) - at)
+            base, at = base + at, 0
+            while need > 0 and not done:
+                piece = next(pieces, None)
+                done = piece is None
+                new.append(piece or b"")
+                need -= len(new[-1])
+            held = b"".join(new)
+
+        while at < len(held) or not done:
+            try:
+                headers, block, end = read_record(held, at)
+                if not self.sound:
+                    if base + at == 0 and end == self.size:
+                        raise Damaged(self.reason)  # a member of one record: its checksum is the record's
+                    named = headers.get("warc-block-digest", ""), headers.get("warc-payload-digest", "") if headers["warc-type"] == "response" else ""
+                    if not any(x.lower().startswith("sha1:") for x in named):
+                        raise Damaged("no digest in a damaged member")
+            except Damaged as e:
+                if not done and len(held) - at <= MOST_RECORD and (len(held) - at < 128 or str(e) in ("truncated record", "headers do not end")):
+                    more()
+                    continue
+                if at == len(held):
+                    break
+                found = next_plain(held, at + 1)
+                if found == len(held) and not done:
+                    found = max(at + 1, found - 80)  # a version line may go on in the next piece
+                gap = lost(base + at, base + found, str(e))
+                at = found
+                if at > len(held) - 128 and not done:
+                    more()
+            else:
+                if gap:
+                    yield Gap(self.at, self.end - self.at, gap[2], gap[0], gap[1] - gap[0])
+                    gap = None
+                yield Record(self.at, self.end - self.at, headers, block)
+                at = end
+        if gap:
+            yield Gap(self.at, self.end - self.at, gap[2], gap[0], gap[1] - gap[0])
+
+
 def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes | None, int, str]:
     """Payload (None for a revisit), its full length and bare SHA-1."""
     body, length = block, None
@@ -184,8 +307,8 @@ def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes | None, int
     return body, len(body), hashlib.sha1(body).hexdigest()
 
 
-_READ_DDL = "archive string, offset bigint, length bigint, reason string, type string, headers map<string,string>, payload_bytes bigint, payload_digest string, payload binary"
-_READ = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()), ("type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+_READ_DDL = "archive string, offset bigint, length bigint, reason string, type string, headers map<string,string>, payload_bytes bigint, payload_digest string, payload binary, inflated_offset bigint, inflated_length bigint"
+_READ = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()), ("type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("inflated_offset", pa.int64()), ("inflated_length", pa.int64())])
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -193,7 +316,9 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
     A record has archive, offset, length, type, headers (names lower-cased), payload_bytes, payload_digest (bare
     lower-case hex SHA-1 of the payload) and, if wanted, the payload (null for a revisit). A gap has archive, offset,
-    length and the reason of the first check that failed there; its other columns are null.
+    length and the reason of the first check that failed there; its other columns are null. In a gzip member of
+    which some records pass, gaps have the member's offset and length, and inflated_offset and inflated_length tell the
+    place in its content (the length is null where the content breaks off).
 
     A null or empty content has no records. Files are taken one at a time; an archive should be small enough
     for one task, as those of :func:`write_archives` are. Repeated rows are read each. An empty table gives an empty result.
@@ -205,10 +330,10 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 path, rows, held = batch.column(0)[i].as_py(), [], 0
                 for x in salvage(batch.column(1)[i].as_py() or b""):
                     if isinstance(x, Gap):
-                        rows.append((path, x.offset, x.length, x.reason, None, None, None, None, None))
+                        rows.append((path, x.offset, x.length, x.reason, None, None, None, None, None, x.inflated_offset, x.inflated_length))
                     else:
                         body, n, digest = payload_of(x.headers, x.block)
-                        rows.append((path, x.offset, x.length, None, x.headers["warc-type"], list(x.headers.items()), n, digest, body if with_payload else None))
+                        rows.append((path, x.offset, x.length, None, x.headers["warc-type"], list(x.headers.items()), n, digest, body if with_payload else None, None, None))
                         held += len(body or b"") if with_payload else 0
                     if len(rows) >= 4096 or held > 32 << 20:
                         yield _batch(rows)

@@ -106,6 +106,34 @@ def test_members_of_many_records_and_empty_files():
     assert list(w.salvage(b"")) == [] and gaps(w.salvage(b"nothing here")) == [(0, 12)]
 
 
+@pytest.mark.parametrize("whole", [64 << 20, 100])
+@pytest.mark.parametrize("hurt", ["none", "digest", "length", "cut", "trailer", "flip"])
+def test_damage_in_a_member_of_many_records(monkeypatch, hurt, whole):
+    monkeypatch.setattr(w, "MOST_WHOLE", whole, raising=False)
+    made = records(30, plain=True, seed=5)
+    if hurt == "digest":
+        made[7] = made[7][:-20] + b"?" + made[7][-19:]
+    elif hurt == "length":
+        made[7] = made[7].replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9999", 1).replace(b"Content-Length: 99999999", b"Content-Length: 9999")
+    data = bytearray(gzip.compress(b"".join(made)))
+    if hurt == "cut":
+        del data[len(data) // 2 :]
+    elif hurt == "trailer":
+        data[-6] ^= 1
+    elif hurt == "flip":
+        data[len(data) // 2] ^= 0x10
+    after = records(2, seed=6)
+    found = list(w.salvage(bytes(data) + b"".join(after)))
+    assert ids(found)[-2:] == [0, 1]
+    got, lost = ids(found)[:-2], [x for x in found if isinstance(x, w.Gap)]
+    if hurt in ("none", "digest", "length", "trailer"):
+        assert got == [k for k in range(30) if k != 7 or hurt in ("none", "trailer")] and len(lost) == (hurt != "none")
+    else:
+        assert got[:8] == list(range(8)) and lost
+    if hurt in ("digest", "length"):
+        assert (lost[0].offset, lost[0].inflated_offset, lost[0].inflated_length) == (0, sum(map(len, made[:7])), len(made[7]))
+
+
 def by_hand(rows):
     out, kept = [], {}
     for i, _, h in rows:
