@@ -12,13 +12,15 @@ unbiased risk
 with the logistic loss; where the second part falls below zero, steps go against its gradient only, which
 keeps a flexible model from overfitting it. No negative label is used. The score is the logistic of f.
 
-Features are computed from the text's bytes and words only.
+Features are computed from the text's bytes and words only, once for each document (:func:`features`). The gradients
+are taken on a bounded sample, in one task; the features' means and deviations and the shares of unlabelled
+texts above the bins are counted over all documents. The driver gets a model and a thousand counts at most.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, text_bytes, whole_row
+from .common import columns_of, staged, text_bytes, whole_row
 
-#: The model is fitted on at most so many positives and so many unlabelled texts, those of least hash.
-SAMPLE = 20_000
+#: The model is fitted on at most so many positives and so many unlabelled texts, those of least hash; the prior's bins are at most so many.
+SAMPLE, BINS = 20_000, 1000
+#: Sums of features are kept as whole numbers of this unit, so that they do not depend on the order of the tasks.
+_UNIT = float(1 << 20)
 THRESHOLD = 0.3
 _LOWER, _UPPER, _DIGIT = frozenset(range(97, 123)), frozenset(range(65, 91)), frozenset(range(48, 58))
 _SYMBOLS = b"#*$%&|<>"
@@ -85,14 +89,24 @@ class Model:
     prior: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(np.clip((x - self.centre) / self.scale, -8, 8) @ self.weights + self.bias)
+        return _sigmoid(scaled(x, self.centre, self.scale).astype(np.float64) @ np.append(self.weights, self.bias))
+
+
+def scaled(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The rows of ``x`` about the centre, within eight deviations, and a column of ones: one float32 matrix."""
+    out = np.empty((len(x), x.shape[1] + 1), np.float32)
+    np.subtract(x, centre.astype(np.float32), out=out[:, :-1])
+    out[:, :-1] /= scale.astype(np.float32)
+    np.clip(out[:, :-1], -8, 8, out=out[:, :-1])
+    out[:, -1] = 1
+    return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _descend(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
+def _descend(gradient: Callable[[np.ndarray], np.ndarray], size: int, steps: int, rate: float = 0.05) -> np.ndarray:
     """Adam from zero, with a rate that falls to a tenth."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for t in range(1, steps + 1):
@@ -102,50 +116,76 @@ def _descend(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 200) -> float:
-    """Share of positives among the unlabelled; every other row of each is for the classifier, the rest for the bins."""
-    p, u = positive[::2], unlabelled[::2]
-    seen_p, seen_u = (x[1::2] if len(x) > 1 else x for x in (positive, unlabelled))
+def _values(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (x @ w.astype(np.float32)).astype(np.float64)
+
+
+def _pulled(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return (by.astype(np.float32) @ x).astype(np.float64)
+
+
+def ranking(p: np.ndarray, u: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Weights of a plain classifier of the rows ``p`` against ``u`` (both scaled)."""
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        return -(p.T @ (1 - _sigmoid(p @ w))) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + 2e-3 * w
+        return -_pulled(p, 1 - _sigmoid(_values(p, w))) / len(p) + _pulled(u, _sigmoid(_values(u, w))) / len(u) + 2e-3 * w
 
-    w = _descend(gradient, p.shape[1], steps)
-    sp, su = np.sort(seen_p @ w), np.sort(seen_u @ w)
-    above = np.arange(len(sp), 0, -1) / len(sp)
-    share = (len(su) - np.searchsorted(su, sp, side="left")) / len(su)
-    chance = sum(np.sqrt(np.log(40) / (2 * len(x))) for x in (sp, su))
+    return _descend(gradient, p.shape[1], steps)
+
+
+def bins_of(scores: np.ndarray, most: int = BINS) -> tuple[np.ndarray, np.ndarray]:
+    """Thresholds, at most ``most`` of the positives' scores in rising order, and the share of positives at or above each."""
+    ordered = np.sort(scores)
+    at = np.unique(np.linspace(0, len(ordered) - 1, min(most, len(ordered))).astype(np.int64))
+    return ordered[at], (len(ordered) - np.searchsorted(ordered, ordered[at], side="left")) / len(ordered)
+
+
+def best_bin(above: np.ndarray, n_positive: int, share: np.ndarray, n_unlabelled: int) -> float:
+    """The prior from the shares of ``n_positive`` positives and of ``n_unlabelled`` texts above the same thresholds."""
+    chance = sum(np.sqrt(np.log(40) / (2 * max(1, n))) for n in (n_positive, n_unlabelled))
     best = int(np.argmin(share / above + 1.01 * chance / above))
     return float(np.clip(share[best] / above[best], 0.05, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 400, decay: float = 1e-3) -> Model:
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every other row for the classifier, the rest for the bins; a single row is for both."""
+    return x[::2], x[1::2] if len(x) > 1 else x
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 200) -> float:
+    """Share of positives among the unlabelled (both scaled)."""
+    (p, seen_p), (u, seen_u) = halves(positive), halves(unlabelled)
+    w = ranking(p, u, steps)
+    at, above = bins_of(_values(seen_p, w))
+    su = np.sort(_values(seen_u, w))
+    return best_bin(above, len(seen_p), (len(su) - np.searchsorted(su, at, side="left")) / len(su), len(su))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, centre: np.ndarray | None = None, scale: np.ndarray | None = None, steps: int = 400, decay: float = 1e-3) -> Model:
     """The model of least non-negative risk. Without positives or unlabelled rows every score is one half."""
     size = N_FEATURES if not len(positive) else positive.shape[1]
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(size), 0.0, np.zeros(size), np.ones(size), prior or 0.5)
-    centre, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
-    p, u = (np.hstack([np.clip((x - centre) / scale, -8, 8), np.ones((len(x), 1))]) for x in (positive, unlabelled))
+    if centre is None or scale is None:
+        centre, scale = unlabelled.mean(axis=0, dtype=np.float64), unlabelled.std(axis=0, dtype=np.float64) + 1e-3
+    p, u = scaled(positive, centre, scale), scaled(unlabelled, centre, scale)
     prior = estimate_prior(p, u) if prior is None else prior
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        fp, fu = _sigmoid(p @ w), _sigmoid(u @ w)
-        # loss(f) = log(1 + exp(-f)); its gradient in f is sigmoid(f) - 1, that of loss(-f) is sigmoid(f).
-        negative = -np.log(1 - fu + 1e-12).mean() - prior * -np.log(1 - fp + 1e-12).mean()
-        of_negative = u.T @ fu / len(u) - prior * (p.T @ fp) / len(p)
-        shrink = decay * np.append(w[:-1], 0)
-        if negative < 0:
-            return -of_negative + shrink
-        return prior * (p.T @ (fp - 1)) / len(p) + of_negative + shrink
-
-    w = _descend(gradient, p.shape[1], steps)
+    w = _descend(lambda w: risk_gradient(w, p, u, prior, decay)[1], p.shape[1], steps)
     return Model(w[:-1], float(w[-1]), centre, scale, prior)
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for kinds, texts in columns_of(batches, "positive", "text"):
-        found = [features_of(t).astype(np.float32).tobytes() for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.bool_()), pa.array(found, pa.binary())], names=["positive", "x"])
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, decay: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk at ``w`` and the direction against which a step goes; the last weight, the bias, isn't shrunk."""
+    vp, vu = _values(p, w), _values(u, w)
+    fp, fu = _sigmoid(vp), _sigmoid(vu)
+    # loss(f) = log(1 + exp(-f)); its gradient in f is sigmoid(f) - 1, that of loss(-f) is sigmoid(f).
+    negative = np.logaddexp(0, vu).mean() - prior * np.logaddexp(0, vp).mean()
+    of_negative = _pulled(u, fu) / len(u) - prior * _pulled(p, fp) / len(p)
+    plain = np.append(w[:-1], 0)
+    risk = prior * np.logaddexp(0, -vp).mean() + max(0.0, negative) + decay / 2 * plain @ plain
+    if negative < 0:
+        return risk, -of_negative + decay * plain
+    return risk, prior * _pulled(p, fp - 1) / len(p) + of_negative + decay * plain
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -153,62 +193,159 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def _sampled(ids: DataFrame, sample: int, seed: int) -> DataFrame:
-    """The ``sample`` rows of least hash; a first cut by the hash leaves little more than that to be ordered."""
-    n = ids.count()
+def _stacked(texts: list[bytes | None]) -> np.ndarray:
+    return np.stack([features_of(t) for t in texts]).astype(np.float32) if texts else np.zeros((0, N_FEATURES), np.float32)
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) for each row of ``docs`` (doc_id, text), staged; x holds the features as float32 numbers.
+
+    A null text is empty; texts without words have a feature of their own; null ids are carried. Very long texts are read
+    whole. Repeated rows are rows of their own. Other columns are not read. An empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in columns_of(batches, "doc_id", "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in _stacked(texts)], pa.binary())], names=["doc_id", "x"])
+
+    return staged(docs.select("doc_id", text_bytes()).mapInArrow(run, "doc_id bigint, x binary"), "pu-features")
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((2, N_FEATURES), np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            x = _rows(batch.column(0).slice(at, 4096)).astype(np.float64)
+            total += np.stack([np.rint(x * _UNIT).astype(np.int64).sum(axis=0), np.rint(x * x * _UNIT).astype(np.int64).sum(axis=0)])
+    yield pa.RecordBatch.from_arrays([pa.array(range(N_FEATURES), pa.int32()), pa.array(total[0]), pa.array(total[1])], names=["at", "s", "q"])
+
+
+def moments(described: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations of the features over all rows, as :func:`fit` takes them; one row for each feature is collected."""
+    rows = described.select("x").mapInArrow(_summed, "at int, s bigint, q bigint").groupBy("at").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
+    s, q = np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+    for r in rows:
+        s[r["at"]], q[r["at"]] = r["s"] / _UNIT / max(1, n), r["q"] / _UNIT / max(1, n)
+    return s, np.sqrt(np.maximum(0, q - s * s)) + 1e-3
+
+
+def _sampled(ids: DataFrame, n: int, sample: int, seed: int) -> DataFrame:
+    """The ``sample`` distinct ids of least hash; a first cut by the hash, for about ``n`` ids, leaves little more than that to be ordered."""
     part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 33)
     near = ids if n <= 2 * sample else ids.where(part < int((1 << 31) * min(1.0, 1.5 * sample / n)))
-    return near.orderBy(part, "doc_id").limit(sample)
+    return near.distinct().orderBy(part, "doc_id").limit(sample)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
-    """Fits on the positives among ``labels`` (doc_id, quality) and on texts of ``docs``, at most ``sample`` of each.
+def _on_sample(sample: DataFrame, work: Callable[[np.ndarray, np.ndarray], bytes]) -> bytes | None:
+    """What ``work`` makes of the positive and the unlabelled rows of the sample, in one task; None without rows."""
 
-    Both are the rows of least hash of the id, rows held out excepted. Only these ids are broadcast, and only
-    their features come to the driver: both bounded by ``sample``.
-    """
-    good = _sampled(labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct(), sample, seed)
-    some = _sampled(docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id"), sample, seed)
-    wanted = good.withColumn("positive", F.lit(True)).unionByName(some.distinct().withColumn("positive", F.lit(False))).withColumnRenamed("doc_id", "wanted")
-    texts = docs.select("doc_id", text_bytes()).join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted"))
-    found = texts.select("positive", "text").mapInArrow(_featured, "positive boolean, x binary").toArrow()
-    kinds = np.array(found.column(0).to_pylist(), bool)
-    x = np.frombuffer(b"".join(found.column(1).to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
-    order = np.lexsort(x.T[::-1])  # the rows come in any order; the fit shall not depend on it
-    x, kinds = x[order], kinds[order]
-    return fit(x[kinds], x[~kinds])
-
-
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, held_out, score in 0..1 and predicted (1 from ``threshold``).
-
-    Nulls: a null text is empty; texts without words are scored by a feature of their own; a null doc_id is
-    carried and not held out. Very long texts are scored whole. Equal texts have equal scores; repeated rows
-    are returned each. Other columns are not read. An empty table gives an empty result.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        for batch in batches:
+            kinds, x = np.array(batch.column(0).to_pylist(), bool), _rows(batch.column(1))
+            for kind in found:
+                found[kind].append(x[kinds == kind])
+        p, u = (np.concatenate([np.zeros((0, N_FEATURES), np.float32), *found.pop(kind)]) for kind in (True, False))
+        yield pa.RecordBatch.from_arrays([pa.array([work(p, u)], pa.binary())], names=["made"])
+
+    # The rows are sorted, as the fit shall not depend on how they come.
+    row = sample.repartition(1).sortWithinPartitions("positive", "x").mapInArrow(run, "made binary").first()
+    return None if row is None else bytes(row[0])
 
+
+def _counted(w: np.ndarray, thresholds: np.ndarray, centre: np.ndarray, scale: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, out, texts in columns_of(batches, "doc_id", "held_out", "text"):
-            s = _scores(model, texts)
-            arrays = [pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted"])
+        counts = np.zeros(len(thresholds) + 1, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                values = _values(scaled(_rows(batch.column(0).slice(at, 4096)), centre, scale), w)
+                counts += np.bincount(np.searchsorted(thresholds, values, side="right"), minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bin", "n"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), text_bytes()).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return run
 
 
-def _scores(model: Model, texts: list[bytes | None]) -> np.ndarray:
-    return model.scores(np.stack([features_of(t) for t in texts])) if texts else np.zeros(0)
+def train(described: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
+    """Fits on the positives among ``labels`` (doc_id, quality) and on the texts of ``described`` (see :func:`features`).
+
+    The gradients take at most ``sample`` of each, those of least hash of the id, rows held out excepted; of rows that
+    repeat an id one counts. Only these ids are broadcast, and their features meet in one task: both bounded by
+    ``sample``. Means, deviations and the prior's shares are those of all rows.
+
+    Labels without an id or a document, with a null quality or repeated, are left out or count once. Without positives
+    or texts every score is one half.
+    """
+    apart = described.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id")
+    n, near = described.agg(F.count("*"), F.approx_count_distinct(F.when(F.col("doc_id").isNotNull() & ~held_out(), F.col("doc_id")))).first()
+    known = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id")
+    good = _sampled(known, known.agg(F.approx_count_distinct("doc_id")).first()[0], sample, seed)
+    some = _sampled(apart, near, sample, seed)
+    wanted = good.withColumn("positive", F.lit(True)).unionByName(some.withColumn("positive", F.lit(False))).withColumnRenamed("doc_id", "wanted")
+    chosen = described.join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted")).groupBy("doc_id", "positive").agg(F.min("x").alias("x"))
+    chosen = staged(chosen.select("positive", "x"), "pu-sample")
+    nothing = fit(np.zeros((0, N_FEATURES)), np.zeros((0, N_FEATURES)))
+    centre, scale = moments(described, n)
+
+    def ranked(p: np.ndarray, u: np.ndarray) -> bytes:
+        if not len(p) or not len(u):
+            return b""
+        (p, seen), (u, _) = halves(scaled(p, centre, scale)), halves(scaled(u, centre, scale))
+        w = ranking(p, u)
+        at, above = bins_of(_values(seen, w))
+        return np.concatenate([[len(seen), len(at)], w, at, above]).tobytes()
+
+    made = _on_sample(chosen, ranked)
+    if not made:
+        return nothing
+    flat = np.frombuffer(made)
+    n_seen, n_bins, flat = int(flat[0]), int(flat[1]), flat[2:]
+    w, at, above = flat[: N_FEATURES + 1], flat[N_FEATURES + 1 : N_FEATURES + 1 + n_bins], flat[N_FEATURES + 1 + n_bins :]
+    counts = np.zeros(n_bins + 1, np.int64)
+    for r in described.select("x").mapInArrow(_counted(w, at, centre, scale), "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["bin"]] = r["n"]
+    prior = best_bin(above, n_seen, counts[::-1].cumsum()[::-1][1:] / n, n)
+
+    def fitted(p: np.ndarray, u: np.ndarray) -> bytes:
+        model = fit(p, u, prior, centre, scale)
+        return np.append(model.weights, model.bias).tobytes()
+
+    w = np.frombuffer(_on_sample(chosen, fitted))
+    return Model(w[:-1], float(w[-1]), centre, scale, prior)
+
+
+def score(described: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of ``described`` (see :func:`features`): doc_id, held_out, score in 0..1 and predicted (1 from ``threshold``).
+
+    A null doc_id is carried and not held out. Equal texts have equal scores; repeated rows are returned each. An empty
+    table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = model.scores(_rows(batch.column(2))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    return described.select("doc_id", held_out().alias("held_out"), "x").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all columns; decided row by row, without a shuffle."""
+    """The rows of ``docs`` (doc_id, text) that score ``threshold`` or more, with all columns; decided row by row, without a shuffle.
+
+    Null, empty and very long texts and null ids: as :func:`features`. Repeated rows are decided alike and kept each. Extra
+    columns may have any names. An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                keep += (_scores(model, part.column(0).field("text").cast(pa.binary()).to_pylist()) >= threshold).tolist()
+                keep += (model.scores(_stacked(part.column(0).field("text").cast(pa.binary()).to_pylist())) >= threshold).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     row = docs.select(whole_row(docs))

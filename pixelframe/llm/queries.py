@@ -53,8 +53,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return pu.score(docs, pu.train(docs, read_table(spark, sf_dir, "labels")))
+    described = pu.features(read_table(spark, sf_dir, "documents"))
+    return pu.score(described, pu.train(described, read_table(spark, sf_dir, "labels")))
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

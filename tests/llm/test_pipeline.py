@@ -11,8 +11,8 @@ def test_stages_take_effect(spark):
     docs = spark.read.parquet(str(SF / "documents.parquet"))
     d, columns = str(SF), docs.columns
     labels, items = (spark.read.parquet(str(SF / f"{t}.parquet")) for t in ("labels", "benchmark"))
-    kept = p.quality(spark, docs, d).cache()
-    good = {r.doc_id for r in pu.score(docs, pu.train(docs, labels)).where("predicted = 1").collect()}
+    kept, described = p.quality(spark, docs, d).cache(), pu.features(docs)
+    good = {r.doc_id for r in pu.score(described, pu.train(described, labels)).where("predicted = 1").collect()}
     assert kept.columns == columns and {r.doc_id for r in kept.collect()} == good
     one = p.near_duplicates(spark, kept, d).cache()
     ids = {r.doc_id for r in simhash.similar_documents(kept).where("keeper").collect()}
