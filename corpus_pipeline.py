@@ -14,7 +14,7 @@ from pixelframe.llm.common import read_table, staged
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return pu.accepted(docs, pu.train(docs, read_table(spark, sf_dir, "labels")))
+    return pu.accepted(docs, pu.train(pu.features(docs), read_table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
