@@ -161,8 +161,17 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 20
     return best_bin(above, len(seen_p), (len(su) - np.searchsorted(su, at, side="left")) / len(su), len(su))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, centre: np.ndarray | None = None, scale: np.ndarray | None = None, steps: int = 400, decay: float = 1e-3) -> Model:
-    """The model of least non-negative risk. Without positives or unlabelled rows every score is one half."""
+def fit(
+    positive: np.ndarray,
+    unlabelled: np.ndarray,
+    prior: float | None = None,
+    centre: np.ndarray | None = None,
+    scale: np.ndarray | None = None,
+    times: np.ndarray | None = None,
+    steps: int = 400,
+    decay: float = 1e-3,
+) -> Model:
+    """The model of least non-negative risk; ``times``: how often each unlabelled row counts. Without positives or unlabelled rows every score is one half."""
     size = N_FEATURES if not len(positive) else positive.shape[1]
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(size), 0.0, np.zeros(size), np.ones(size), prior or 0.5)
@@ -170,17 +179,18 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         centre, scale = unlabelled.mean(axis=0, dtype=np.float64), unlabelled.std(axis=0, dtype=np.float64) + 1e-3
     p, u = scaled(positive, centre, scale), scaled(unlabelled, centre, scale)
     prior = estimate_prior(p, u) if prior is None else prior
-    w = _descend(lambda w: risk_gradient(w, p, u, prior, decay)[1], p.shape[1], steps)
+    share = np.full(len(u), 1 / len(u)) if times is None else times / times.sum()
+    w = _descend(lambda w: risk_gradient(w, p, u, share, prior, decay)[1], p.shape[1], steps)
     return Model(w[:-1], float(w[-1]), centre, scale, prior)
 
 
-def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, decay: float) -> tuple[float, np.ndarray]:
-    """The non-negative risk at ``w`` and the direction against which a step goes; the last weight, the bias, isn't shrunk."""
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, share: np.ndarray, prior: float, decay: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk at ``w`` and the direction against which a step goes; ``share`` weighs the rows of ``u``; the last weight, the bias, isn't shrunk."""
     vp, vu = _values(p, w), _values(u, w)
     fp, fu = _sigmoid(vp), _sigmoid(vu)
     # loss(f) = log(1 + exp(-f)); its gradient in f is sigmoid(f) - 1, that of loss(-f) is sigmoid(f).
-    negative = np.logaddexp(0, vu).mean() - prior * np.logaddexp(0, vp).mean()
-    of_negative = _pulled(u, fu) / len(u) - prior * _pulled(p, fp) / len(p)
+    negative = share @ np.logaddexp(0, vu) - prior * np.logaddexp(0, vp).mean()
+    of_negative = _pulled(u, share * fu) - prior * _pulled(p, fp) / len(p)
     plain = np.append(w[:-1], 0)
     risk = prior * np.logaddexp(0, -vp).mean() + max(0.0, negative) + decay / 2 * plain @ plain
     if negative < 0:
@@ -240,20 +250,22 @@ def _sampled(ids: DataFrame, n: int, sample: int, seed: int) -> DataFrame:
     return near.distinct().orderBy(part, "doc_id").limit(sample)
 
 
-def _on_sample(sample: DataFrame, work: Callable[[np.ndarray, np.ndarray], bytes]) -> bytes | None:
-    """What ``work`` makes of the positive and the unlabelled rows of the sample, in one task; None without rows."""
+def _on_sample(sample: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], bytes]) -> bytes | None:
+    """What ``work`` makes of the positive and the unlabelled rows of the sample and how often the latter count, in one task; None without rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        often: list[np.ndarray] = [np.zeros(0)]
         for batch in batches:
             kinds, x = np.array(batch.column(0).to_pylist(), bool), _rows(batch.column(1))
             for kind in found:
                 found[kind].append(x[kinds == kind])
+            often.append(batch.column(2).to_numpy()[~kinds])
         p, u = (np.concatenate([np.zeros((0, N_FEATURES), np.float32), *found.pop(kind)]) for kind in (True, False))
-        yield pa.RecordBatch.from_arrays([pa.array([work(p, u)], pa.binary())], names=["made"])
+        yield pa.RecordBatch.from_arrays([pa.array([work(p, u, np.concatenate(often))], pa.binary())], names=["made"])
 
     # The rows are sorted, as the fit shall not depend on how they come.
-    row = sample.repartition(1).sortWithinPartitions("positive", "x").mapInArrow(run, "made binary").first()
+    row = sample.repartition(1).sortWithinPartitions("positive", "x", "times").mapInArrow(run, "made binary").first()
     return None if row is None else bytes(row[0])
 
 
@@ -274,7 +286,7 @@ def train(described: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
     """Fits on the positives among ``labels`` (doc_id, quality) and on the texts of ``described`` (see :func:`features`).
 
     The gradients take at most ``sample`` of each, those of least hash of the id, rows held out excepted; of rows that
-    repeat an id one counts. Only these ids are broadcast, and their features meet in one task: both bounded by
+    repeat an id one is taken, and an unlabelled one counts as often as its id. Only these ids are broadcast, and their features meet in one task: both bounded by
     ``sample``. Means, deviations and the prior's shares are those of all rows.
 
     Labels without an id or a document, with a null quality or repeated, are left out or count once. Without positives
@@ -286,12 +298,12 @@ def train(described: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
     good = _sampled(known, known.agg(F.approx_count_distinct("doc_id")).first()[0], sample, seed)
     some = _sampled(apart, near, sample, seed)
     wanted = good.withColumn("positive", F.lit(True)).unionByName(some.withColumn("positive", F.lit(False))).withColumnRenamed("doc_id", "wanted")
-    chosen = described.join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted")).groupBy("doc_id", "positive").agg(F.min("x").alias("x"))
-    chosen = staged(chosen.select("positive", "x"), "pu-sample")
+    chosen = described.join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted")).groupBy("doc_id", "positive").agg(F.min("x").alias("x"), F.count("*").alias("times"))
+    chosen = staged(chosen.select("positive", "x", "times"), "pu-sample")
     nothing = fit(np.zeros((0, N_FEATURES)), np.zeros((0, N_FEATURES)))
     centre, scale = moments(described, n)
 
-    def ranked(p: np.ndarray, u: np.ndarray) -> bytes:
+    def ranked(p: np.ndarray, u: np.ndarray, _: np.ndarray) -> bytes:
         if not len(p) or not len(u):
             return b""
         (p, seen), (u, _) = halves(scaled(p, centre, scale)), halves(scaled(u, centre, scale))
@@ -310,8 +322,8 @@ def train(described: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
         counts[r["bin"]] = r["n"]
     prior = best_bin(above, n_seen, counts[::-1].cumsum()[::-1][1:] / n, n)
 
-    def fitted(p: np.ndarray, u: np.ndarray) -> bytes:
-        model = fit(p, u, prior, centre, scale)
+    def fitted(p: np.ndarray, u: np.ndarray, times: np.ndarray) -> bytes:
+        model = fit(p, u, prior, centre, scale, times)
         return np.append(model.weights, model.bias).tobytes()
 
     w = np.frombuffer(_on_sample(chosen, fitted))
