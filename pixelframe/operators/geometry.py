@@ -85,10 +85,15 @@ def _spread(rows: DataFrame, side: str, size: str, to: str, channels: dict[str,
     out = rows.withColumn("to_at", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     centre = (F.col("to_at") + F.lit(0.5)) * scale
     weight = F.least(s + 1, centre + radius) - F.greatest(s, centre - radius)
-    out = out.withColumn("weight", weight).where("weight > 0").drop(side).withColumnRenamed("to_at", side)
+    out = out.withColumn("weight", weight).where("weight > 0").withColumnRenamed(side, "from_at").withColumnRenamed("to_at", side)
     keys = ["image_id", "y", "x", "width", "height", "to_width", "to_height"]
-    sums = out.groupBy(*keys).agg(*((F.sum(v * F.col("weight")) / F.sum("weight")).cast("float").alias(c) for c, v in channels.items()))
-    return sums
+    parts = F.struct("from_at", "weight", *((v * F.col("weight")).alias(c) for c, v in channels.items()))
+    # Added in place order: a float sum depends on the order, and a shuffle's is not stable.
+    names = ("weight", *channels)
+    start = F.struct(*(F.lit(0.0).alias(c) for c in names))
+    added = F.aggregate("parts", start, lambda t, p: F.struct(*((t[c] + p[c]).alias(c) for c in names)))
+    sums = out.groupBy(*keys).agg(F.sort_array(F.collect_list(parts)).alias("parts")).select(*keys, added.alias("t"))
+    return sums.select(*keys, *((F.col("t")[c] / F.col("t.weight")).cast("float").alias(c) for c in channels))
 
 
 def resize(pixels: DataFrame, width: str | Column | int, height: str | Column | int) -> DataFrame:

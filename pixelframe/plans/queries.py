@@ -127,7 +127,7 @@ def _resize_sql(w: str, h: str, end: str = "") -> str:
           FROM (SELECT i, s, {size} / {to}::DOUBLE AS sc, greatest({size} / {to}::DOUBLE, 1::DOUBLE) / 2 AS rd FROM (SELECT unnest(range({to})) AS i), (SELECT unnest(range({size})) AS s)))"""
 
     pre = ", ".join(f"{c} * (a * {1 / 255!r}::DOUBLE) AS {c}" for c in "rgb")
-    one = ", ".join(f"(sum({c} * w) / sum(w))::FLOAT::DOUBLE AS {c}" for c in "rgba")
+    one = ", ".join(f"(sum({c} * w ORDER BY s) / sum(w ORDER BY s))::FLOAT::DOUBLE AS {c}" for c in "rgba")
     out = ", ".join(f"CASE WHEN a > 0 THEN floor({c} * (255::DOUBLE / a) + 0.5::DOUBLE) ELSE 0 END::INT AS {c}" for c in "rgb")
     return f""", {footprint("fx", 16, w)}, {footprint("fy", 12, h)},
     pre AS (SELECT image_id, y, x, {pre}, a::DOUBLE AS a FROM pa),
