@@ -50,9 +50,45 @@ def test_suffixes(spark):
     assert got == [("co.uk", "b.co.uk"), ("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "y.com"), ("com", "y.com"), ("com", "com"), ("", "")]
 
 
-def test_rules_are_bounded(spark):
-    with pytest.raises(ValueError):
-        h.rule_for(F.lit("a"), F.lit("b"), [("block", "x", "/")] * (h.MOST_RULES + 1))
+def test_more_rules_than_a_plan_holds_are_joined(spark):
+    """Joined rules decide as those of the plan; of equals a block wins."""
+    urls = ["http://a.example.com/en/x", "http://www.example.com/en/", "http://q.net/es/1", "http://q.net/e", "x://com", None, "http://a.b.c.d/p/q/r", "http://c.d/p/q", "http://c.d/p/q", "http://.net/fr/"]
+    rules = [*h.RULES, ("allow", "c.d", "/p"), ("block", "c.d", "/p/q"), ("allow", "c.d", "/p/q"), ("allow", "b.c.d", ""), ("block", "", "")]
+    rows = pages(spark, list(enumerate(urls)))
+    host, path = h.host_and_path(F.col("url"))
+    judged = rows.select("page_id", host.alias("host"), path.alias("path"))
+    plain = {(r.host, r.path): r.found for r in judged.select("host", "path", h.rule_for(F.col("host"), F.col("path"), rules).alias("found")).collect() if r.found}
+    table = spark.createDataFrame(rules, "action string, host string, path string")
+    assert {(r.host, r.path): r.found for r in h.rules_joined(judged, table).collect()} == plain and len(plain) == 7
+    many = rules + [("block", f"h{i}.zz", f"/{i}") for i in range(h.MOST_RULES)]
+    one, two = (sorted((r.page_id, r.rule, r.verdict) for r in h.filter_urls(rows, x).collect() if r.page_id != 5) for x in (many, table))
+    assert [(i, r) for i, r, _ in one] == [(i, r) for i, r, _ in two]
+
+
+def test_sites_leave_user_port_and_dots_out(spark):
+    names = ["a.example.com:8080", "u:p@x.com", "x.com.", "10.0.0.1:80", "[::1]:80", "b:", "", "a.b.co.uk."]
+    site = h.site_of(F.col("h"))
+    rows = spark.createDataFrame([(n,) for n in names], "h string").select(site.alias("site"))
+    got = [tuple(r) for r in rows.select("site", *h.suffix_and_domain(F.col("site"))).collect()]
+    assert got == [("a.example.com", "com", "example.com"), ("x.com", "com", "x.com"), ("x.com", "com", "x.com"), ("10.0.0.1", "", "10.0.0.1"), ("[::1]", "", "[::1]"), ("b", "b", "b"), ("", "", ""), ("a.b.co.uk", "co.uk", "b.co.uk")]
+    listed = spark.createDataFrame([("city.kawasaki.jp",), ("kawasaki.jp",), ("jp",), ("com",)], "suffix string")
+    rows = spark.createDataFrame([("x.y.city.kawasaki.jp",), ("kawasaki.jp",), ("q.kawasaki.jp",), ("a.b.org",), ("m.x.com",), ("1.2.3.4",)], "site string")
+    got = {r.site: (r.suffix, r.domain) for r in h.registered(rows, listed).collect()}
+    assert got == {"x.y.city.kawasaki.jp": ("city.kawasaki.jp", "y.city.kawasaki.jp"), "kawasaki.jp": ("kawasaki.jp", "kawasaki.jp"), "q.kawasaki.jp": ("kawasaki.jp", "q.kawasaki.jp"), "a.b.org": ("org", "b.org"), "m.x.com": ("com", "x.com"), "1.2.3.4": ("", "1.2.3.4")}
+
+
+def test_a_suffix_without_labels_is_in_doubt(spark):
+    """Its mean is that of all, but the bound is wide; evidence narrows it."""
+    rows = [(f"h{i}.d{i % 5}.net", i % 10 > 0 and i % 3 > 0) for i in range(400)] + [(f"g{i}.e{i % 7}.com", i % 4 == 0) for i in range(400)] + [("x.unseen.org", None)] * 9
+    got = {r.host: r for r in h.reputations(spark.createDataFrame(rows, "host string, good boolean")).collect()}
+    assert got["x.unseen.org"].upper > 0.8 > got["g1.e1.com"].upper and got["x.unseen.org"].n_labelled == 0
+    none = h.reputations(spark.createDataFrame([("a.b", None), (None, True), (None, None)], "host string, good boolean")).collect()
+    assert len(none) == 1 and none[0].rate == 0.5 and none[0].upper > 1
+
+
+def test_texts_label_pages(spark):
+    rows = spark.createDataFrame([(1, "<p>" + "good words " * 30), (2, "<p>" + "bad$$ #words " * 30), (3, "short"), (4, ""), (5, None)], "i int, html string")
+    assert {r.i: r.g for r in rows.select("i", h.good_text(F.col("html")).alias("g")).collect()} == {1: True, 2: False, 3: False, 4: False, 5: None}
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
