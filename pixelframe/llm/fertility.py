@@ -5,13 +5,14 @@ vocabulary knows costs few pieces, spreads over many of them and needs few byte
 encoded blobs, mojibake and endless repetition do not. Three measures are taken of each
 document under each vocabulary:
 
-* characters per token,
+* characters (of words) per token,
 * byte-fallback share: of the tokens, those that stand for single bytes and not for characters,
 * token entropy in bits: of the document's own token distribution.
 
-Each must lie in the band of the document's dominant script (and of its language, where one
-is given). Bands are parameters, not fitted: one pass, no shuffle, the same verdict whatever
-else is in the corpus. :func:`bands_from` proposes bands from trusted text.
+Each must lie in a band. Where there is trusted text, the bands are those of the document's language, or else of its
+dominant script, taken over all trusted documents (:func:`bands_from`); for what has too few of them, and without
+trusted text, they are fixed ones by script. The texts are read once, in one pass without a shuffle; bands and verdicts
+are aggregations and joins of the measures.
 
 A document's words are encoded once per distinct word and task (pieces never cross the space
 before a word), so the cost is that of the distinct words.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, columns_of
+from .common import WORD, columns_of, staged
 
 #: First code point after each range, and the script of the range.
 SCRIPT_RANGES = (
@@ -41,7 +42,7 @@ SCRIPT_RANGES = (
     (0x0780, "Arabic"), (0x0900, "Other"), (0x0E00, "Indic"), (0x0E80, "Thai"), (0x1100, "Other"),
     (0x1200, "Hangul"), (0x1E00, "Other"), (0x1F00, "Latin"), (0x2000, "Greek"), (0x3040, ""),
     (0x3100, "Kana"), (0x3400, "Other"), (0xA000, "Han"), (0xAC00, "Other"), (0xD7B0, "Hangul"),
-    (0xF900, "Other"), (0xFB00, "Han"), (0x20000, "Other"), (0x30000, "Han"), (0x110000, "Other"),
+    (0xF900, "Other"), (0xFB00, "Han"), (0x1F000, "Other"), (0x20000, ""), (0x30000, "Han"), (0x110000, "Other"),
 )
 _ENDS = np.array([end for end, _ in SCRIPT_RANGES], dtype=np.uint32)
 _NAMES = sorted({name for _, name in SCRIPT_RANGES})
@@ -65,7 +66,7 @@ class Band:
         return self.least_chars <= chars <= self.most_chars and share <= self.most_bytes and entropy >= self.least_entropy
 
 
-#: By vocabulary, then by script or language (a language's band comes first).
+#: Fixed bands by vocabulary and script; ``None`` is that of texts without letters, ``Other`` of scripts without a band.
 BANDS: dict[str, dict[str, Band]] = {
     "piece_bpe_32k.model": {
         "Latin": Band(1.5, 9.0, 0.20, 4.5),
@@ -74,7 +75,12 @@ BANDS: dict[str, dict[str, Band]] = {
         "Han": Band(0.3, 4.0, 0.90, 3.5),
         "Kana": Band(0.4, 5.0, 0.80, 3.5),
         "Hangul": Band(0.3, 4.0, 0.95, 3.5),
-        "Other": Band(0.2, 9.0, 1.00, 3.0),
+        "Arabic": Band(0.4, 6.0, 0.90, 3.5),
+        "Hebrew": Band(0.4, 6.0, 0.90, 3.5),
+        "Indic": Band(0.3, 5.0, 0.95, 3.5),
+        "Thai": Band(0.3, 5.0, 0.95, 3.5),
+        "Other": Band(0.2, 9.0, 1.00, 3.5),
+        "None": Band(1.2, 9.0, 0.50, 4.0),
     },
     "byte_bpe_multi_50k.tiktoken": {
         "Latin": Band(1.4, 10.0, 0.20, 4.5),
@@ -83,24 +89,32 @@ BANDS: dict[str, dict[str, Band]] = {
         "Han": Band(0.3, 4.0, 0.95, 3.5),
         "Kana": Band(0.3, 5.0, 0.90, 3.5),
         "Hangul": Band(0.3, 4.0, 0.95, 3.5),
-        "Other": Band(0.2, 9.0, 1.00, 3.0),
+        "Arabic": Band(0.4, 6.0, 0.90, 3.5),
+        "Hebrew": Band(0.4, 6.0, 0.90, 3.5),
+        "Indic": Band(0.3, 5.0, 0.95, 3.5),
+        "Thai": Band(0.3, 5.0, 0.95, 3.5),
+        "Other": Band(0.2, 9.0, 1.00, 3.5),
+        "None": Band(1.2, 9.0, 0.50, 4.0),
     },
 }
+#: A language or script has a band of its own from so many trusted documents on. It is as wide as so many distances of the
+#: quartiles, and a distance counts as this share of the median at least; the byte share may always be the last number.
+LEAST_TRUSTED, WIDTH, LEAST_SPREAD, FREE_SHARE = 30, 5.0, 0.02, 0.05
 
-SCHEMA = (
+_MEASURED = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "base_failed boolean, kept boolean, script string, chars_per_token double, byte_share double, token_entropy double, reason string"
+    "base_failed boolean, lang string, script string, chars array<double>, shares array<double>, entropies array<double>"
 )
 
 
 def script_of(text: str) -> str:
-    """The script that most letters belong to; ``Other`` if there are none. Ties: the first by name."""
+    """The script that most letters belong to; ``None`` if there are none. Ties: the first by name."""
     if text.isascii():
-        return "Latin" if re.search("[A-Za-z]", text) else "Other"
+        return "Latin" if re.search("[A-Za-z]", text) else "None"
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     found = np.bincount(_CODES[np.searchsorted(_ENDS, points, side="right")], minlength=len(_NAMES))
     found[_NAMES.index("")] = 0
-    return _NAMES[int(found.argmax())] if found.any() else "Other"
+    return _NAMES[int(found.argmax())] if found.any() else "None"
 
 
 class Vocabulary:
@@ -198,53 +212,97 @@ def repeated_words(words: list[str]) -> int:
     return covered
 
 
-def quality_rules(
-    docs: DataFrame,
-    vocabularies: dict[str, str],
-    bands: dict[str, dict[str, Band]] | None = None,
-    min_words: int = 50,
-    most_repeated_percent: int = 50,
-) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text, optional lang): base measures, fertility and verdict.
-
-    ``vocabularies`` maps a vocabulary's name to its file, which every executor can open. The
-    measures that are returned are those of the first one; all must hold. ``kept`` is false
-    where the base rules fail (fewer than ``min_words`` words, or more than that percentage of
-    words in repeated windows) or a band is left; ``reason`` names the first cause.
-
-    Nulls: a null text has no words and fails; a null doc_id or language is carried or ignored.
-    Empty texts fail. Very long texts are measured whole. Repeated rows give repeated rows.
-    Other columns are not read. An empty table gives an empty result.
-    """
-    bands = BANDS if bands is None else bands
-    missing = [v for v in vocabularies if v not in bands]
-    if missing or not vocabularies:
-        raise ValueError(f"no bands for the vocabularies {missing or 'given'}")
+def measures(docs: DataFrame, vocabularies: dict[str, str], min_words: int = 50, most_repeated_percent: int = 50) -> DataFrame:
+    """Base measures, language, script and what each vocabulary measures (arrays in their order), a row for each row of ``docs``."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meters = {name: Vocabulary(path) for name, path in vocabularies.items()}
+        meters = [Vocabulary(path) for path in vocabularies.values()]
         for ids, texts, langs in _bounded(columns_of(batches, "doc_id", "text", "lang", rows=SLICE)):
             decoded = [(raw or b"").decode("utf-8", "replace") for raw in texts]
             bases = [base_measures(text) for text in decoded]
             place: dict[str, int] = {}
             at = np.fromiter((place.setdefault(w, len(place)) for base in bases for w in base[0]), np.int64)
             doc = np.repeat(np.arange(len(bases)), [len(base[0]) for base in bases])
-            chars = np.array([len(text) for text in decoded], np.float64)
-            found = {name: meter.measure(list(place), at, doc, chars).tolist() for name, meter in meters.items()}
+            chars = np.array([base[1] for base in bases], np.float64)
+            found = np.stack([meter.measure(list(place), at, doc, chars) for meter in meters], axis=2)
             rows = []
             for i, (doc_id, text, lang, (words, n, symbols, same_lines, again)) in enumerate(zip(ids, decoded, langs, bases, strict=True)):
                 failed = len(words) < min_words or 100 * again > most_repeated_percent * len(words)
-                script, reason = script_of(text), "base" if failed else None
-                for name, measures in found.items():
-                    by = bands[name]
-                    band = by.get(lang) or by.get(script) or by["Other"]
-                    if reason is None and not band.holds(*measures[i]):
-                        reason = name
-                rows.append((doc_id, len(words), n, symbols, same_lines, again, failed, reason is None, script, *next(iter(found.values()))[i], reason))
+                rows.append((doc_id, len(words), n, symbols, same_lines, again, failed, lang, script_of(text), *found[i].tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_FIELDS)
 
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), lang).mapInArrow(measured, SCHEMA)
+    lang = F.col("lang").cast("string").alias("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), lang).mapInArrow(measured, _MEASURED)
+
+
+def bands_from(measured: DataFrame, by: str, width: float = WIDTH) -> DataFrame:
+    """Bands by the column ``by`` (lang or script) from :func:`measures` of trusted documents: key, n_docs and bands, an array by vocabulary.
+
+    Quartiles by mergeable sketches, moved out by ``width`` times their distance. Documents that fail the base rules, and
+    those whose key is null, are left out.
+    """
+    n = F.posexplode(F.arrays_zip("chars", "shares", "entropies")).alias("at", "m")
+    each = measured.where(~F.col("base_failed") & F.col(by).isNotNull()).select(F.col(by).alias("key"), n).select("key", "at", "m.*")
+    q = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000)
+    spread = lambda c: width * F.greatest(F.col(c)[2] - F.col(c)[0], LEAST_SPREAD * F.col(c)[1])
+    table = each.groupBy("key", "at").agg(F.count("*").alias("n_docs"), q("chars").alias("c"), q("shares").alias("b"), q("entropies").alias("e"))
+    band = F.struct(
+        (F.col("c")[0] - spread("c")).alias("least_chars"), (F.col("c")[2] + spread("c")).alias("most_chars"),
+        F.greatest(F.col("b")[2] + spread("b"), F.lit(FREE_SHARE)).alias("most_bytes"), (F.col("e")[0] - spread("e")).alias("least_entropy"),
+    )
+    listed = F.array_sort(F.collect_list(F.struct("at", band.alias("band"))))
+    return table.groupBy("key").agg(F.max("n_docs").alias("n_docs"), F.transform(listed, lambda x: x["band"]).alias("bands"))
+
+
+def quality_rules(
+    docs: DataFrame,
+    vocabularies: dict[str, str],
+    trusted: DataFrame | None = None,
+    fixed: dict[str, dict[str, Band]] | None = None,
+    min_words: int = 50,
+    most_repeated_percent: int = 50,
+) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text, optional lang): base measures, fertility and verdict.
+
+    ``vocabularies`` maps a vocabulary's name to its file, which every executor can open; ``trusted`` (doc_id) names the
+    documents that bands are taken from. The measures that are returned are those of the first vocabulary; all must
+    hold. ``kept`` is false where the base rules fail (fewer than ``min_words`` words, or more than that percentage of
+    words in repeated windows) or a band is left; ``reason`` names the first cause, ``band`` whose band it was.
+
+    Nulls: a null text has no words and fails; a null doc_id is carried and never trusted; a null language has its
+    script's band. Empty texts fail. Very long texts are measured whole. Repeated rows give repeated rows (and count
+    each among the trusted). Other columns are not read. An empty table gives an empty result.
+    """
+    fixed = BANDS if fixed is None else fixed
+    missing = [v for v in vocabularies if v not in fixed]
+    if missing or not vocabularies:
+        raise ValueError(f"no bands for the vocabularies {missing or 'given'}")
+    found = measures(docs, vocabularies, min_words, most_repeated_percent)
+    scripts = sorted(set.intersection(*({*fixed[v]} for v in vocabularies)))
+    numbers = ("least_chars", "most_chars", "most_bytes", "least_entropy")
+    literal = lambda b: F.struct(*(F.lit(float(getattr(b, x))).alias(x) for x in numbers))
+    table = F.create_map(*[x for k in scripts for x in (F.lit(k), F.array(*(literal(fixed[v][k]) for v in vocabularies)))])
+    plain = F.coalesce(F.try_element_at(table, F.col("script")), F.try_element_at(table, F.lit("Other")))
+    if trusted is None:
+        found = found.withColumn("band", F.lit("fixed")).withColumn("bands", plain)
+    else:
+        found = staged(found, "fertility")
+        good = found.join(trusted.select(F.col("doc_id").alias("good_id")).where("good_id is not null").distinct(), F.col("doc_id") == F.col("good_id"), "left_semi")
+        good = staged(good.select("lang", "script", "base_failed", "chars", "shares", "entropies"), "fertility-trusted")
+        for by in ("lang", "script"):
+            own = bands_from(good, by).where(F.col("n_docs") >= LEAST_TRUSTED).select(F.col("key").alias(f"{by}_key"), F.col("bands").alias(f"{by}_bands"))
+            found = found.join(own, F.col(by) == F.col(f"{by}_key"), "left")
+        whose = F.when(F.col("lang_bands").isNotNull(), F.concat(F.lit("lang "), "lang")).when(F.col("script_bands").isNotNull(), F.concat(F.lit("script "), "script")).otherwise("fixed")
+        found = found.withColumn("band", whose).withColumn("bands", F.coalesce("lang_bands", "script_bands", plain))
+    reason = F.when(F.col("base_failed"), "base")
+    for i, name in enumerate(vocabularies):
+        b = F.col("bands")[i]
+        reason = reason.when((F.col("chars")[i] < b["least_chars"]) | (F.col("chars")[i] > b["most_chars"]), f"{name}: characters per token")
+        reason = reason.when(F.col("shares")[i] > b["most_bytes"], f"{name}: byte share").when(F.col("entropies")[i] < b["least_entropy"], f"{name}: entropy")
+    first = [F.col(c)[0].alias(x) for c, x in (("chars", "chars_per_token"), ("shares", "byte_share"), ("entropies", "token_entropy"))]
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    judged = found.withColumn("reason", reason)
+    return judged.select(*base, F.col("reason").isNull().alias("kept"), "script", *first, "reason", "band")
 
 
 def _bounded(slices: Iterator[tuple[list, ...]]) -> Iterator[tuple[list, ...]]:
@@ -258,19 +316,6 @@ def _bounded(slices: Iterator[tuple[list, ...]]) -> Iterator[tuple[list, ...]]:
                 first, size = i + 1, 0
 
 
-_FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
-_TYPES = [{"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in SCHEMA.split(", ")]
-
-
-def bands_from(measures: DataFrame, width: float = 3.0) -> DataFrame:
-    """Bands by script from the result of :func:`quality_rules` over trusted text.
-
-    Quartiles by mergeable sketches, widened by ``width`` times their distance; one row for
-    each script, of which there are a dozen at most.
-    """
-    ok = measures.where(~F.col("base_failed"))
-    q = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000)
-    low = lambda c: F.col(c)[0] - width * (F.col(c)[1] - F.col(c)[0])
-    high = lambda c: F.col(c)[1] + width * (F.col(c)[1] - F.col(c)[0])
-    by = ok.groupBy("script").agg(q("chars_per_token").alias("c"), q("byte_share").alias("b"), q("token_entropy").alias("e"), F.count("*").alias("n_docs"))
-    return by.select("script", "n_docs", low("c").alias("least_chars"), high("c").alias("most_chars"), high("b").alias("most_bytes"), low("e").alias("least_entropy"))
+_FIELDS = [x.split()[0] for x in _MEASURED.split(", ")]
+_KINDS = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+_TYPES = [_KINDS[x.split()[1]] for x in _MEASURED.split(", ")]

@@ -27,7 +27,8 @@ def vocabulary(name: str) -> str:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
-    return fertility.quality_rules(read_table(spark, sf_dir, "documents"), {n: vocabulary(n) for n in names})
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
+    return fertility.quality_rules(read_table(spark, sf_dir, "documents"), {n: vocabulary(n) for n in names}, trusted)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
