@@ -10,21 +10,19 @@ with many (:data:`DENSE`) is linked without pairs, through the points half way b
 are within t exactly if they share a point within t//2 of one and t - t//2 of the other. Either way no link
 is lost, and the work is linear in the fingerprints.
 
-*Given similarity* (:func:`similar_documents`). At a cosine of 0.8 a fifth of all bits differ, so no two
-equal segments are left that could serve as a key. There the ring is made of cells: the document's
-shingles are dealt by hash into cells of a few shingles each, and a cell's signature changes only with
-its own shingles. Documents that share a cell are candidates; the pigeonring test runs over 16-bit
-segments of their 256-bit fingerprints, and those that pass take the full Hamming test. A cell of many documents
-is linked around pivots instead (:func:`ball_links`), which loses no component. Short documents
-have too few shingles for cells or fingerprints to tell: theirs are compared as sets, with a prefix filter.
+*Given similarity* (:func:`similar_documents`). Similarity is the cosine of the documents' sets of shingles. At 0.8 a
+fifth of all fingerprint bits differ, so no two equal segments are left that could serve as a key. There the ring is
+made of cells: the document's shingles are dealt by hash into cells of a few shingles each, and a cell's signature
+changes only with its own shingles. Documents that share a cell are candidates; short documents, whose cells say
+little, share one of their first shingles by hash (a prefix filter, exact). Pigeonring over 64-bit segments of 1024-bit
+fingerprints prunes the candidates, the full Hamming test follows, with room for the fingerprints' own error, and what
+is left is compared exactly. A key that many documents share has not all its pairs listed: see :func:`similar_links`.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -208,56 +206,74 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, dense:
 
 # ---------------------------------------------------------------- given similarity
 
-WIDE, CELLS, PER_CELL, LEAST_CELL = 4, 24, 4, 3
-#: Documents of at most so many distinct shingles are compared by their shingles too, exactly.
-SHORT, _TINY = 80, 1e-9
-#: A cell with at most so many documents has all its pairs listed; a larger one is linked in one place, to the same components.
-SMALL, _BLOCK = 32, 512
+#: 64-bit words of a fingerprint; deviations of its error that the Hamming test allows for.
+WIDE, ERRORS = 16, 4.0
+#: Cells of a document at most and the least shingles of one that counts. Up to SHORT shingles there are prefixes instead.
+CELLS, LEAST_CELL, SHORT = 32, 2, 64
+#: A key with at most so many documents has all its pairs tested at once; those of a larger one are dealt into blocks of about BLOCK.
+SMALL, BLOCK = 32, 2048
+_ROWS, _TINY = 256, 1e-9
 
 
 def budget(similarity: float, bits: int = WIDE * 64) -> int:
-    """Most differing bits of fingerprints whose documents have that cosine."""
-    return int(bits * np.arccos(similarity) / np.pi)
+    """Most differing bits of fingerprints whose sets have that cosine, :data:`ERRORS` deviations included."""
+    share = float(np.arccos(similarity) / np.pi)
+    return int(bits * (share + ERRORS * np.sqrt(share * (1 - share) / bits)))
 
 
-def wide_hashes(hashes: np.ndarray) -> np.ndarray:
-    """n x WIDE words of hash bits from n hashes (splitmix finaliser over successive offsets)."""
+def wide_hashes(values: np.ndarray) -> np.ndarray:
+    """n x WIDE words of hash bits from n values (splitmix finaliser over successive offsets)."""
     with np.errstate(over="ignore"):
-        z = hashes[:, None] + np.arange(WIDE, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        z = values.astype(np.uint64)[:, None] + np.arange(WIDE, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
 
 
-def cell_signatures(distinct: np.ndarray) -> list[int]:
-    """Signatures of the cells of a document's distinct shingle hashes, as signed longs.
+def set_of(raw: bytes | None, size: int) -> np.ndarray:
+    """The document's set of shingles as rising 32-bit hashes."""
+    return np.unique((hashes_of(shingles_of(raw, size)) >> np.uint64(32)).astype(np.uint32))
 
-    At level q (about the logarithm of the number n of shingles) up to CELLS cells hold PER_CELL to
-    twice as many shingles each: a fixed stretch of the hash space, so that similar documents agree on
-    it. A document whose n is near a power of two uses both levels, as its near copies might.
+
+def fingerprint_of_set(values: np.ndarray) -> bytes:
+    """1024 bits; a chunk of shingles is hashed at a time."""
+    votes = np.zeros(WIDE * 64, np.int64)
+    for at in range(0, len(values), 4096):
+        bits = np.unpackbits(wide_hashes(values[at : at + 4096]).view(np.uint8), axis=1, bitorder="little")
+        votes += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(values), bitorder="little").tobytes()
+
+
+def keys_of(values: np.ndarray, similarity: float) -> list[int]:
+    """The keys of a set, as signed longs: two sets of that cosine share one.
+
+    Up to SHORT shingles, and up to as many more as a similar set can have, they are the first shingles by hash: two sets
+    that share none of theirs are less similar, surely. From SHORT on they are signatures of up to CELLS cells, fixed
+    stretches of the hash space that hold two to five shingles each. The number of cells goes with the logarithm of the
+    number of shingles; a set that similar ones of another logarithm may exist for has the cells of both.
     """
-    n = len(distinct)
-    if not n:
-        return []
-    levels = {int(np.log2(n))} | {max(0, int(np.log2(n * r))) for r in (0.8, 1.25)}
-    out = []
-    mixed = wide_hashes(distinct)[:, 1]
-    high = distinct >> np.uint64(11)
-    for q in sorted(levels):
-        cells = max(1, min(CELLS, (1 << q) // PER_CELL))
-        reach = min(1.0, cells * PER_CELL / (1 << q))
-        cell = np.floor(high.astype(np.float64) / (1 << 53) / reach * cells).astype(np.int64)
-        inside = cell < cells
-        held = np.bincount(cell[inside], minlength=cells)
-        total = np.zeros(cells, np.uint64)
-        np.add.at(total, cell[inside], mixed[inside])
-        kept = np.flatnonzero(held >= min(LEAST_CELL, n))
-        out += wide_hashes(total[kept] ^ (kept.astype(np.uint64) + np.uint64(q << 8)))[:, 0].view(np.int64).tolist()
-    return out
+    n, s2 = len(values), similarity * similarity
+    out: list[int] = []
+    if n and n <= SHORT / s2:
+        first = n - int(np.ceil(s2 * n - _TINY)) + 1
+        out += wide_hashes(values[:first].astype(np.uint64) + np.uint64(1 << 40))[:, 0].view(np.int64).tolist()
+    if n > SHORT:
+        mixed = wide_hashes(values)[:, 1]
+        for q in sorted({int(np.log2(n * r)) for r in (similarity, 1.0, 1 / similarity)}):
+            held = 2.0 if q < 8 else 2.5
+            cells = min(CELLS, int((1 << q) / held))
+            reach = min(1.0, cells * held / (1 << q))
+            cell = np.floor(values.astype(np.float64) / (1 << 32) / reach * cells).astype(np.int64)
+            inside = cell < cells
+            total = np.zeros(cells, np.uint64)
+            np.add.at(total, cell[inside], mixed[inside])
+            kept = np.flatnonzero(np.bincount(cell[inside], minlength=cells) >= LEAST_CELL)
+            out += wide_hashes(total[kept] ^ (kept.astype(np.uint64) + np.uint64(q << 8)))[:, 0].view(np.int64).tolist()
+    return list(dict.fromkeys(out))
 
 
 def pigeonring(differ: np.ndarray, distance: int) -> np.ndarray:
-    """Rows of 16-bit XOR segments (n x m) with a chain whose every prefix of length l is within l*distance/m."""
+    """Rows of XOR segments (n x m) with a chain whose every prefix of length l is within l*distance/m."""
     counts = np.bitwise_count(differ).astype(np.int64)
     m = counts.shape[1]
     total, ok = np.zeros_like(counts), np.ones(counts.shape, bool)
@@ -269,171 +285,168 @@ def pigeonring(differ: np.ndarray, distance: int) -> np.ndarray:
 
 def _described(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, texts in columns_of(batches, "doc_id", "text_key", "text"):
-            wholes, prints, cells, few = [], [], [], []
-            for raw in texts:
-                hashes = hashes_of(shingles_of(raw, shingle))
-                wholes.append(xxhash.xxh3_128_digest(b" ".join((raw or b"").lower().split())))
-                prints.append(fingerprint_of(wide_hashes(hashes)).tobytes())
-                distinct = np.unique(hashes)
-                cells.append(cell_signatures(distinct))
-                few.append(distinct.view(np.int64).tolist() if 0 < len(distinct) <= SHORT else None)
-            arrays = [pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(wholes, pa.binary()), pa.array(prints, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "fp", "cells", "few"])
+        for ids, keys, nodes, texts in columns_of(batches, "doc_id", "text_key", "node", "text"):
+            sets = [set_of(t, shingle).tobytes() for t in texts]
+            arrays = [pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "shingles"])
 
     return run
 
 
-def _close(distance: int):
+def _sketched(similarity: float):
+    """(node, shingles) to fingerprints and keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if not x.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint16).reshape(x.num_rows, -1) for i in (2, 3))
-            differ = a ^ b
-            ok = pigeonring(differ, distance)
-            ok[ok] = np.bitwise_count(differ[ok]).sum(axis=1) <= distance
-            yield x.select(["a", "b"]).filter(pa.array(ok))
+        for nodes, first, sets in columns_of(batches, "node", "first", "shingles"):
+            values = [np.frombuffer(x, np.uint32) for x in sets]
+            arrays = [pa.array(nodes, pa.binary()), pa.array(first, _FIRST), pa.array(sets, pa.binary()), pa.array([fingerprint_of_set(v) for v in values], pa.binary()), pa.array([keys_of(v, similarity) for v in values], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "first", "shingles", "fp", "cells"])
 
     return run
 
 
-def candidates(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From ``cells`` (cell, node): (a, b), a < b, the pairs of nodes that share a small cell, and the rows of large cells."""
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("cell", "at")
-    shared = staged(cells.join(sizes, F.col("cell") == F.col("at")).select("cell", "node", "n"), "simhash-cells")
-    small = shared.where(F.col("n") <= SMALL).select("cell", "node")
-    pairs = small.join(small.select(F.col("cell").alias("at"), F.col("node").alias("other")), (F.col("cell") == F.col("at")) & (F.col("node") < F.col("other")))
-    return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), shared.where(F.col("n") > SMALL).select("cell", "node")
+_FIRST = pa.struct([("last", pa.bool_()), ("doc_id", pa.int64()), ("text_key", pa.string())])
+_FIRST_DDL = "struct<last:boolean,doc_id:bigint,text_key:string>"
 
 
-def ball_links(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links (places) with the components of all pairs of fingerprints (n x words) within ``distance`` bits.
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
 
-    All members are measured from a pivot, and those within the distance leave with it. Whoever is beyond twice the
-    distance can be near none of them; the others are tested against them until one is near. The rest goes on with
-    another pivot: the member next to the majority of bits while many leave with it, else the first.
-    """
-    links: list[tuple[int, int]] = []
-    rest, dominant = np.arange(len(prints)), True
-    while len(rest) > 1:
-        at = 0
-        if dominant:
-            at = int(np.bitwise_count(prints[rest] ^ fingerprint_of(prints[rest])).sum(axis=1, dtype=np.int64).argmin())
-        pivot, rest = rest[at], np.delete(rest, at)
-        away = np.bitwise_count(prints[rest] ^ prints[pivot]).sum(axis=1, dtype=np.int64)
-        near, middle = rest[away <= distance], rest[(away > distance) & (away <= 2 * distance)]
-        links += [(pivot, x) for x in near]
-        for at in range(0, len(near), _BLOCK):
-            if not len(middle):
-                break
-            some, linked = near[at : at + _BLOCK], np.zeros(len(middle), bool)
-            for k in range(0, len(middle), _BLOCK):
-                part = middle[k : k + _BLOCK]
-                close = np.bitwise_count(prints[part][:, None] ^ prints[some][None]).sum(axis=2, dtype=np.int64) <= distance
-                linked[k : k + _BLOCK] = close.any(axis=1)
-                links += [(some[close[i].argmax()], part[i]) for i in np.flatnonzero(close.any(axis=1))]
-            middle = middle[~linked]
-        dominant = len(near) * 8 >= len(rest)
-        rest = rest[away > distance]
-    return links
-
-
-def _balls(distance: int):
-    return lambda values: ball_links(np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(len(values), -1), distance)
-
-
-def _by_key(links_of):
-    """Streams rows (key, node, value) sorted by key; ``links_of`` gives the linked places of the values of one key."""
 
+def _close(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, nodes, values = None, [], []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                x = batch.slice(at, 4096)
+                differ = _words(x.column(2)) ^ _words(x.column(3))
+                ok = pigeonring(differ, distance)
+                ok[ok] = np.bitwise_count(differ[ok]).sum(axis=1, dtype=np.int64) <= distance
+                yield x.select(["a", "b"]).filter(pa.array(ok))
 
-        def close() -> Iterator[pa.RecordBatch]:
-            links = links_of(pa.concat_arrays(values)) if sum(map(len, values)) > 1 else []
-            if len(links):
-                i, j = np.array(links, np.int64).T
-                whole = pa.concat_arrays(nodes)
-                yield pa.RecordBatch.from_arrays([whole.take(pa.array(i)), whole.take(pa.array(j))], names=["a", "b"])
+    return run
+
+
+def _exact(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = (np.frombuffer(x.as_py(), np.uint32) for x in (a, b))
+                both = np.sort(np.concatenate([a, b]))
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                ok.append(shared >= similarity * np.sqrt(len(a) * len(b)) - _TINY)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _with(pairs: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
+    """(a, b, of_a, of_b): both nodes' value of the column ``what``."""
+    of = nodes.select(F.col("node").alias("who"), F.col(what).alias("value"))
+    one = pairs.join(of, F.col("a") == F.col("who")).select("a", "b", F.col("value").alias("of_a"))
+    return one.join(of, F.col("b") == F.col("who")).select("a", "b", "of_a", F.col("value").alias("of_b"))
 
+
+def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have that cosine: pigeonring, the Hamming test, then the sets themselves."""
+    near = staged(_with(pairs, nodes, "fp").mapInArrow(_close(budget(similarity)), "a binary, b binary"), "simhash-near")
+    return staged(_with(near, nodes, "shingles").mapInArrow(_exact(similarity), "a binary, b binary"), "simhash-links")
+
+
+def _by_key(n_keys: int, of_group):
+    """Streams rows sorted by their first ``n_keys`` columns; ``of_group`` makes batches of the record batches of one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, []
         for x in batches:
-            keys = x.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+            keys = [x.column(i).to_numpy() for i in range(n_keys)]
+            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1 if x.num_rows else np.zeros(0, np.int64)
+            for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), x.num_rows], strict=True):
                 if at == end:
                     continue
-                if keys[at] != held:
-                    yield from close()
-                    held, nodes, values = keys[at], [], []
-                nodes.append(x.column(1).slice(at, end - at))
-                values.append(x.column(2).slice(at, end - at))
-        yield from close()
+                key = tuple(int(k[at]) for k in keys)
+                if key != held:
+                    if parts:
+                        yield from of_group(parts)
+                    held, parts = key, []
+                parts.append(x.slice(at, end - at))
+        if parts:
+            yield from of_group(parts)
 
     return run
 
 
-def alike(sets: pa.Array, similarity: float) -> list[tuple[int, int]]:
-    """Links (places) with the components of all pairs of ``sets`` (lists without repeats) whose Jaccard similarity is enough.
+def _centre(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a block (cell, block, node, fp): the member next to the majority of bits, and its mean distance from the others."""
+    whole = pa.Table.from_batches(parts).combine_chunks()
+    prints = np.concatenate([_words(p.column(3)) for p in parts])
+    at = int(np.bitwise_count(prints ^ fingerprint_of(prints)).sum(axis=1, dtype=np.int64).argmin())
+    mean = float(np.bitwise_count(prints ^ prints[at]).sum(axis=1, dtype=np.int64).mean())
+    yield pa.RecordBatch.from_arrays([pa.array([parts[0].column(0)[0].as_py()]), pa.array([whole.column(2)[at].as_py()], pa.binary()), pa.array([mean])], names=["cell", "hub", "mean"])
+
+
+def _across(distance: int):
+    """Of a block (cell, block, side, node, fp, root): the pairs of a row of side 1 and a member (side 0) of another root within the distance."""
+
+    def run(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        side = table.column(2).to_numpy()
+        nodes, roots = (np.array(table.column(i).to_pylist(), object) for i in (3, 5))
+        prints = np.concatenate([_words(p.column(4)) for p in parts])
+        inside, outside = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        _, number = np.unique(roots, return_inverse=True)
+        for at in range(0, len(outside), _ROWS):
+            some = outside[at : at + _ROWS]
+            for k in range(0, len(inside), _ROWS):
+                member = inside[k : k + _ROWS]
+                near = np.bitwise_count(prints[some][:, None] ^ prints[member][None]).sum(axis=2, dtype=np.int64) <= distance
+                i, j = np.nonzero(near & (number[some][:, None] != number[member][None]))
+                if len(i):
+                    pairs = [(x, y) if x < y else (y, x) for x, y in zip(nodes[some[i]], nodes[member[j]], strict=True)]
+                    a, b = zip(*pairs, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    Members that share one of their rarest values are tested, unless links connect them already.
-    """
-    lengths = sets.value_lengths().to_numpy()
-    _, inverse, counts = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    members = [np.sort(r) for r in np.split(rank[inverse], np.cumsum(lengths)[:-1])]
-    parent = list(range(len(members)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    found: list[tuple[int, int]] = []
-    #: Members by each of their rarest values, in buckets that links connect.
-    index: dict[int, list[list[int]]] = defaultdict(list)
-    for x, own in enumerate(members):
-        n, values, tested = len(own), set(own.tolist()), set()
-        rarest = own[: n - ceil(similarity * n - _TINY) + 1].tolist()
-        for value in rarest:
-            for bucket in index[value]:
-                if root(bucket[0]) == root(x):
-                    continue
-                for y in bucket:
-                    if y in tested:
-                        continue
-                    tested.add(y)
-                    m = len(members[y])
-                    if min(n, m) < similarity * max(n, m) - _TINY:
-                        continue
-                    both = len(values.intersection(members[y].tolist()))
-                    if both >= similarity * (n + m - both) - _TINY:
-                        found.append((y, x))
-                        parent[root(x)] = root(y)
-                        break
-        for value in rarest:
-            mine = next((b for b in index[value] if root(b[0]) == root(x)), None)
-            if mine is None:
-                index[value].append([x])
-            else:
-                mine.append(x)
-    return found
-
-
-def short_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that connect exactly the ``nodes`` (node, few) with a Jaccard similarity of ``similarity`` or more.
-
-    ``few`` holds the sorted distinct shingles of a short document, null for others. Two such lists share one of their
-    first n - ceil(similarity * n) + 1 shingles, in any common order: these are the keys.
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of all ``nodes`` (node, shingles, fp, cells) that are linked to another: root is the least of a component.
+
+    A key with at most :data:`SMALL` nodes has all its pairs tested. Of a larger one, in which most are copies of one
+    text, every member is tested against one hub, that next to the majority of bits; the members are dealt into blocks for
+    it, so that no task holds more than a block. Those that are not in the component of most members then are tested
+    against all members of other components, block by block; fingerprints are compared in place and only pairs
+    that pass are listed. So the components are those of all pairs that share a key, at any size of a key.
     """
-    first = F.expr(f"slice(few, 1, size(few) - cast(ceil({similarity}D * size(few) - {_TINY}D) as int) + 1)")
-    short = nodes.where(F.col("few").isNotNull())
-    keyed = short.select(F.explode(first).alias("key"), "node")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("at"))
-    shared = keyed.join(sizes, F.col("key") == F.col("at")).select("key", "node")
-    full = shared.join(short.select(F.col("node").alias("who"), "few"), F.col("node") == F.col("who")).select("key", "node", "few")
-    return full.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_by_key(lambda sets: alike(sets, similarity)), "a binary, b binary")
+    cells = nodes.select(F.explode("cells").alias("cell"), "node")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("cell", "at")
+    shared = staged(cells.join(sizes, F.col("cell") == F.col("at")).select("cell", "node", "n"), "simhash-cells")
+    # A list has at most SMALL nodes.
+    lists = shared.where(F.col("n") <= SMALL).groupBy("cell").agg(F.array_sort(F.collect_set("node")).alias("l"))
+    pair = lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    pairs = lists.where(F.size("l") > 1).select(F.explode(F.flatten(F.transform("l", pair))).alias("p")).select("p.a", "p.b")
+    large = shared.where(F.col("n") > SMALL).join(nodes.select(F.col("node").alias("who"), "fp"), F.col("node") == F.col("who"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    large = staged(large.select("cell", block.alias("block"), "node", "fp", blocks.alias("blocks")), "simhash-large")
+    centres = large.select("cell", "block", "node", "fp").repartition("cell", "block").sortWithinPartitions("cell", "block", "node").mapInArrow(_by_key(2, _centre), "cell bigint, hub binary, mean double")
+    hubs = centres.groupBy("cell").agg(F.min(F.struct("mean", "hub")).alias("best")).select(F.col("cell").alias("at"), F.col("best.hub").alias("hub"))
+    to_hub = large.select("cell", "node").join(hubs, F.col("cell") == F.col("at")).where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    roots = staged(components(verified(pairs.unionByName(to_hub).distinct(), nodes, similarity)), "simhash-roots")
+    members = large.join(roots.select(F.col("node").alias("who"), "root"), F.col("node") == F.col("who"), "left")
+    members = staged(members.select("cell", "block", "blocks", "node", "fp", F.coalesce("root", "node").alias("root")), "simhash-members")
+    counts = members.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most")).select(F.col("cell").alias("at"), F.col("most.root").alias("main"))
+    rest = staged(members.join(main, F.col("cell") == F.col("at")).where(F.col("root") != F.col("main")).select("cell", "blocks", "node", "fp", "root"), "simhash-rest")
+    if rest.isEmpty():
+        return roots
+    left = rest.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "node", "fp", "root")
+    open_ = members.join(rest.select(F.col("cell").alias("at")).distinct(), F.col("cell") == F.col("at"), "left_semi").select("cell", "block", F.lit(0).alias("side"), "node", "fp", "root")
+    met = left.unionByName(open_).repartition("cell", "block").sortWithinPartitions("cell", "block", "side", "node")
+    more = verified(met.mapInArrow(_by_key(2, _across(budget(similarity))), "a binary, b binary").distinct(), nodes, similarity)
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(more))
 
 
 def text_key(text: str = "text") -> Column:
@@ -441,43 +454,55 @@ def text_key(text: str = "text") -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
+def _keyed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The node of a text: the hash of its words."""
+    for ids, keys, texts in columns_of(batches, "doc_id", "text_key", "text"):
+        nodes = [xxhash.xxh3_128_digest(b" ".join((raw or b"").lower().split())) for raw in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(nodes, pa.binary())], names=["doc_id", "text_key", "node"])
+
+
+def _nodes_and_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        texts = x.column(2).to_pylist()
+        nodes = [xxhash.xxh3_128_digest(b" ".join((raw or b"").lower().split())) for raw in texts]
+        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(nodes, pa.binary()), x.column(2)], names=["doc_id", "text_key", "node", "text"])
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, text_key (hash of the text) and keeper.
 
-    Documents of the same words are one node; nodes whose shingle vectors have a cosine of ``similarity`` or
-    more, as their fingerprints tell it, are linked, and so are short ones (at most SHORT distinct shingles) whose
-    shingle sets have that Jaccard similarity, all of them; ``keeper`` is true in one row of every group: that
-    of the smallest doc_id (null last, then by text_key); of equal (doc_id, text) rows, in all.
+    Documents of the same words are one node; nodes whose sets of shingles have a cosine of ``similarity`` or more are
+    linked; ``keeper`` is true in one row of every group: that of the smallest doc_id (null last, then by text_key); of
+    equal (doc_id, text) rows, in all.
 
     Null, empty and very long texts, repeated rows, other columns and empty tables: as
     :func:`near_duplicates`; all texts without words are copies of one another.
     """
-    schema = "doc_id bigint, text_key string, node binary, fp binary, cells array<bigint>, few array<bigint>"
-    rows = staged(docs.select("doc_id", text_key().alias("text_key"), text_bytes()).mapInArrow(_described(shingle), schema), "simhash-wide")
-    # Rows of one node are equal in fp, cells and few.
+    texts = docs.select("doc_id", text_key().alias("text_key"), text_bytes())
+    rows = staged(texts.mapInArrow(_keyed_rows, "doc_id bigint, text_key string, node binary"), "simhash-rows")
+    described = texts.mapInArrow(_chained(_nodes_and_texts, _described(shingle)), "doc_id bigint, text_key string, node binary, shingles binary")
+    # Rows of one node are equal in their shingles.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")
-    nodes = staged(rows.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("cells").alias("cells"), F.first("few").alias("few")), "simhash-nodes")
-    pairs, large = candidates(nodes.select(F.explode("cells").alias("cell"), "node").distinct())
-    prints = nodes.select(F.col("node").alias("who"), "fp")
-    with_a = pairs.join(prints, F.col("a") == F.col("who")).select("a", "b", F.col("fp").alias("fa"))
-    with_b = with_a.join(prints, F.col("b") == F.col("who")).select("a", "b", "fa", F.col("fp").alias("fb"))
-    links = with_b.mapInArrow(_close(budget(similarity)), "a binary, b binary")
-    cells = large.join(prints, F.col("node") == F.col("who")).select("cell", "node", "fp").repartition("cell").sortWithinPartitions("cell", "node")
-    links = links.unionByName(cells.mapInArrow(_by_key(_balls(budget(similarity))), "a binary, b binary"))
-    links = links.unionByName(short_links(nodes.select("node", "few"), similarity)).distinct()
-    roots = components(links).withColumnRenamed("node", "who")
+    once = described.groupBy("node").agg(least, F.first("shingles").alias("shingles"))
+    nodes = staged(once.mapInArrow(_sketched(similarity), f"node binary, first {_FIRST_DDL}, shingles binary, fp binary, cells array<bigint>"), "simhash-nodes")
+    roots = similar_links(nodes, similarity).withColumnRenamed("node", "who")
     grouped = nodes.select("node", "first").join(roots, F.col("node") == F.col("who"), "left").select(F.coalesce("root", "node").alias("root"), "first")
     keepers = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
     joined = rows.select("doc_id", "text_key").join(keepers, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left")
     return joined.select("doc_id", "text_key", F.col("kept_key").isNotNull().alias("keeper"))
 
 
+def _chained(one, two):
+    return lambda batches: two(one(batches))
+
+
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with one document kept of every group of :func:`similar_documents`; all its columns.
 
-    Of repeated rows (equal doc_id and text) one is kept. Extra columns may have any names.
+    Of repeated rows (equal doc_id and text) one is kept. Extra columns may have any names. The texts are shuffled once.
     """
-    keepers = similar_documents(docs, shingle, similarity).where("keeper").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
-    rows = docs.select(whole_row(docs), F.col("doc_id").alias("id"), text_key().alias("key"))
-    kept = rows.join(keepers, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
-    return kept.dropDuplicates(["id", "key"]).select("row.*")
+    own = lambda doc_id, key: F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), key)
+    keepers = similar_documents(docs, shingle, similarity).where("keeper").select(own("doc_id", F.col("text_key")).alias("kept")).distinct()
+    rows = docs.select(whole_row(docs), own("doc_id", text_key()).alias("own"))
+    kept = rows.join(keepers, F.col("own") == F.col("kept"), "left_semi")
+    return kept.groupBy("own").agg(F.first("row").alias("row")).select("row.*")

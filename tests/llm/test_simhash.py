@@ -192,33 +192,75 @@ def test_short_copies_just_over_the_similarity_are_all_found(spark, docs_of):
     assert kept == {i for i, *_ in rows + apart} - copies
 
 
-@pytest.mark.parametrize("groups", [1, 6, 60])
-def test_alike_has_the_components_of_all_pairs(groups):
-    r = random.Random(groups)
-    bases = [r.sample(range(2000), r.randrange(5, 60)) for _ in range(groups)]
-    sets = [sorted({-1, *(v if r.random() > 0.07 else r.randrange(9000) for v in r.choice(bases))}) for _ in range(150)]
-    near = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) - 1e-9
-    want = roots(range(150), [(i, k) for k in range(150) for i in range(k) if near(sets[i], sets[k])])
-    assert roots(range(150), s.alike(s.pa.array(sets, s.pa.list_(s.pa.int64())), 0.8)) == want
-
-
-@pytest.mark.parametrize("spread", [10, 30, 45])
-def test_balls_have_the_components_of_all_pairs(spread):
-    """Balls of many radii, chains that step away from their centre, and fingerprints on their own."""
-    r = random.Random(spread)
-    prints = []
-    for _ in range(5):
-        at = r.getrandbits(256)
-        for _ in range(r.choice([3, 30, 90])):
-            prints.append(at ^ sum(1 << b for b in r.sample(range(256), r.randrange(spread))))
-            if r.random() < 0.2:
-                at ^= sum(1 << b for b in r.sample(range(256), 20))
-    prints += [r.getrandbits(256) for _ in range(40)] + prints[:3]
-    r.shuffle(prints)
-    n = len(prints)
-    want = roots(range(n), [(i, k) for k in range(n) for i in range(k) if (prints[i] ^ prints[k]).bit_count() <= 52])
-    rows = np.array([list(p.to_bytes(32, "little")) for p in prints], np.uint8).view("<u8")
-    assert roots(range(n), s.ball_links(rows, 52)) == want
+def cosine(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (a, b))
+    return len(a & b) / (len(a) * len(b)) ** 0.5
+
+
+def components_of(texts, similarity=0.8):
+    """Least member by member, over all pairs that share a shingle."""
+    words = [t.encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    by = {}
+    for i, x in enumerate(sets):
+        for sh in x:
+            by.setdefault(sh, []).append(i)
+    shared = {}
+    for at in by.values():
+        for k, i in enumerate(at):
+            for j in at[:k]:
+                shared[j, i] = shared.get((j, i), 0) + 1
+    return roots(range(len(texts)), [(i, j) for (i, j), n in shared.items() if n >= similarity * (len(sets[i]) * len(sets[j])) ** 0.5 - 1e-9])
+
+
+def test_prefixes_of_short_sets_meet_surely():
+    """Any two sets up to SHORT shingles, or one such and one longer, that have the cosine share a key."""
+    r = np.random.default_rng(5)
+    for _ in range(3000):
+        n = int(r.integers(1, s.SHORT + 1))
+        a = r.choice(2**32, n, replace=False).astype(np.uint32)
+        shared = int(r.integers(max(1, int(0.6 * n)), n + 1))
+        b = np.concatenate([a[:shared], r.choice(2**32, int(r.integers(0, n)), replace=False).astype(np.uint32)])
+        a, b = np.unique(a), np.unique(b)
+        if len(np.intersect1d(a, b)) >= 0.8 * (len(a) * len(b)) ** 0.5:
+            assert set(s.keys_of(a, 0.8)) & set(s.keys_of(b, 0.8))
+
+
+@pytest.mark.parametrize("n", [65, 90, 128, 250, 600, 3000])
+def test_cells_of_sets_at_the_cosine_meet(n):
+    r = np.random.default_rng(n)
+    missed = 0
+    for _ in range(1000):
+        m = int(n * r.uniform(0.66, 1.5))
+        shared = min(n, m, int(np.ceil(0.8 * (n * m) ** 0.5)))
+        values = r.choice(2**32, n + m - shared, replace=False).astype(np.uint32)
+        a, b = np.sort(values[:n]), np.sort(values[n - shared :])
+        missed += not set(s.keys_of(a, 0.8)) & set(s.keys_of(b, 0.8))
+    assert missed <= 8
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_no_link_of_the_test_table_is_lost(spark):
+    """Exactly the components of all pairs with a cosine of 0.8 or more."""
+    rows = spark.read.parquet(str(SF.parent / "sf0.01" / "documents.parquet")).select("doc_id", "text").orderBy("doc_id").collect()
+    want = components_of([r.text or "" for r in rows])
+    ids = {r.doc_id for r in s.similar_documents(spark.read.parquet(str(SF.parent / "sf0.01" / "documents.parquet"))).where("keeper").collect()}
+    assert ids == {rows[v].doc_id for v in set(want.values())} and len(ids) < len(rows) - 50
+
+
+def test_cluster_of_pairs_and_strays(spark, docs_of):
+    """500 texts about one original at all distances around the similarity, with copies of their own: all links are found."""
+    r = random.Random(21)
+    vocabulary = [f"v{k}" for k in range(9000)]
+    base = [r.choice(vocabulary) for _ in range(180)]
+    texts = [base]
+    while len(texts) < 500:
+        at = base if r.random() < 0.7 else r.choice(texts)
+        texts.append(mutated(r, at, r.choice([0.01, 0.025, 0.04, 0.06]), vocabulary))
+    texts = [" ".join(t) for t in texts]
+    want = components_of(texts)
+    kept = {x.doc_id for x in s.deduplicated(docs_of([(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert kept == set(want.values()) and 20 < len(kept) < 400
 
 
 @pytest.mark.parametrize("small", [1, 6])
@@ -234,6 +276,7 @@ def test_size_from_which_cells_are_large_does_not_matter(spark, docs_of, monkeyp
     monkeypatch.setattr(s, "SMALL", 10**6)
     want = sorted(x.doc_id for x in s.deduplicated(docs).collect())
     monkeypatch.setattr(s, "SMALL", small)
+    monkeypatch.setattr(s, "BLOCK", 4)
     assert sorted(x.doc_id for x in s.deduplicated(docs).collect()) == want and 30 < len(want) < len(rows)
 
 
