@@ -33,7 +33,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.assignments(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"))
+    joined = lambda name: F.array_join(F.transform(f"copies.{name}", lambda x: x.cast("string")), ",")
+    taken = (F.col("size") * F.size("copies")).cast("long").alias("taken")
+    return out.select("doc_id", "size", "source_size", "target", taken, joined("shard").alias("shards"), joined("place").alias("places"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_mixing": mixing.ORACLE_TAKEN,
+    "op2_mixing": mixing.ORACLE,
     "op3_url_filters": hosts.ORACLE,
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
