@@ -211,8 +211,8 @@ WIDE, ERRORS = 16, 4.0
 #: Cells of a document at most and the least shingles of one that counts. Up to SHORT shingles there are prefixes instead.
 CELLS, LEAST_CELL, SHORT = 32, 2, 64
 #: A key with at most so many documents has all its pairs tested at once; those of a larger one are dealt into blocks of about BLOCK.
-SMALL, BLOCK = 32, 2048
-_ROWS, _TINY = 256, 1e-9
+SMALL, BLOCK = 32, 1024
+_TINY = 1e-9
 
 
 def budget(similarity: float, bits: int = WIDE * 64) -> int:
@@ -385,26 +385,60 @@ def _centre(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([parts[0].column(0)[0].as_py()]), pa.array([whole.column(2)[at].as_py()], pa.binary()), pa.array([mean])], names=["cell", "hub", "mean"])
 
 
-def _across(distance: int):
-    """Of a block (cell, block, side, node, fp, root): the pairs of a row of side 1 and a member (side 0) of another root within the distance."""
+class _Sets:
+    """Sets of shingles (rising 32-bit numbers as bytes) that another one is compared with, all at once."""
+
+    def __init__(self, sets: list[bytes]):
+        values = [np.frombuffer(x, np.uint32) for x in sets]
+        self.values, self.sizes = values, np.array([len(v) for v in values])
+        flat = np.concatenate(values)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(values)), self.sizes)[order]
+
+    def shared(self, x: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """How many shingles ``x`` shares with each of the sets ``among``."""
+        if len(among) <= 8:
+            found = [np.sort(np.concatenate([x, self.values[i]])) for i in among]
+            return np.array([np.count_nonzero(v[1:] == v[:-1]) for v in found], np.int64)
+        low, high = np.searchsorted(self.flat, x, "left"), np.searchsorted(self.flat, x, "right")
+        each = high - low
+        at = np.repeat(low - np.cumsum(each) + each, each) + np.arange(each.sum())
+        return np.bincount(self.owner[at], minlength=len(self.sizes))[among]
+
+
+def _across(similarity: float):
+    """Of a block (cell, block, part, side, node, root, fp, shingles): links of rows of side 1 and members (side 0) of other roots.
+
+    Fingerprints prune, sets decide; roots that a link joins count as one from there on, so a block has fewer links than rows.
+    """
+    distance = budget(similarity)
 
     def run(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts)
-        side = table.column(2).to_numpy()
-        nodes, roots = (np.array(table.column(i).to_pylist(), object) for i in (3, 5))
-        prints = np.concatenate([_words(p.column(4)) for p in parts])
+        table = pa.Table.from_batches(parts).combine_chunks()
+        side = table.column(3).to_numpy()
         inside, outside = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        _, number = np.unique(roots, return_inverse=True)
-        for at in range(0, len(outside), _ROWS):
-            some = outside[at : at + _ROWS]
-            for k in range(0, len(inside), _ROWS):
-                member = inside[k : k + _ROWS]
-                near = np.bitwise_count(prints[some][:, None] ^ prints[member][None]).sum(axis=2, dtype=np.int64) <= distance
-                i, j = np.nonzero(near & (number[some][:, None] != number[member][None]))
-                if len(i):
-                    pairs = [(x, y) if x < y else (y, x) for x, y in zip(nodes[some[i]], nodes[member[j]], strict=True)]
-                    a, b = zip(*pairs, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        if not len(inside) or not len(outside):
+            return
+        prints = np.concatenate([_words(p.column(6)) for p in parts])
+        sets = table.column(7).to_pylist()
+        members = _Sets([sets[i] for i in inside])
+        _, group = np.unique(np.array(table.column(5).to_pylist(), object), return_inverse=True)
+        a, b = [], []
+        for x in outside.tolist():
+            away = np.bitwise_count(prints[inside] ^ prints[x]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero((away <= distance) & (group[inside] != group[x]))
+            if not len(near):
+                continue
+            own = np.frombuffer(sets[x], np.uint32)
+            enough = members.shared(own, near) >= similarity * np.sqrt(len(own) * members.sizes[near]) - _TINY
+            for i in inside[near[enough]].tolist():
+                if group[i] != group[x]:
+                    a.append(x)
+                    b.append(i)
+                    group[group == group[i]] = group[x]
+        if a:
+            nodes = table.column(4)
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)).combine_chunks(), nodes.take(pa.array(b)).combine_chunks()], names=["a", "b"])
 
     return run
 
@@ -414,9 +448,10 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
 
     A key with at most :data:`SMALL` nodes has all its pairs tested. Of a larger one, in which most are copies of one
     text, every member is tested against one hub, that next to the majority of bits; the members are dealt into blocks for
-    it, so that no task holds more than a block. Those that are not in the component of most members then are tested
-    against all members of other components, block by block; fingerprints are compared in place and only pairs
-    that pass are listed. So the components are those of all pairs that share a key, at any size of a key.
+    it, so that no task holds more than a block. Those that are not in the component of most members then are compared
+    with all members of other components, a block of theirs with a block of members at a time; that is done in place,
+    and only links that join two components are listed. So the components are those of all pairs that share a key,
+    at any size of a key, and rows grow in proportion; comparisons in place grow with the strays of a key times its members.
     """
     cells = nodes.select(F.explode("cells").alias("cell"), "node")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("cell", "at")
@@ -434,16 +469,24 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
     to_hub = large.select("cell", "node").join(hubs, F.col("cell") == F.col("at")).where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     roots = staged(components(verified(pairs.unionByName(to_hub).distinct(), nodes, similarity)), "simhash-roots")
     members = large.join(roots.select(F.col("node").alias("who"), "root"), F.col("node") == F.col("who"), "left")
-    members = staged(members.select("cell", "block", "blocks", "node", "fp", F.coalesce("root", "node").alias("root")), "simhash-members")
+    members = staged(members.select("cell", "block", "blocks", "node", F.coalesce("root", "node").alias("root")), "simhash-members")
     counts = members.groupBy("cell", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most")).select(F.col("cell").alias("at"), F.col("most.root").alias("main"))
-    rest = staged(members.join(main, F.col("cell") == F.col("at")).where(F.col("root") != F.col("main")).select("cell", "blocks", "node", "fp", "root"), "simhash-rest")
+    rest = staged(members.join(main, F.col("cell") == F.col("at")).where(F.col("root") != F.col("main")).select("cell", "blocks", "node", "root"), "simhash-rest")
     if rest.isEmpty():
         return roots
-    left = rest.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "node", "fp", "root")
-    open_ = members.join(rest.select(F.col("cell").alias("at")).distinct(), F.col("cell") == F.col("at"), "left_semi").select("cell", "block", F.lit(0).alias("side"), "node", "fp", "root")
-    met = left.unionByName(open_).repartition("cell", "block").sortWithinPartitions("cell", "block", "side", "node")
-    more = verified(met.mapInArrow(_by_key(2, _across(budget(similarity))), "a binary, b binary").distinct(), nodes, similarity)
+    strays = rest.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).withColumnRenamed("cell", "at")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    payload = nodes.select(F.col("node").alias("who"), "fp", "shingles")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    sides = members.join(strays, F.col("cell") == F.col("at")).select("cell", "block", "blocks", "parts", F.lit(0).alias("side"), "node", "root")
+    sides = sides.unionByName(rest.join(strays, F.col("cell") == F.col("at")).select("cell", F.lit(0).alias("block"), "blocks", own.alias("parts"), F.lit(1).alias("side"), "node", "root"))
+    met = sides.join(payload, F.col("node") == F.col("who"))
+    inside = met.where("side = 0").select("cell", "block", every("parts").alias("part"), "side", "node", "root", "fp", "shingles")
+    outside = met.where("side = 1").select("cell", every("blocks").alias("block"), F.col("parts").alias("part"), "side", "node", "root", "fp", "shingles")
+    keys = ("cell", "block", "part")
+    met = inside.unionByName(outside).repartition(*keys).sortWithinPartitions(*keys, "side", "node")
+    more = staged(met.mapInArrow(_by_key(3, _across(similarity)), "a binary, b binary"), "simhash-more")
     if more.isEmpty():
         return roots
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(more))
