@@ -7,6 +7,7 @@ the same class as the regular expression :data:`WORD`.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,8 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session; only where that is unset (local runs,
-    tests) a folder of our own is set.
+    It is ``spark.checkpoint.dir`` of the session; only where that is unset and driver and executors are one process
+    (local runs, tests) a folder of our own is set. On a cluster its absence is an error: a folder of each machine's own would
+    hold a part of a table only.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -31,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if not sc.getCheckpointDir():
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pixelframe-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import forget_on_exit, new_path, staged
 
-#: Payloads of fewer bytes are always written in full; an archive is closed at this size; a record may inflate to so much.
-LEAST_REVISIT, ARCHIVE_BYTES, MOST_RECORD = 1000, 16 << 20, 1 << 30
+#: Payloads of fewer bytes are always written in full; an archive is closed at this size; a record may inflate to so much
+#: (2 GiB less a little: a larger one can't be a value of a row).
+LEAST_REVISIT, ARCHIVE_BYTES, MOST_RECORD = 1000, 16 << 20, (1 << 31) - (1 << 16)
 #: A gzip member of more bytes is read in pieces.
 MOST_WHOLE = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -405,14 +406,12 @@ def _writer(folder: str, gzip: bool, most_bytes: int):
         made, held, size = 0, [], 0
 
         def close() -> pa.RecordBatch:
-            """Whole under another name, then renamed: a second attempt of the task puts the same file in the same place."""
+            """The attempt is in the name: what an attempt that was lost has left is never taken for a file of another."""
             nonlocal made, held, size
-            name = f"part-{context.partitionId():06d}-{made:05d}.warc{'.gz' if gzip else ''}"
-            draft = f"{at}/_{name}-{context.attemptNumber()}-{context.taskAttemptId()}"
-            with files.open_output_stream(draft) as out:
+            name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{made:05d}.warc{'.gz' if gzip else ''}"
+            with files.open_output_stream(f"{at}/{name}", compression=None) as out:
                 for piece in held:
                     out.write(piece)
-            files.move(draft, f"{at}/{name}")
             row = pa.RecordBatch.from_pydict({"archive": [name], "n_records": pa.array([len(held)], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
             made, held, size = made + 1, [], 0
             return row
@@ -434,7 +433,9 @@ def _writer(folder: str, gzip: bool, most_bytes: int):
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """``pages`` (page_id, url, html) as page_id, url, html (bytes) and refers_to: the largest page_id of an equal payload.
 
-    Equal payloads are found on digests alone; one row for each payload that occurs more than once is joined back.
+    Equal payloads are found on digests alone; one row for each payload that occurs more than once is joined back. Null
+    html is an empty payload, and smaller ones than ``least`` refer to nothing; rows with a null page_id never refer, and
+    are never referred to while an id is there. Repeated rows are rows of their own. An empty table gives an empty result.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("html"))
@@ -451,16 +452,35 @@ def write_archives(pages: DataFrame, folder: str, gzip: bool = True, least: int
     Of pages with equal payloads of at least ``least`` bytes the one with the largest page_id is a response, the others
     revisit it; of rows with that same page_id all are responses, and so are rows without a page_id. Each record is a
     gzip member of its own (or plain). Null html is an empty payload; a null url leaves its header out. Returns archive,
-    n_records and n_bytes of each file written; the work is done when this returns.
+    n_records and n_bytes of each file written; the work is done when this returns. Only these files count: the folder may
+    hold others, left by tasks that were lost or ran twice.
     """
     return staged(with_revisits(pages, least).mapInArrow(_writer(folder, gzip, most_bytes), "archive string, n_records bigint, n_bytes bigint"), "warc-list")
 
 
+def listed(written: DataFrame, folder: str) -> DataFrame:
+    """(path, content) of the files that ``written`` (archive, as :func:`write_archives` gives it) names, one at a time for a task."""
+    n = written.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = filesystem(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with files.open_input_stream(f"{at}/{name}", compression=None) as source:
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([source.read()], pa.binary())], names=["path", "content"])
+
+    return written.select("archive").repartition(max(1, n)).mapInArrow(run, "path string, content binary")
+
+
 def round_trip(spark: SparkSession, pages: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Writes ``pages`` and reads the archives back: what :func:`read_archives` gives of them."""
+    """Writes ``pages`` (page_id, url, html) and reads the archives that were committed: what :func:`read_archives` gives of them.
+
+    Null html is an empty payload, null urls and ids leave their headers out; very long pages are written and read whole;
+    repeated rows have a record each. Other columns are not read. An empty table gives an empty result.
+    """
     folder = new_path(spark, "warc")
     written = write_archives(pages, folder)
     if written.isEmpty():
         return read_archives(spark.createDataFrame([], "path string, content binary"), with_payload)
     forget_on_exit(spark, folder)
-    return read_archives(spark.read.format("binaryFile").load(folder), with_payload)
+    return read_archives(listed(written, folder), with_payload)
