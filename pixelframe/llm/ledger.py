@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -106,18 +107,23 @@ def _scanner(rules: tuple[Rule, ...]):
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows (blob, rule, spans): one for each blob of ``versions`` (content) and rule that ``ledger`` lacks."""
     held = versions.select(blob_of("content").alias("blob"), F.col("content").cast("binary").alias("content"))
-    if ledger is not None:
-        wanted = [r.key for r in rules]
-        seen = ledger.where(F.col("rule").isin(wanted)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        known = held.select("blob").distinct().join(seen, "blob", "left")
-        unseen = known.where(F.coalesce(F.size("seen"), F.lit(0)) < len(wanted)).withColumnRenamed("blob", "of")
-        once = held.join(unseen.select("of"), F.col("blob") == F.col("of"), "left_semi").groupBy("blob").agg(F.first("content").alias("content"))
-        once = once.join(unseen, F.col("blob") == F.col("of")).select("blob", "content", "seen")
+    # Copies go before the shuffle; what is known of a blob then comes to where its content is.
+    once = held.groupBy("blob").agg(F.first("content").alias("content"))
+    if ledger is None:
+        once = once.select("blob", "content", F.lit(None).cast("array<string>").alias("seen"))
     else:
-        once = held.groupBy("blob").agg(F.first("content").alias("content")).select("blob", "content", F.lit(None).cast("array<string>").alias("seen"))
+        wanted = [r.key for r in rules]
+        seen = ledger.where(F.col("rule").isin(wanted)).groupBy("blob").agg(F.collect_set("rule").alias("seen")).withColumnRenamed("blob", "of")
+        known = once.join(seen, F.col("blob") == F.col("of"), "left").select("blob", "content", "seen")
+        once = known.where(F.col("seen").isNull() | (F.size("seen") < len(wanted)))
     return once.mapInArrow(_scanner(rules), LEDGER_DDL)
 
 
+def _found(rows: DataFrame, name: str) -> DataFrame:
+    """(of, spans): the blobs with findings. Staged, so that the join with all rows may split a blob that many share."""
+    return staged(rows.where(F.size("spans") > 0).groupBy(F.col("blob").alias("of")).agg(F.flatten(F.collect_list("spans")).alias(name)), "findings")
+
+
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """Scans ``versions`` (path, version, content); returns (findings by path, ledger rows to append).
 
@@ -132,7 +138,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     new = staged(scan_unseen(versions, ledger, rules), "ledger")
     wanted = [r.key for r in rules]
     every = new if ledger is None else new.unionByName(ledger.where(F.col("rule").isin(wanted)).dropDuplicates(["blob", "rule"]))
-    found = every.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("found")).withColumnRenamed("blob", "of")
+    found = _found(every, "found")
     paths = versions.select("path", "version", blob_of("content").alias("blob"))
     joined = paths.join(found, F.col("blob") == F.col("of"), "left")
     by_start = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"])
@@ -140,6 +146,21 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return joined.select("path", "version", "blob", spans.alias("spans")), new
 
 
+def scan_history(pushes: Sequence[DataFrame], rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scans the versions (path, version, content) of one push after the other; returns (findings of all, ledger rows to append).
+
+    Each push is scanned with the ledger that those before it have filled, so only blobs that are new in it are read by the
+    rules. Otherwise as :func:`scan`.
+    """
+    found, added, known = [], [], ledger
+    for versions in pushes:
+        of_push, new = scan(versions, known, rules)
+        found.append(of_push)
+        added.append(new)
+        known = new if known is None else known.unionByName(new)
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, added)
+
+
 def joined_spans(spans: Column) -> Column:
     """``kind:start:end`` of all spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -148,11 +169,13 @@ def joined_spans(spans: Column) -> Column:
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret of its texts replaced by ``mark`` and n_chars, where it is a column, counted anew.
 
-    All rows and columns stay; only documents whose blob has findings are changed. Overlapping spans are one.
+    All rows and columns stay; only documents whose blob has findings are changed. Overlapping spans are one. Null texts
+    stay null, empty ones empty; very long ones are read whole. Repeated rows are changed alike. An empty table gives an
+    empty result.
     """
     versions = docs.select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("version"), F.col("text").alias("content"))
     new = staged(scan_unseen(versions, None, rules), "ledger")
-    found = new.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumnRenamed("blob", "of")
+    found = _found(new, "spans")
     row = docs.select(whole_row(docs), blob_of("text").alias("blob"))
     joined = row.join(found, F.col("blob") == F.col("of"), "left")
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))

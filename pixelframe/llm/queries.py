@@ -61,9 +61,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a path of a repository. Two pushes bring them: those of half of the ids by hash, then the others."""
     docs = read_table(spark, sf_dir, "documents")
-    versions = docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
-    found, _ = ledger.scan(versions)
+    push = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).bitwiseAND(1) + 1).cast("int")
+    versions = docs.select(F.col("doc_id").alias("path"), push.alias("version"), F.col("text").alias("content"))
+    found, _ = ledger.scan_history([versions.where("version = 1"), versions.where("version = 2")])
     base = F.filter("spans", lambda s: s["kind"].isin(*ledger.BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(F.col("path").alias("doc_id"), *map(count, ledger.BASE), F.sha2(ledger.joined_spans(base), 256).alias("base_sha256"), ledger.joined_spans(F.col("spans")).alias("spans"))

@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, dense:
     roots = components(links_within(nodes.select("fp"), distance, dense)).select(F.col("node").alias("fp"), "root")
     linked = nodes.join(roots, "fp")
     named = linked.groupBy("root").agg(F.min("least").alias("component")).join(roots, "root").select("fp", "component")
-    named = nodes.join(named, "fp", "left").select(F.col("fp").alias("node"), F.coalesce("component", "least").alias("component_id"))
+    # Staged, so that the join with all rows may split a fingerprint that many share.
+    named = staged(nodes.join(named, "fp", "left").select(F.col("fp").alias("node"), F.coalesce("component", "least").alias("component_id")), "simhash-named")
     return prints.join(named, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "component_id")
 
 
