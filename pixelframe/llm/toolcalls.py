@@ -3,7 +3,8 @@
 Calls and results of a conversation are linked by identifier with a hash join on (conversation, identifier);
 the first call and the first result of an identifier count. Every row gets a place in a topological order, in which a
 result comes after its call and a call after those that it names: rows stand where their turn puts them, and only those
-that would come too early are moved behind what they wait for. Arguments are validated against the schema of their
+that would come too early are moved behind what they wait for. Conversations in which something comes too early are put in
+order each in its row, if they are small (:data:`FOLDED`), and else all together in rounds. Arguments are validated against the schema of their
 tool, and every row is serialised as canonical JSON: keys sorted at every level, no white space, absent values left out.
 
 All of it is DataFrame functions; JSON is parsed to variants. The result has one row for each message, call
@@ -17,8 +18,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, staged
 
+#: Calls and results of a conversation that is put in order in one row.
+FOLDED = 64
 #: tool: property: (JSON type, required)
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
 _KINDS = {"string": r"^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": r"^(BIGINT|DECIMAL.*|DOUBLE)$", "boolean": r"^BOOLEAN$", "object": r"^OBJECT<", "array": r"^ARRAY<", "null": r"^VOID$"}
@@ -81,7 +84,7 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     Returns conv_id, turn, idx (0, or a call's number in its message), kind, call_id, linked_turn (the other side's turn),
     status, errors, order_turn, order_idx, order_rank and json. Sorted by the three order columns a conversation is in topological
     order. status: ``message``; for calls ``linked``, ``unanswered`` or ``duplicate``; for results ``linked``, ``orphan`` or
-    ``duplicate``; ``cycle`` for those that wait for themselves. errors: see :func:`errors_of`; empty for all but calls.
+    ``duplicate``; ``cycle`` for those that wait for themselves or for such a one: they stay at their own place. errors: see :func:`errors_of`; empty for all but calls.
 
     Nulls: rows with a null conv_id, turn or identifier are returned and link to nothing; a null text is a message
     without content; a null role is left out of the JSON. Text that is no JSON is a message. Of calls (results) with one
@@ -105,7 +108,7 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     if moved is not None:
         linked = linked.join(moved, (F.col("conv_id") == F.col("m_conv")) & (F.col("call_id") == F.col("m_call")) & (F.col("kind") == F.col("m_kind")), "left")
         cycle = F.coalesce(F.col("cyclic") & (F.col("status") != "duplicate"), F.lit(False))
-        place = F.when((F.col("status") != "duplicate") & F.col("at").isNotNull(), F.col("at"))
+        place = F.when((F.col("status") != "duplicate") & F.col("at").isNotNull() & ~F.col("cyclic"), F.col("at"))
         linked = linked.withColumn("status", F.when(cycle, "cycle").otherwise(F.col("status")))
     else:
         place = F.lit(None).cast("struct<turn:bigint,idx:int,rank:int>")
@@ -116,38 +119,87 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
 
 
 def _moved(named: DataFrame, first: DataFrame) -> DataFrame | None:
-    """Places of the linked calls and results, if any comes before what it waits for; None if all are in order.
+    """Places of the calls and results of conversations in which any comes before what it waits for; None if all are in order.
 
-    A round moves every row that is too early behind the last it waits for; rounds are as many as the longest chain of
-    rows that are out of order. A rank counts the moved rows before a row, so one over the number of a conversation's
-    moved rows tells a cycle.
+    A place is (turn, idx, rank): a row that would be too early stands behind the last it waits for, with one more in
+    rank. The longest way to a row without a cycle is shorter than the number of rows, so a higher rank tells a cycle.
     """
     sides = first.select("at_conv", "at_call", F.explode(F.array(F.struct(F.lit("call").alias("kind"), F.col("asked").alias("p")), F.struct(F.lit("result").alias("kind"), F.col("told").alias("p")))).alias("s")).where(F.col("s.p").isNotNull())
     start = F.struct(F.col("s.p.turn").cast("bigint").alias("turn"), F.col("s.p.idx").alias("idx"), F.lit(0).alias("rank"))
-    nodes = cut(sides.select("at_conv", F.col("at_call").alias("node_call"), F.col("s.kind").alias("node_kind"), start.alias("at"), F.lit(0).cast("bigint").alias("moved")))
+    nodes = sides.select("at_conv", F.col("at_call").alias("node_call"), F.col("s.kind").alias("node_kind"), start.alias("at"))
     own = first.where(F.col("asked").isNotNull() & F.col("told").isNotNull()).select("at_conv", F.col("at_call").alias("src_call"), F.lit("call").alias("src_kind"), F.col("at_call").alias("dst_call"), F.lit("result").alias("dst_kind"))
     waits = named.where((F.col("kind") == "call") & F.col("after").isNotNull()).select(F.col("conv_id").alias("at_conv"), F.explode("after").alias("src_call"), F.col("call_id").alias("dst_call"))
     waits = waits.select("at_conv", "src_call", F.explode(F.array(F.lit("call"), F.lit("result"))).alias("src_kind"), "dst_call", F.lit("call").alias("dst_kind"))
-    edges = cut(own.unionByName(waits).distinct())
-    rounds = 0
+    edges = own.unionByName(waits).distinct()
+    late = staged(_early(nodes, edges).select("c2").distinct(), "calls-late")
+    if late.isEmpty():
+        return None
+    nodes = nodes.join(late, F.col("at_conv") == F.col("c2"), "left_semi")
+    edges = edges.join(late, F.col("at_conv") == F.col("c2"), "left_semi")
+    sizes = staged(nodes.groupBy("at_conv").agg(F.count("*").alias("size")).withColumnRenamed("at_conv", "sized"), "calls-sizes")
+    of_size = lambda df, test: df.join(sizes.where(test), F.col("at_conv") == F.col("sized"), "left_semi")
+    small = F.col("size") <= FOLDED
+    done = _folded(of_size(nodes, small), of_size(edges, small))
+    if sizes.where(~small).isEmpty():
+        return done
+    return done.unionByName(_in_rounds(of_size(nodes, ~small), of_size(edges, ~small)))
+
+
+def _early(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` whose later side does not stand after the earlier one, with both places."""
+    src = nodes.select(F.col("at_conv").alias("c1"), F.col("node_call").alias("n1"), F.col("node_kind").alias("k1"), F.col("at").alias("src_at"))
+    dst = nodes.select(F.col("at_conv").alias("c2"), F.col("node_call").alias("n2"), F.col("node_kind").alias("k2"), F.col("at").alias("dst_at"))
+    found = edges.join(src, (F.col("at_conv") == F.col("c1")) & (F.col("src_call") == F.col("n1")) & (F.col("src_kind") == F.col("k1")))
+    found = found.join(dst, (F.col("at_conv") == F.col("c2")) & (F.col("dst_call") == F.col("n2")) & (F.col("dst_kind") == F.col("k2")))
+    return found.where(F.col("dst_at") <= F.col("src_at"))
+
+
+def _folded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The places of small conversations, each a row of at most FOLDED nodes: all edges are followed as often as it takes."""
+    listed = nodes.groupBy("at_conv").agg(F.sort_array(F.collect_list(F.struct(F.col("node_call").alias("call"), F.col("node_kind").alias("kind"), "at"))).alias("n"))
+    arrows = edges.groupBy(F.col("at_conv").alias("of")).agg(F.collect_list(F.struct("src_call", "src_kind", "dst_call", "dst_kind")).alias("e"))
+    rows = listed.join(arrows, F.col("at_conv") == F.col("of"))
+    names = F.transform("n", lambda x: F.struct(x["call"].alias("call"), x["kind"].alias("kind")))
+    rows = rows.select("at_conv", names.alias("names"), F.transform("n", lambda x: x["at"]).alias("start"), "e")
+    place = lambda call, kind: F.array_position("names", F.struct(call.alias("call"), kind.alias("kind"))).cast("int")
+    numbered = F.transform("e", lambda x: F.struct(place(x["src_call"], x["src_kind"]).alias("src"), place(x["dst_call"], x["dst_kind"]).alias("dst")))
+    rows = rows.withColumn("e", F.filter(numbered, lambda x: (x["src"] > 0) & (x["dst"] > 0)))
+
+    def followed(places: Column) -> Column:
+        def moved(at: Column, i: Column) -> Column:
+            behind = F.transform(F.filter("e", lambda x: x["dst"] == i + 1), lambda x: _behind(F.element_at(places, x["src"])))
+            return F.greatest(at, F.array_max(behind))
+
+        return F.transform(places, moved)
+
+    rounds = F.sequence(F.lit(1), 2 * F.size("names"))
+    rows = rows.withColumn("places", F.aggregate(rounds, F.col("start"), lambda places, _: followed(places)))
+    each = rows.select("at_conv", F.size("names").alias("size"), F.explode(F.arrays_zip("names", "places")).alias("x"))
+    return each.select(F.col("at_conv").alias("m_conv"), F.col("x.names.call").alias("m_call"), F.col("x.names.kind").alias("m_kind"), F.col("x.places").alias("at"), (F.col("x.places.rank") >= F.col("size")).alias("cyclic"))
+
+
+def _behind(at: Column) -> Column:
+    return F.struct(at["turn"].alias("turn"), at["idx"].alias("idx"), (at["rank"] + 1).alias("rank"))
+
+
+def _in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The places of conversations of any size: a round moves every row that is too early behind the last it waits for.
+
+    Rounds are as many as the longest chain of rows that are out of order; in a cycle ranks grow until all of it is over the
+    number of moved rows.
+    """
+    nodes, edges = cut(nodes.withColumn("moved", F.lit(0).cast("bigint"))), cut(edges)
     while True:
-        src = nodes.select(F.col("at_conv").alias("c1"), F.col("node_call").alias("n1"), F.col("node_kind").alias("k1"), F.col("at").alias("src_at"), "moved")
-        dst = nodes.select(F.col("at_conv").alias("c2"), F.col("node_call").alias("n2"), F.col("node_kind").alias("k2"), F.col("at").alias("dst_at"))
-        early = edges.join(src, (F.col("at_conv") == F.col("c1")) & (F.col("src_call") == F.col("n1")) & (F.col("src_kind") == F.col("k1")))
-        early = early.join(dst, (F.col("at_conv") == F.col("c2")) & (F.col("dst_call") == F.col("n2")) & (F.col("dst_kind") == F.col("k2")))
-        # In a cycle ranks grow until all of it is over the number of moved rows.
-        early = early.where((F.col("dst_at") <= F.col("src_at")) & (F.col("src_at.rank") <= 2 * F.col("moved")))
-        if early.isEmpty():
+        early = _early(nodes.drop("moved"), edges)
+        moved = nodes.select(F.col("at_conv").alias("counted"), "moved").distinct()
+        early = early.join(moved, F.col("c2") == F.col("counted")).where(F.col("src_at.rank") <= 2 * F.col("moved"))
+        last = cut(early.groupBy("c2", "n2", "k2").agg(F.max(_behind(F.col("src_at"))).alias("behind")))
+        if last.isEmpty():
             break
-        rounds += 1
-        behind = F.struct(F.col("src_at.turn").alias("turn"), F.col("src_at.idx").alias("idx"), (F.col("src_at.rank") + 1).alias("rank"))
-        last = early.groupBy("c2", "n2", "k2").agg(F.max(behind).alias("behind"))
         joined = nodes.drop("moved").join(last, (F.col("at_conv") == F.col("c2")) & (F.col("node_call") == F.col("n2")) & (F.col("node_kind") == F.col("k2")), "left")
         nodes = cut(joined.select("at_conv", "node_call", "node_kind", F.greatest("at", F.coalesce("behind", "at")).alias("at")))
         counts = nodes.where(F.col("at.rank") > 0).groupBy("at_conv").agg(F.count("*").alias("moved")).withColumnRenamed("at_conv", "counted")
         nodes = nodes.join(counts, F.col("at_conv") == F.col("counted"), "left").drop("counted").withColumn("moved", F.coalesce("moved", F.lit(0).cast("bigint")))
-    if not rounds:
-        return None
     return nodes.select(F.col("at_conv").alias("m_conv"), F.col("node_call").alias("m_call"), F.col("node_kind").alias("m_kind"), "at", (F.col("at.rank") > F.col("moved")).alias("cyclic"))
 
 
@@ -156,30 +208,66 @@ REPLY: Schemas = {"reply": {"text": ("string", True), "turn": ("integer", True)}
 
 
 def turns_as_calls(conversations: DataFrame) -> DataFrame:
-    """``conversations`` (conv_id, turn, role, text) with user turns as calls of the tool ``reply`` and assistant turns as their results."""
+    """``conversations`` (conv_id, turn, role, text) with user turns as calls of the tool ``reply`` and assistant turns as their results.
+
+    By the number s = conv_id + turn some rows are given what goes wrong in logs: arguments of a wrong type (s mod 7 is
+    3), without text (s mod 11 is 5) or with one more (s mod 13 is 6), an unknown tool (s mod 17 is 8), a call that waits
+    for that of the next user turn (s mod 5 is 2), results that answer the call before (s mod 9 is 4); in one conversation of ten
+    the calls of turns 0 and 2 wait for each other.
+    """
+    s = F.col("conv_id") + F.col("turn")
+    at = lambda n, k: F.coalesce(F.pmod(s, F.lit(n)) == k, F.lit(False))
     name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
-    call = F.struct(name(F.col("turn")).alias("id"), F.lit("reply").alias("name"), F.struct("turn", "text").alias("arguments"))
-    asked = F.to_json(F.struct(F.array(call).alias("tool_calls")))
-    told = F.to_json(F.struct(name(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
-    text = F.when(F.col("role") == "user", asked).when(F.col("role") == "assistant", told).otherwise(F.col("text"))
+    turn = F.col("turn")
+    ring = F.coalesce((F.pmod("conv_id", F.lit(10)) == 4) & turn.isin(0, 2), F.lit(False))
+    after = F.when(ring, F.array(name(2 - turn))).when(at(5, 2), F.array(name(turn + 2)))
+    text = F.when(~at(11, 5), F.col("text")).alias("text")
+
+    def asked(turn_given: Column) -> Column:
+        arguments = F.struct(F.when(at(13, 6), F.lit("x")).alias("note"), text, turn_given.alias("turn"))
+        call = F.struct(name(turn).alias("id"), F.when(at(17, 8), F.lit("shout")).otherwise(F.lit("reply")).alias("name"), arguments.alias("arguments"), after.alias("after"))
+        return F.to_json(F.struct(F.array(call).alias("tool_calls")))
+
+    answered = F.when(at(9, 4), turn - 3).otherwise(turn - 1)
+    told = F.to_json(F.struct(name(answered).alias("tool_call_id"), F.col("text").alias("content")))
+    said = F.when(F.col("role") == "user", F.when(at(7, 3), asked(turn.cast("string"))).otherwise(asked(turn))).when(F.col("role") == "assistant", told).otherwise(F.col("text"))
     role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
-    return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    return conversations.select("conv_id", "turn", role.alias("role"), said.alias("text"))
 
 
 ORACLE = """
-WITH rows AS (
-  SELECT conv_id, turn, role, text,
-         CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-         CASE role WHEN 'user' THEN conv_id || '-' || turn WHEN 'assistant' THEN conv_id || '-' || (turn - 1) END AS call_id
-  FROM conversations),
-firsts AS (SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS asked, min(turn) FILTER (kind = 'result') AS told FROM rows WHERE call_id IS NOT NULL GROUP BY ALL)
-SELECT r.conv_id, r.turn, CASE WHEN kind = 'call' THEN 1 ELSE 0 END::INTEGER AS idx, kind, r.call_id,
-  CASE WHEN kind = 'call' THEN told WHEN kind = 'result' THEN asked END AS linked_turn,
-  CASE WHEN kind = 'message' THEN 'message' WHEN kind = 'call' THEN CASE WHEN told IS NULL THEN 'unanswered' ELSE 'linked' END
-       ELSE CASE WHEN asked IS NULL THEN 'orphan' ELSE 'linked' END END AS status,
-  '' AS errors, r.turn AS order_turn, CASE WHEN kind = 'call' THEN 1 ELSE 0 END::INTEGER AS order_idx, 0::INTEGER AS order_rank,
-  CASE kind WHEN 'call' THEN to_json({'arguments': {'text': text, 'turn': turn}, 'id': r.call_id, 'name': 'reply', 'role': 'assistant', 'type': 'call'})::VARCHAR
-            WHEN 'result' THEN to_json({'content': text, 'id': r.call_id, 'role': 'tool', 'type': 'result'})::VARCHAR
+WITH RECURSIVE given AS (SELECT conv_id, turn, role, text, conv_id + turn AS s, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind FROM conversations),
+rows AS MATERIALIZED (
+  SELECT *, CASE kind WHEN 'call' THEN 1 ELSE 0 END AS idx,
+         CASE kind WHEN 'call' THEN conv_id || '-' || turn WHEN 'result' THEN conv_id || '-' || (CASE WHEN s % 9 = 4 THEN turn - 3 ELSE turn - 1 END) END AS call_id,
+         CASE WHEN s % 17 = 8 THEN 'shout' ELSE 'reply' END AS name, CASE WHEN s % 11 = 5 THEN NULL ELSE text END AS given_text,
+         CASE WHEN kind <> 'call' THEN NULL WHEN conv_id % 10 = 4 AND turn IN (0, 2) THEN conv_id || '-' || (2 - turn) WHEN s % 5 = 2 THEN conv_id || '-' || (turn + 2) END AS after
+  FROM given),
+firsts AS MATERIALIZED (SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS asked, min(turn) FILTER (kind = 'result') AS told FROM rows WHERE call_id IS NOT NULL GROUP BY ALL),
+nodes AS MATERIALIZED (SELECT conv_id, call_id, 'call' AS kind, asked AS turn, 1 AS idx FROM firsts WHERE asked IS NOT NULL UNION ALL SELECT conv_id, call_id, 'result', told, 0 FROM firsts WHERE told IS NOT NULL),
+sizes AS MATERIALIZED (SELECT conv_id, count(*) AS n FROM nodes GROUP BY conv_id),
+edges AS MATERIALIZED (
+  SELECT conv_id, call_id AS src, 'call' AS src_kind, call_id AS dst, 'result' AS dst_kind FROM firsts WHERE asked IS NOT NULL AND told IS NOT NULL
+  UNION SELECT conv_id, after, k, call_id, 'call' FROM rows, (VALUES ('call'), ('result')) AS v(k) WHERE after IS NOT NULL),
+ways(conv_id, call_id, kind, turn, idx, rank) AS (
+  SELECT conv_id, call_id, kind, turn, idx, 0 FROM nodes
+  UNION SELECT w.conv_id, e.dst, e.dst_kind, w.turn, w.idx, w.rank + 1 FROM ways w JOIN edges e ON w.conv_id = e.conv_id AND w.call_id = e.src AND w.kind = e.src_kind
+    JOIN nodes d ON d.conv_id = e.conv_id AND d.call_id = e.dst AND d.kind = e.dst_kind JOIN sizes z ON z.conv_id = w.conv_id WHERE w.rank < 2 * z.n),
+places AS (SELECT conv_id, call_id, kind, max(rank) >= any_value(n) AS cyclic, max(struct_pack(turn := turn, idx := idx, rank := rank)) AS spot FROM ways JOIN sizes USING (conv_id) GROUP BY ALL),
+stated AS (
+  SELECT r.*, f.asked, f.told, p.spot, coalesce(p.cyclic, false) AS cyclic,
+    CASE kind WHEN 'message' THEN 'message' WHEN 'call' THEN CASE WHEN r.turn <> f.asked THEN 'duplicate' WHEN f.told IS NULL THEN 'unanswered' ELSE 'linked' END
+         ELSE CASE WHEN r.turn <> f.told THEN 'duplicate' WHEN f.asked IS NULL THEN 'orphan' ELSE 'linked' END END AS lone
+  FROM rows r LEFT JOIN firsts f ON r.conv_id = f.conv_id AND r.call_id = f.call_id LEFT JOIN (SELECT * RENAME (kind AS of_kind) FROM places) p ON r.conv_id = p.conv_id AND r.call_id = p.call_id AND r.kind = p.of_kind),
+placed AS (SELECT *, kind <> 'message' AND lone <> 'duplicate' AND NOT cyclic AS moves FROM stated)
+SELECT conv_id, turn, idx::INTEGER AS idx, kind, call_id,
+  CASE WHEN lone = 'linked' THEN CASE kind WHEN 'call' THEN told ELSE asked END END AS linked_turn,
+  CASE WHEN cyclic AND lone <> 'duplicate' THEN 'cycle' ELSE lone END AS status,
+  CASE WHEN kind <> 'call' THEN '' WHEN name = 'shout' THEN 'unknown tool' ELSE concat_ws('; ', CASE WHEN given_text IS NULL THEN 'missing: text' END, CASE WHEN s % 7 = 3 THEN 'type: turn' END, CASE WHEN s % 13 = 6 THEN 'unknown: note' END) END AS errors,
+  CASE WHEN moves THEN spot.turn ELSE turn END AS order_turn, (CASE WHEN moves THEN spot.idx ELSE idx END)::INTEGER AS order_idx, (CASE WHEN moves THEN spot.rank ELSE 0 END)::INTEGER AS order_rank,
+  CASE kind WHEN 'call' THEN '{"arguments":{' || concat_ws(',', CASE WHEN s % 13 = 6 THEN '"note":"x"' END, '"text":' || to_json(given_text)::VARCHAR, CASE WHEN s % 7 = 3 THEN '"turn":"' || turn || '"' ELSE '"turn":' || turn END)
+                 || '},"id":"' || call_id || '","name":"' || name || '","role":"assistant","type":"call"}'
+            WHEN 'result' THEN to_json({'content': text, 'id': call_id, 'role': 'tool', 'type': 'result'})::VARCHAR
             ELSE to_json({'content': text, 'role': role, 'type': 'message'})::VARCHAR END AS json
-FROM rows r LEFT JOIN firsts f ON r.conv_id = f.conv_id AND r.call_id = f.call_id
+FROM placed
 """

@@ -78,7 +78,41 @@ def test_topological_order(spark):
     assert {r.call_id: r.status for r in out.collect() if r.conv_id == 2 and r.kind == "call"} == {"p": "cycle", "q": "cycle", "r": "cycle"}
 
 
-def test_long_chain_out_of_order(spark):
+@pytest.mark.parametrize("folded", [64, 2])
+def test_places_against_a_brute_force_version(spark, monkeypatch, folded):
+    """Random waits, forward, backward and in rings: the longest way from the last row that a row waits for."""
+    import random
+
+    monkeypatch.setattr(t, "FOLDED", folded)
+    r = random.Random(9)
+    rows, waits = [], {}
+    for conv in range(25 if folded > 2 else 3):
+        n = r.randrange(1, 9) if folded > 2 else 3
+        for turn in range(n):
+            names = [f"{x}" for x in r.sample(range(n + 1), min(n, r.choice([0, 0, 1, 2]))) if r.random() < 0.9 or x != turn]
+            rows.append((conv, 2 * turn + r.randrange(2) * 20, "assistant", calls((f"{turn}", "add", {}, names))))
+            if r.random() < 0.7:
+                rows.append((conv, r.randrange(30) * 2 + 1, "tool", told(f"{turn}")))
+            waits[conv, f"{turn}"] = names
+    own = {}
+    for conv, turn, _, x in sorted(rows, key=lambda x: x[:2]):
+        key = (conv, x["tool_calls"][0]["id"], "call") if "tool_calls" in x else (conv, x["tool_call_id"], "result")
+        own.setdefault(key, (turn, int(key[2] == "call")))
+    edges = [((c, i, "call"), (c, i, "result")) for c, i, k in own if k == "result"]
+    edges += [((c, w, k), (c, i, "call")) for (c, i), names in waits.items() for w in names for k in ("call", "result")]
+    edges = [(a, b) for a, b in edges if a in own and b in own]
+    at = {k: (*v, 0) for k, v in own.items()}
+    for _ in range(60):
+        at = {k: max([v, *((*at[a][:2], at[a][2] + 1) for a, b in edges if b == k)]) for k, v in at.items()}
+    cyclic = {k for k, v in at.items() if v[2] >= 25}
+    got = [x for x in t.link_tool_calls(talk(spark, rows), SCHEMAS).collect() if x.kind != "message" and x.status != "duplicate"]
+    assert {(x.conv_id, x.call_id, x.kind): (x.order_turn, x.order_idx, x.order_rank) for x in got} == {k: (*own[k], 0) if k in cyclic else v for k, v in at.items()}
+    assert {(x.conv_id, x.call_id, x.kind) for x in got if x.status == "cycle"} == cyclic and (len(cyclic) > 5 or folded == 2)
+
+
+@pytest.mark.parametrize("folded", [64, 2])
+def test_long_chain_out_of_order(spark, monkeypatch, folded):
+    monkeypatch.setattr(t, "FOLDED", folded)
     n = 12
     rows = [(1, n - k, "assistant", calls((f"{k}", "add", {}, [f"{k - 1}"] if k else []))) for k in range(n)]
     assert order(t.link_tool_calls(talk(spark, rows), SCHEMAS), 1) == [f"c{k}" for k in range(n)]
@@ -87,3 +121,10 @@ def test_long_chain_out_of_order(spark):
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
 def test_query(spark, duck):
     same(op10_tool_calls(spark, str(SF)), duck, ORACLE_SQL["op10_tool_calls"])
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_query_has_hard_rows(spark):
+    got = op10_tool_calls(spark, str(SF.parent / "sf0.01")).groupBy("status", (t.F.col("errors") != "").alias("wrong"), (t.F.col("order_rank") > 0).alias("moved")).count().collect()
+    assert {r.status for r in got} == {"message", "linked", "unanswered", "duplicate", "orphan", "cycle"}
+    assert any(r.wrong for r in got) and any(r.moved for r in got)
