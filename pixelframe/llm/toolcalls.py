@@ -3,8 +3,9 @@
 Calls and results of a conversation are linked by identifier with a hash join on (conversation, identifier);
 the first call and the first result of an identifier count. Every row gets a place in a topological order, in which a
 result comes after its call and a call after those that it names: rows stand where their turn puts them, and only those
-that would come too early are moved behind what they wait for. Conversations in which something comes too early are put in
-order each in its row, if they are small (:data:`FOLDED`), and else all together in rounds. Arguments are validated against the schema of their
+that would come too early are moved behind what they wait for. Calls that wait for one another, directly or not, are a
+group; groups in which something comes too early are put in order each in its row, if they are small (:data:`FOLDED`),
+and else all together in rounds. Arguments are validated against the schema of their
 tool, and every row is serialised as canonical JSON: keys sorted at every level, no white space, absent values left out.
 
 All of it is DataFrame functions; JSON is parsed to variants. The result has one row for each message, call
@@ -19,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, staged
+from .components import components
 
-#: Calls and results of a conversation that is put in order in one row.
+#: Most calls and results of a group that is put in order in one row.
 FOLDED = 64
 #: tool: property: (JSON type, required)
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
@@ -119,30 +121,35 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
 
 
 def _moved(named: DataFrame, first: DataFrame) -> DataFrame | None:
-    """Places of the calls and results of conversations in which any comes before what it waits for; None if all are in order.
+    """Places of the calls and results of groups in which any comes before what it waits for; None if all are in order.
 
     A place is (turn, idx, rank): a row that would be too early stands behind the last it waits for, with one more in
-    rank. The longest way to a row without a cycle is shorter than the number of rows, so a higher rank tells a cycle.
+    rank. A group is a connected component of the calls of a conversation, so a long conversation has many small ones.
     """
     sides = first.select("at_conv", "at_call", F.explode(F.array(F.struct(F.lit("call").alias("kind"), F.col("asked").alias("p")), F.struct(F.lit("result").alias("kind"), F.col("told").alias("p")))).alias("s")).where(F.col("s.p").isNotNull())
     start = F.struct(F.col("s.p.turn").cast("bigint").alias("turn"), F.col("s.p.idx").alias("idx"), F.lit(0).alias("rank"))
-    nodes = sides.select("at_conv", F.col("at_call").alias("node_call"), F.col("s.kind").alias("node_kind"), start.alias("at"))
+    unit = lambda call: F.concat_ws("\x01", F.col("at_conv").cast("string"), call)
+    nodes = sides.select("at_conv", F.col("at_call").alias("node_call"), F.col("s.kind").alias("node_kind"), start.alias("at"), unit("at_call").alias("unit"))
     own = first.where(F.col("asked").isNotNull() & F.col("told").isNotNull()).select("at_conv", F.col("at_call").alias("src_call"), F.lit("call").alias("src_kind"), F.col("at_call").alias("dst_call"), F.lit("result").alias("dst_kind"))
     waits = named.where((F.col("kind") == "call") & F.col("after").isNotNull()).select(F.col("conv_id").alias("at_conv"), F.explode("after").alias("src_call"), F.col("call_id").alias("dst_call"))
     waits = waits.select("at_conv", "src_call", F.explode(F.array(F.lit("call"), F.lit("result"))).alias("src_kind"), "dst_call", F.lit("call").alias("dst_kind"))
-    edges = own.unionByName(waits).distinct()
-    late = staged(_early(nodes, edges).select("c2").distinct(), "calls-late")
+    edges = own.unionByName(waits).distinct().withColumn("unit", unit("dst_call"))
+    late = staged(_early(nodes, edges).select(F.col("unit").alias("late")).distinct(), "calls-late")
     if late.isEmpty():
         return None
-    nodes = nodes.join(late, F.col("at_conv") == F.col("c2"), "left_semi")
-    edges = edges.join(late, F.col("at_conv") == F.col("c2"), "left_semi")
-    sizes = staged(nodes.groupBy("at_conv").agg(F.count("*").alias("size")).withColumnRenamed("at_conv", "sized"), "calls-sizes")
-    of_size = lambda df, test: df.join(sizes.where(test), F.col("at_conv") == F.col("sized"), "left_semi")
+    known = first.select(F.concat_ws("\x01", F.col("at_conv").cast("string"), "at_call").alias("known"))
+    links = waits.select(unit("src_call").alias("a"), unit("dst_call").alias("b")).distinct()
+    groups = staged(components(links.join(known, F.col("a") == F.col("known"), "left_semi")).select(F.col("node").alias("member"), "root"), "calls-groups")
+    in_group = lambda df, key: df.join(groups, F.col(key) == F.col("member"), "left").withColumn("root", F.coalesce("root", key)).drop("member")
+    wanted = staged(in_group(late, "late").select(F.col("root").alias("wanted")).distinct(), "calls-wanted")
+    nodes, edges = (staged(in_group(df, "unit").join(wanted, F.col("root") == F.col("wanted"), "left_semi").drop("unit"), "calls-moved") for df in (nodes, edges))
+    sizes = staged(nodes.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "sized"), "calls-sizes")
+    of_size = lambda df, test: df.join(sizes.where(test), F.col("root") == F.col("sized"), "left_semi")
     small = F.col("size") <= FOLDED
     done = _folded(of_size(nodes, small), of_size(edges, small))
     if sizes.where(~small).isEmpty():
         return done
-    return done.unionByName(_in_rounds(of_size(nodes, ~small), of_size(edges, ~small)))
+    return done.unionByName(_in_rounds(of_size(nodes, ~small).drop("root"), of_size(edges, ~small).drop("root")))
 
 
 def _early(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -155,27 +162,31 @@ def _early(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _folded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The places of small conversations, each a row of at most FOLDED nodes: all edges are followed as often as it takes."""
-    listed = nodes.groupBy("at_conv").agg(F.sort_array(F.collect_list(F.struct(F.col("node_call").alias("call"), F.col("node_kind").alias("kind"), "at"))).alias("n"))
-    arrows = edges.groupBy(F.col("at_conv").alias("of")).agg(F.collect_list(F.struct("src_call", "src_kind", "dst_call", "dst_kind")).alias("e"))
-    rows = listed.join(arrows, F.col("at_conv") == F.col("of"))
+    """The places of small groups, each a row of at most FOLDED nodes: all edges are followed as often as it takes.
+
+    The longest way to a row that is not in or behind a cycle is shorter than the number of rows; so a longer one tells a cycle.
+    """
+    listed = nodes.groupBy("root").agg(F.first("at_conv").alias("at_conv"), F.sort_array(F.collect_list(F.struct(F.col("node_call").alias("call"), F.col("node_kind").alias("kind"), "at"))).alias("n"))
+    arrows = edges.groupBy(F.col("root").alias("of")).agg(F.collect_list(F.struct("src_call", "src_kind", "dst_call", "dst_kind")).alias("e"))
+    rows = listed.join(arrows, F.col("root") == F.col("of"))
     names = F.transform("n", lambda x: F.struct(x["call"].alias("call"), x["kind"].alias("kind")))
-    rows = rows.select("at_conv", names.alias("names"), F.transform("n", lambda x: x["at"]).alias("start"), "e")
+    rows = rows.select("at_conv", names.alias("names"), F.transform("n", lambda x: F.struct(x["at"].alias("at"), F.lit(0).alias("way"))).alias("start"), "e")
     place = lambda call, kind: F.array_position("names", F.struct(call.alias("call"), kind.alias("kind"))).cast("int")
     numbered = F.transform("e", lambda x: F.struct(place(x["src_call"], x["src_kind"]).alias("src"), place(x["dst_call"], x["dst_kind"]).alias("dst")))
     rows = rows.withColumn("e", F.filter(numbered, lambda x: (x["src"] > 0) & (x["dst"] > 0)))
 
     def followed(places: Column) -> Column:
         def moved(at: Column, i: Column) -> Column:
-            behind = F.transform(F.filter("e", lambda x: x["dst"] == i + 1), lambda x: _behind(F.element_at(places, x["src"])))
-            return F.greatest(at, F.array_max(behind))
+            before = F.transform(F.filter("e", lambda x: x["dst"] == i + 1), lambda x: F.element_at(places, x["src"]))
+            place = F.greatest(at["at"], F.array_max(F.transform(before, lambda x: _behind(x["at"]))))
+            return F.struct(place.alias("at"), F.coalesce(F.array_max(F.transform(before, lambda x: x["way"])) + 1, F.lit(0)).alias("way"))
 
         return F.transform(places, moved)
 
     rounds = F.sequence(F.lit(1), 2 * F.size("names"))
     rows = rows.withColumn("places", F.aggregate(rounds, F.col("start"), lambda places, _: followed(places)))
     each = rows.select("at_conv", F.size("names").alias("size"), F.explode(F.arrays_zip("names", "places")).alias("x"))
-    return each.select(F.col("at_conv").alias("m_conv"), F.col("x.names.call").alias("m_call"), F.col("x.names.kind").alias("m_kind"), F.col("x.places").alias("at"), (F.col("x.places.rank") >= F.col("size")).alias("cyclic"))
+    return each.select(F.col("at_conv").alias("m_conv"), F.col("x.names.call").alias("m_call"), F.col("x.names.kind").alias("m_kind"), F.col("x.places.at").alias("at"), (F.col("x.places.way") >= F.col("size")).alias("cyclic"))
 
 
 def _behind(at: Column) -> Column:
@@ -183,24 +194,30 @@ def _behind(at: Column) -> Column:
 
 
 def _in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The places of conversations of any size: a round moves every row that is too early behind the last it waits for.
+    """The places of groups of any size: a round places every row that waits for nothing any more, and moves what waits for it.
 
-    Rounds are as many as the longest chain of rows that are out of order; in a cycle ranks grow until all of it is over the
-    number of moved rows.
+    Rounds are as many as the longest way; what is left when nothing can be placed is in a cycle or behind one.
     """
-    nodes, edges = cut(nodes.withColumn("moved", F.lit(0).cast("bigint"))), cut(edges)
+    open_, edges = cut(nodes.select("at_conv", "node_call", "node_kind", "at")), cut(edges.select("at_conv", "src_call", "src_kind", "dst_call", "dst_kind"))
+    same = lambda conv, call, kind: (F.col("at_conv") == F.col(conv)) & (F.col("node_call") == F.col(call)) & (F.col("node_kind") == F.col(kind))
+    there = open_.select(F.col("at_conv").alias("c"), F.col("node_call").alias("n"), F.col("node_kind").alias("k"))
+    edges = cut(edges.join(there, (F.col("at_conv") == F.col("c")) & (F.col("src_call") == F.col("n")) & (F.col("src_kind") == F.col("k")), "left_semi"))
+    done = None
     while True:
-        early = _early(nodes.drop("moved"), edges)
-        moved = nodes.select(F.col("at_conv").alias("counted"), "moved").distinct()
-        early = early.join(moved, F.col("c2") == F.col("counted")).where(F.col("src_at.rank") <= 2 * F.col("moved"))
-        last = cut(early.groupBy("c2", "n2", "k2").agg(F.max(_behind(F.col("src_at"))).alias("behind")))
-        if last.isEmpty():
+        ends = edges.select(F.col("at_conv").alias("c"), F.col("dst_call").alias("n"), F.col("dst_kind").alias("k")).distinct()
+        ready = cut(open_.join(ends, same("c", "n", "k"), "left_anti"))
+        if ready.isEmpty():
             break
-        joined = nodes.drop("moved").join(last, (F.col("at_conv") == F.col("c2")) & (F.col("node_call") == F.col("n2")) & (F.col("node_kind") == F.col("k2")), "left")
-        nodes = cut(joined.select("at_conv", "node_call", "node_kind", F.greatest("at", F.coalesce("behind", "at")).alias("at")))
-        counts = nodes.where(F.col("at.rank") > 0).groupBy("at_conv").agg(F.count("*").alias("moved")).withColumnRenamed("at_conv", "counted")
-        nodes = nodes.join(counts, F.col("at_conv") == F.col("counted"), "left").drop("counted").withColumn("moved", F.coalesce("moved", F.lit(0).cast("bigint")))
-    return nodes.select(F.col("at_conv").alias("m_conv"), F.col("node_call").alias("m_call"), F.col("node_kind").alias("m_kind"), "at", (F.col("at.rank") > F.col("moved")).alias("cyclic"))
+        done = ready if done is None else done.unionByName(ready)
+        named = ready.select(F.col("at_conv").alias("c1"), F.col("node_call").alias("n1"), F.col("node_kind").alias("k1"), F.col("at").alias("src_at"))
+        met = (F.col("at_conv") == F.col("c1")) & (F.col("src_call") == F.col("n1")) & (F.col("src_kind") == F.col("k1"))
+        pushed = edges.join(named, met).groupBy(F.col("at_conv").alias("c2"), F.col("dst_call").alias("n2"), F.col("dst_kind").alias("k2")).agg(F.max(_behind(F.col("src_at"))).alias("behind"))
+        rest = open_.join(named, same("c1", "n1", "k1"), "left_anti").join(pushed, same("c2", "n2", "k2"), "left")
+        open_ = cut(rest.select("at_conv", "node_call", "node_kind", F.greatest("at", F.coalesce("behind", "at")).alias("at")))
+        edges = cut(edges.join(named, met, "left_anti"))
+    result = open_.withColumn("cyclic", F.lit(True))
+    result = result if done is None else done.withColumn("cyclic", F.lit(False)).unionByName(result)
+    return result.select(F.col("at_conv").alias("m_conv"), F.col("node_call").alias("m_call"), F.col("node_kind").alias("m_kind"), "at", "cyclic")
 
 
 #: The schema of the query: each user turn is a call of ``reply``, the assistant turn after it the result.
