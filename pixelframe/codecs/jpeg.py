@@ -1,4 +1,4 @@
-"""JPEG containers: segments, sizes and metadata. Pixels are read by Spark's image source."""
+"""JPEG containers: segments, sizes and metadata."""
 
 from __future__ import annotations
 

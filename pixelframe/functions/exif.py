@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import struct
+import zlib
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..codecs import jpeg, png
-from ..codecs.tiff import Directory
+from ..codecs.tiff import Directory, directories
 from ..errors import ImageError
 
 
@@ -26,7 +32,7 @@ class Summary:
 
 
 #: Tags.
-_ORIENTATION, _EXIF, _GPS = 0x0112, 0x8769, 0x8825
+_ORIENTATION, _EXIF, _GPS, _PROFILE = 0x0112, 0x8769, 0x8825, 0x8773
 _TEXTS = {0x010F: "camera_make", 0x0110: "camera_model", 0x0131: "software"}
 _TIMES, _SERIALS = (0x9003, 0x9004, 0x0132), (0xA431, 0xC62F, 0xA435)
 
@@ -113,6 +119,66 @@ def upright(payload: bytes) -> bytes:
     return payload[:at] + struct.pack(mark + "H", 1) + payload[at + 2 :]
 
 
+def icc_of(data: bytes, fmt: str) -> bytes | None:
+    """The colour profile in a file of ``fmt``; None if there is none. That of a PNG is inflated."""
+    try:
+        if fmt == "jpeg":
+            return jpeg.icc(data)
+        if fmt in ("png", "apng"):
+            body = next((b for k, b in png.chunks(data) if k == b"iCCP"), b"")
+            return zlib.decompress(body.partition(b"\0")[2][1:]) if body else None
+        if fmt == "webp":
+            return next((b for k, b in riff_chunks(data) if k == b"ICCP"), None)
+        if fmt == "tiff":
+            return directories(data)[1][0].raw(_PROFILE)
+    except (ImageError, struct.error, zlib.error, IndexError, KeyError):
+        pass
+    return None
+
+
+def declares_wide_gamut(data: bytes, fmt: str) -> bool:
+    """Whether a file says that its colours are wide: by its profile, or a PNG's code points."""
+    if fmt in ("png", "apng"):
+        try:
+            codes = next((b for k, b in png.chunks(data) if k == b"cICP"), b"")
+        except ImageError:
+            codes = b""
+        if codes:
+            return codes[0] == 12
+    profile = icc_of(data, fmt)
+    return bool(profile) and is_wide_gamut(profile)
+
+
+_SUMMARY = (
+    ("orientation", pa.int32(), "int"), ("has_location", pa.bool_(), "boolean"), ("captured_at", pa.string(), "string"), ("camera_make", pa.string(), "string"), ("camera_model", pa.string(), "string"),
+    ("software", pa.string(), "string"), ("has_serial_number", pa.bool_(), "boolean"), ("tag_count", pa.int32(), "int"),
+)
+
+
+def metadata(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """A row for each of ``files``: key, format, has_exif, what the EXIF says (see :class:`Summary`), has_icc and wide_gamut.
+
+    The format is a column expression; a null, empty or unknown file has a null format and no metadata.
+    """
+    from .detect import format_of
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                data, fmt = batch.column(1)[i].as_py() or b"", batch.column(2)[i].as_py() or ""
+                payload = payload_of(data, fmt)
+                said = summary(payload).row() if payload else {}
+                rows.append((payload is not None, *(said.get(n) for n, _, _ in _SUMMARY), icc_of(data, fmt) is not None, declares_wide_gamut(data, fmt)))
+            kinds = [pa.bool_(), *(t for _, t, _ in _SUMMARY), pa.bool_(), pa.bool_()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["key", "format", "has_exif", *(n for n, _, _ in _SUMMARY), "has_icc", "wide_gamut"])
+
+    seen = files.select(F.col(key).alias("key"), F.col(content).alias("content"), format_of(F.col(content)).alias("format"))
+    ddl = f"key {files.schema[key].dataType.simpleString()}, format string, has_exif boolean, {', '.join(f'{n} {d}' for n, _, d in _SUMMARY)}, has_icc boolean, wide_gamut boolean"
+    return seen.mapInArrow(run, ddl).withColumnRenamed("key", key)
+
+
 def is_wide_gamut(icc: bytes) -> bool:
     """Whether all three colourants of a profile are Display P3's, within 0.02."""
     want = {b"rXYZ": (0.51512, 0.2412, -0.00105), b"gXYZ": (0.29198, 0.69225, 0.04189), b"bXYZ": (0.1571, 0.06657, 0.78407)}

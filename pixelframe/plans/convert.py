@@ -88,7 +88,7 @@ def convert_bytes(data: bytes, settings: Settings, registry: Registry) -> tuple[
     content, encoder = registry.encode(Decoded(image, frames, found.loop_count), settings.to, options)
     report |= flags | {"target_bytes": len(content), "target_width": image.width, "target_height": image.height, "encoder": encoder.id, "colour_space": image.colour_space}
     report |= {"tone_mapped": white is not None, "white": white, "frames_kept": max(1, len(frames) if encoder.animates else 1), "had_exif": payload is not None}
-    report |= {"exif_kept": options.exif is not None and settings.to in ("png", "tiff"), "had_icc": found.icc is not None, "icc_kept": icc is not None and settings.to in ("png", "apng", "tiff")}
+    report |= {"exif_kept": options.exif is not None and settings.to in ("png", "tiff", "jpeg"), "had_icc": found.icc is not None, "icc_kept": icc is not None and settings.to in ("png", "apng", "tiff", "jpeg")}
     return content, report | {"duration_ms": (time.perf_counter() - began) * 1000}
 
 

@@ -336,7 +336,7 @@ _bytes_query("q_ras_md5", "ras", "px", "'59a66a95000000100000000c000000180000024
 _bytes_query("q_bmp_md5", "bmp", "px", "'424d" + (54 + 576).to_bytes(4, "little").hex() + "00000000360000002800000010000000" + "0c00000001001800000000004002000013" + "0b0000130b0000" + "0000000000000000'", " || ".join(_HEX.format(c) for c in "bgr"), "11 - y, x")
 
 
-@_query("q_sniff", "SELECT fmt, fmt AS found, n FROM (SELECT unnest(['apng', 'bmp', 'exr', 'farbfeld', 'gif', 'hdr', 'icns', 'ico', 'pcx', 'png', 'pnm', 'qoi', 'ras', 'tga', 'tiff', 'xbm', 'xpm']) AS fmt), (SELECT count(*) AS n FROM documents WHERE octet_length(encode(text)) > 0)", plain=True)
+@_query("q_sniff", "SELECT fmt, fmt AS found, n FROM (SELECT unnest(['apng', 'bmp', 'exr', 'farbfeld', 'gif', 'hdr', 'icns', 'ico', 'jpeg', 'pcx', 'png', 'pnm', 'qoi', 'ras', 'tga', 'tiff', 'xbm', 'xpm']) AS fmt), (SELECT count(*) AS n FROM documents WHERE octet_length(encode(text)) > 0)", plain=True)
 def q_sniff(spark: SparkSession, d: str) -> DataFrame:
     """Every format that is written is recognised by the column expression."""
     pictures = synth_images(_docs(spark, d))
@@ -365,7 +365,7 @@ def q_convert_report(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy(F.col("report.source_format").alias("source_format"), F.col("report.target_format").alias("target_format"), "lang").agg(F.count("*").alias("n_files"), F.sum(F.col("ok").cast("long")).alias("n_ok"), F.sum((F.col("report.target_width") * F.col("report.target_height")).cast("long")).alias("pixels"))
 
 
-@_query("q_readable_not_writable", "SELECT unnest(['dds', 'psd']) AS format", plain=True)
+@_query("q_readable_not_writable", "SELECT unnest(['dds', 'psd', 'raw']) AS format", plain=True)
 def q_readable_not_writable(spark: SparkSession, d: str) -> DataFrame:
     r = default_registry()
     rows = [(f,) for f in r.readable()], [(f,) for f in r.writable()]
@@ -373,7 +373,7 @@ def q_readable_not_writable(spark: SparkSession, d: str) -> DataFrame:
     return readable.join(writable, "format", "left_anti")
 
 
-@_query("q_codec_ladder", "SELECT 'apng' AS format, unnest(['apng-pure', 'apng-fallback']) AS id, unnest([1, 2]) AS rung UNION ALL SELECT f, f || '-pure', 1 FROM (SELECT unnest(['bmp', 'dds', 'exr', 'farbfeld', 'gif', 'hdr', 'icns', 'ico', 'pcx', 'png', 'pnm', 'psd', 'qoi', 'ras', 'tga', 'tiff', 'xbm', 'xpm']) AS f)", plain=True)
+@_query("q_codec_ladder", "SELECT 'apng' AS format, unnest(['apng-pure', 'apng-fallback']) AS id, unnest([1, 2]) AS rung UNION ALL SELECT f, f || '-pure', 1 FROM (SELECT unnest(['bmp', 'dds', 'exr', 'farbfeld', 'gif', 'hdr', 'icns', 'ico', 'jpeg', 'pcx', 'png', 'pnm', 'psd', 'qoi', 'ras', 'tga', 'tiff', 'xbm', 'xpm']) AS f) UNION ALL VALUES ('raw', 'raw-preview', 1), ('tiff', 'tiff-preview', 2)", plain=True)
 def q_codec_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Decoders by format in the order in which they are tried."""
     from pyspark.sql import Window
@@ -446,3 +446,6 @@ def q_convert_errors(spark: SparkSession, d: str) -> DataFrame:
     content = F.when(k == 0, F.lit(b"")).when(k == 1, F.lit(b"no image at all")).when(k == 2, F.substring("content", 1, 60)).otherwise(F.col("content"))
     out = convert(made.select("image_id", content.alias("content")), Settings(to="bmp"), key="image_id")
     return out.groupBy(F.coalesce("error_code", F.lit("ok")).alias("code")).agg(F.count("*").alias("n_files"))
+
+
+from . import built as _built  # noqa: E402, F401  its queries register themselves

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from .codecs import bmp, dds, exr, farbfeld, gif, hdr, icns, ico, pcx, png, pnm, psd, qoi, ras, tga, tiff, xbm, xpm
+from .codecs import bmp, dds, exr, farbfeld, gif, hdr, icns, ico, jpeg_pixels, pcx, png, pnm, psd, qoi, ras, tga, tiff, xbm, xpm
 from .errors import DecodeFailed, EncodeFailed, EncodeUnsupported, ImageError, TooLarge, UnsupportedHere
 from .raster import Decoded, Frame, Raster, flatten
 
@@ -24,6 +24,7 @@ class Options:
     icc: bytes | None = None
     exif: bytes | None = None
     name: str = "image"
+    quality: int = 92
 
 
 @dataclass(frozen=True)
@@ -132,11 +133,13 @@ def default_registry() -> Registry:
     readers = {
         "png": png.decode, "tiff": tiff.decode, "qoi": qoi.decode, "bmp": bmp.decode, "tga": tga.decode, "pnm": pnm.decode, "farbfeld": farbfeld.decode,
         "ico": ico.decode, "psd": psd.decode, "dds": dds.decode, "hdr": hdr.decode, "exr": exr.decode, "pcx": pcx.decode, "icns": icns.decode, "ras": ras.decode,
-        "xbm": xbm.decode, "xpm": xpm.decode,
+        "xbm": xbm.decode, "xpm": xpm.decode, "jpeg": jpeg_pixels.decode,
     }
     r.register(Decoder("apng-pure", "apng", png.decode_apng, priority=20))
     r.register(Decoder("apng-fallback", "apng", png.decode, priority=30))
     r.register(Decoder("gif-pure", "gif", gif.decode, priority=20))
+    r.register(Decoder("raw-preview", "raw", jpeg_pixels.decode_preview, priority=20))
+    r.register(Decoder("tiff-preview", "tiff", jpeg_pixels.decode_preview, priority=45))
     for fmt, read in readers.items():
         r.register(Decoder(f"{fmt}-pure", fmt, read))
     still: dict[str, Callable[[Decoded, Options], bytes]] = {
@@ -153,6 +156,7 @@ def default_registry() -> Registry:
         "xpm": lambda p, o: xpm.encode(p.image, o.name),
         "ico": lambda p, o: ico.encode(p.image),
         "icns": lambda p, o: icns.encode(p.image),
+        "jpeg": lambda p, o: jpeg_pixels.encode(flatten(p.image, o.background), o.quality, o.exif, o.icc),
     }
     for fmt, write in still.items():
         r.register(Encoder(f"{fmt}-pure", fmt, write))
