@@ -67,38 +67,42 @@ def encode(image: Raster) -> bytes:
     if not image.has_alpha:
         flat = flat.copy()
         flat[:, 3] = 255
-    seen = [None] * 64
-    last = (0, 0, 0, 255)
-    repeated = (flat[0].tolist() == [0, 0, 0, 255]) if len(flat) else False
-    changed = np.concatenate([[not repeated], (flat[1:] != flat[:-1]).any(axis=1)])
-    starts = np.flatnonzero(changed)
-    ends = np.concatenate([starts[1:], [len(flat)]]) if len(starts) else np.array([], int)
+    if not len(flat):
+        return bytes(out) + _END
+    wide = flat.astype(np.int64)
+    before = np.concatenate([[[0, 0, 0, 255]], wide[:-1]])
+    starts = np.flatnonzero((wide != before).any(axis=1))
+    lengths = np.diff(np.append(starts, len(flat)))
+    new, old = wide[starts], before[starts]
+    slots = ((new @ (3, 5, 7, 11)) & 63).tolist()
+    pixels = (new @ (1 << 24, 1 << 16, 1 << 8, 1)).tolist()
+    dr, dg, db = (((new - old)[:, :3] + 128 & 255) - 128).T
+    small = (np.minimum(np.minimum(dr, dg), db) >= -2) & (np.maximum(np.maximum(dr, dg), db) <= 1)
+    luma = (np.abs(2 * dg + 1) <= 63) & (np.abs(2 * (dr - dg) + 1) <= 15) & (np.abs(2 * (db - dg) + 1) <= 15)
+    kind = np.where(new[:, 3] != old[:, 3], 3, np.where(small, 0, np.where(luma, 1, 2))).tolist()
+    # What stands for a pixel that was not seen: the bytes as one number, with a one before them.
+    short = 256 | 64 | dr + 2 << 4 | dg + 2 << 2 | db + 2
+    middle = 65536 | (128 | dg + 32) << 8 | dr - dg + 8 << 4 | db - dg + 8
+    rgb = new[:, 0] << 16 | new[:, 1] << 8 | new[:, 2]
+    codes = np.where(new[:, 3] != old[:, 3], 1 << 40 | 255 << 32 | rgb << 8 | new[:, 3], np.where(small, short, np.where(luma, middle, 1 << 32 | 254 << 24 | rgb))).tolist()
+    sizes = (1, 2, 4, 5)
+    seen = [-1] * 64
 
     def again(n: int) -> None:
         while n > 0:
             out.append(0xC0 | (min(n, 62) - 1))
             n -= 62
 
-    again(int(starts[0]) if len(starts) else len(flat))
-    if repeated:
-        seen[(255 * 11) & 63] = last
-    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-        r, g, b, a = pixel = tuple(flat[start].tolist())
-        slot = (r * 3 + g * 5 + b * 7 + a * 11) & 63
+    head = int(starts[0]) if len(starts) else len(flat)
+    if head:
+        again(head)
+        seen[(255 * 11) & 63] = 255
+    for slot, pixel, code, k, n in zip(slots, pixels, codes, kind, lengths.tolist(), strict=True):
         if seen[slot] == pixel:
             out.append(slot)
         else:
             seen[slot] = pixel
-            if a != last[3]:
-                out += bytes((255, r, g, b, a))
-            else:
-                dr, dg, db = ((x - y + 128 & 255) - 128 for x, y in zip(pixel[:3], last[:3], strict=True))
-                if -2 <= dr <= 1 and -2 <= dg <= 1 and -2 <= db <= 1:
-                    out.append(64 | dr + 2 << 4 | dg + 2 << 2 | db + 2)
-                elif -32 <= dg <= 31 and -8 <= dr - dg <= 7 and -8 <= db - dg <= 7:
-                    out += bytes((128 | dg + 32, dr - dg + 8 << 4 | db - dg + 8))
-                else:
-                    out += bytes((254, r, g, b))
-        last = pixel
-        again(end - start - 1)
+            out += code.to_bytes(sizes[k] + 1, "big")[1:]
+        if n > 1:
+            again(n - 1)
     return bytes(out) + _END

@@ -6,6 +6,7 @@ Rounding: "half up" is floor(x + 0.5); "clamped" is to even and cut to 0..255.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -332,28 +333,49 @@ def map_to_palette(image: Raster, palette: np.ndarray, threshold: int, dither: b
         chosen = np.concatenate([nearest_colour(palette, rgb[first[a : a + 4096]]) for a in range(0, len(first), 4096)]) if len(first) else np.zeros(0, int)
         out[~clear] = chosen[inverse]
         return out
-    cache: dict[int, int] = {}
-    colours = palette[:, :3].tolist()
-    error = np.zeros((2, width + 2, 3), np.float32)
+    if not len(palette):
+        return out
+    chosen = [-1] * 32768
+    colours = [tuple(c) for c in palette[:, :3].tolist()]
+    # The errors of this row and the next, three to a pixel, with a pixel's room at either end; they are kept in float32.
+    here, below = array("f", bytes(12 * (width + 2))), array("f", bytes(12 * (width + 2)))
     for y in range(height):
-        error[(y + 1) & 1] = 0
-        step = 1 if y % 2 == 0 else -1
-        here, below = error[y & 1], error[(y + 1) & 1]
-        for x in range(width)[::step]:
-            if clear[y, x]:
+        row, hidden, made = image.data[y, :, :3].tolist(), clear[y].tolist(), [len(palette) & 255] * width
+        forward = y % 2 == 0
+        step = 3 if forward else -3
+        for x in range(width) if forward else range(width - 1, -1, -1):
+            if hidden[x]:
                 continue
-            want = np.clip(image.data[y, x, :3] + here[x + 1], 0, 255)
-            r, g, b = (int(c) for c in np.rint(want))
-            key = (r >> 3) << 10 | (g >> 3) << 5 | b >> 3
-            k = cache.get(key)
-            if k is None:
-                k = cache[key] = int(nearest_colour(palette, np.array([[r, g, b]]))[0])
-            out[y, x] = k
-            left = want - np.array(colours[k], np.float32)
-            here[x + 1 + step] += left * (7 / 16)
-            below[x + 1 - step] += left * (3 / 16)
-            below[x + 1] += left * (5 / 16)
-            below[x + 1 + step] += left * (1 / 16)
+            at = 3 * x + 3
+            r, g, b = row[x]
+            r, g, b = r + here[at], g + here[at + 1], b + here[at + 2]
+            r = 0.0 if r < 0 else 255.0 if r > 255 else r
+            g = 0.0 if g < 0 else 255.0 if g > 255 else g
+            b = 0.0 if b < 0 else 255.0 if b > 255 else b
+            rr, gg, bb = round(r), round(g), round(b)
+            key = (rr >> 3) << 10 | (gg >> 3) << 5 | bb >> 3
+            k = chosen[key]
+            if k < 0:
+                k = chosen[key] = int(nearest_colour(palette, np.array([[rr, gg, bb]]))[0])
+            made[x] = k
+            pr, pg, pb = colours[k]
+            r, g, b = r - pr, g - pg, b - pb
+            if r or g or b:
+                ahead, behind = at + step, at - step
+                here[ahead] += r * 0.4375
+                here[ahead + 1] += g * 0.4375
+                here[ahead + 2] += b * 0.4375
+                below[behind] += r * 0.1875
+                below[behind + 1] += g * 0.1875
+                below[behind + 2] += b * 0.1875
+                below[at] += r * 0.3125
+                below[at + 1] += g * 0.3125
+                below[at + 2] += b * 0.3125
+                below[ahead] += r * 0.0625
+                below[ahead + 1] += g * 0.0625
+                below[ahead + 2] += b * 0.0625
+        out[y] = made
+        here, below = below, array("f", bytes(12 * (width + 2)))
     return out
 
 
