@@ -7,8 +7,11 @@ none of the least length is left. Tiles may lie in any order and anywhere in the
 whose sentences were reordered is covered like one in place. A document is contaminated by an item
 of which tiles cover a given share.
 
-The test items are a stated query set: they go to every document in blocks of a bounded size, however
-many there are; the documents are never shuffled.
+The test items are a stated query set. Up to :data:`ITEM_BYTES` of them go to every document, which is read once and
+never shuffled. More of them are joined: the documents' windows that a bounded filter of all seeds lets through meet the
+seeds by hash, pairs whose shared seeds could cover enough get their texts, and these are tiled. Nothing of that is
+collected but the filter, whose size does not depend on the items; a filter that is full lets more through and loses
+nothing.
 """
 
 from __future__ import annotations
@@ -20,13 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, text_bytes, whole_row
+from .common import columns_of, staged, text_bytes, whole_row
 
 #: Words of a seed, share of an item that tiles must cover, bytes of test items that go to all tasks at once.
 SEED_WORDS, COVERED, ITEM_BYTES = 5, 0.6, 8 << 20
+#: Bits of the filter of seeds.
+FILTER_BITS = 1 << 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Letters and digits of any script; all else parts words.
 _WORDS = re.compile(r"[^\W_]+")
@@ -142,13 +148,103 @@ class Items:
                 yield k, share, [(i, int(back[at]), n) for i, at, n in tiles]
 
 
-def item_blocks(items: DataFrame, most_bytes: int = ITEM_BYTES) -> Iterator[list[tuple]]:
-    """The test items (item_id, text) in blocks of about ``most_bytes`` at most, dealt by hash."""
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-2 * size // most_bytes) if size > most_bytes else 1
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], bytes(r[1] or b"")) for r in part.select("item_id", text_bytes()).collect()]
+def few_items(items: DataFrame, most_bytes: int = ITEM_BYTES) -> list[tuple] | None:
+    """The test items (item_id, text) if they have at most ``most_bytes``; None if they have more."""
+    size = items.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    return [(r[0], bytes(r[1] or b"")) for r in items.select("item_id", text_bytes()).collect()] if size <= most_bytes else None
+
+
+# ---------------------------------------------------------------- many items
+
+
+def _row_key(name: str) -> Column:
+    """Tells rows with another id or text apart."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(name).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+
+
+def _windows(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of all windows of ``size`` words; windows of different sizes never meet."""
+    ids = np.fromiter((xxhash.xxh64_intdigest(w, size) for w in words), np.uint64, len(words))
+    return running(ids, size)
+
+
+def _seeds(seed_words: int, covered: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in columns_of(batches, "item_key", "text"):
+            rows = []
+            for key, raw in zip(keys, texts, strict=True):
+                words = words_of(raw)
+                size = min(seed_words, len(words))
+                if size:
+                    found, often = np.unique(_windows(words, size).view(np.int64), return_counts=True)
+                    rows += [(h, size, key, n * size, covered * len(words)) for h, n in zip(found.tolist(), often.tolist(), strict=True)]
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.float64())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays(columns, names=["seed", "size", "item_key", "covers", "need"])
+
+    return run
+
+
+def _hits(bits: np.ndarray, sizes: list[int]):
+    """Windows of the documents that the filter lets through, each once for a document."""
+    mask = np.uint64(len(bits) * 64 - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in columns_of(batches, "doc_key", "text"):
+            for key, raw in zip(keys, texts, strict=True):
+                words, found = words_of(raw), []
+                for size in sizes:
+                    h = np.unique(_windows(words, size))
+                    at = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8) & mask
+                    found.append(h[(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1])
+                h = np.concatenate(found) if found else np.zeros(0, np.uint64)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(h)), pa.array(h.view(np.int64))], names=["doc_key", "hit"])
+
+    return run
+
+
+def _filter_of(seeds: DataFrame, n_bits: int) -> np.ndarray:
+    """The bits of all seeds; at most one row for 64 of them is collected."""
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            at = np.unique((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8) & np.uint64(n_bits - 1))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    found = seeds.select("seed").mapInArrow(places, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(n_bits // 64, np.uint64)
+    bits[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+    return bits
+
+
+def _tiled(seed_words: int, covered: float):
+    """Leaks of pairs (doc_id, item_id, text, item_text, doc_key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, items, texts, tests, keys in columns_of(batches, "doc_id", "item_id", "text", "item_text", "doc_key", rows=256):
+            rows = []
+            for doc_id, item_id, raw, test, key in zip(ids, items, texts, tests, keys, strict=True):
+                found = next(Items([(item_id, test or b"")], seed_words, covered).matches(raw), None)
+                if found:
+                    rows.append((*_leak(doc_id, item_id, found[1], found[2]), key))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _KEYED, strict=True)], schema=_KEYED)
+
+    return run
+
+
+def _joined(docs: DataFrame, items: DataFrame, seed_words: int, covered: float) -> DataFrame:
+    """The leaks of :func:`find_leaks` with doc_key; of equal items and of equal documents each has a row."""
+    tests = staged(items.select("item_id", text_bytes(), _row_key("item_id").alias("item_key")), "tiling-items")
+    seeds = staged(tests.dropDuplicates(["item_key"]).select("item_key", "text").mapInArrow(_seeds(seed_words, covered), "seed bigint, size int, item_key string, covers bigint, need double"), "tiling-seeds")
+    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())
+    rows = docs.select("doc_id", text_bytes(), _row_key("doc_id").alias("doc_key"))
+    hits = rows.select("doc_key", "text").mapInArrow(_hits(_filter_of(seeds, FILTER_BITS), sizes), "doc_key string, hit bigint").distinct()
+    met = hits.join(seeds, F.col("hit") == F.col("seed")).groupBy("doc_key", "item_key").agg(F.sum("covers").alias("covers"), F.first("need").alias("need"))
+    pairs = staged(met.where("covers >= need").select(F.col("doc_key").alias("in_doc"), F.col("item_key").alias("in_item")), "tiling-pairs")
+    with_text = rows.join(pairs, F.col("doc_key") == F.col("in_doc")).join(tests.select("item_id", F.col("text").alias("item_text"), "item_key"), F.col("in_item") == F.col("item_key"))
+    return with_text.select("doc_id", "item_id", "text", "item_text", "doc_key").mapInArrow(_tiled(seed_words, covered), f"{_FOUND_DDL}, doc_key string")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS, covered: float = COVERED, most_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -162,12 +258,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS,
     :func:`greedy_tiles`. Repeated rows on either side give a row each. Other columns are not read.
     Empty tables give an empty result.
     """
-    out = None
-    for rows in item_blocks(items, most_bytes):
-        block = Items(rows, seed_words, covered)
-        part = docs.select("doc_id", text_bytes()).mapInArrow(_found(block), _FOUND_DDL)
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = few_items(items, most_bytes)
+    if rows is None:
+        return _joined(docs, items, seed_words, covered).drop("doc_key")
+    return docs.select("doc_id", text_bytes()).mapInArrow(_found(Items(rows, seed_words, covered)), _FOUND_DDL)
 
 
 _FOUND_DDL = "doc_id bigint, item_id bigint, coverage double, n_tiles int, longest int, tiles array<struct<item_at:int,text_at:int,n_words:int>>"
@@ -175,14 +269,18 @@ _TILE = pa.struct([("item_at", pa.int32()), ("text_at", pa.int32()), ("n_words",
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest", pa.int32()), ("tiles", pa.list_(_TILE))])
 
 
+_KEYED = _FOUND.append(pa.field("doc_key", pa.string()))
+
+
+def _leak(doc_id: int | None, item_id: int | None, share: float, tiles: list[tuple[int, int, int]]) -> tuple:
+    spans = [dict(zip(("item_at", "text_at", "n_words"), t, strict=True)) for t in sorted(tiles)]
+    return doc_id, item_id, share, len(tiles), max(n for _, _, n in tiles), spans
+
+
 def _found(block: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in columns_of(batches, "doc_id", "text"):
-            rows = []
-            for doc_id, raw in zip(ids, texts, strict=True):
-                for k, share, tiles in block.matches(raw):
-                    spans = [dict(zip(("item_at", "text_at", "n_words"), t, strict=True)) for t in sorted(tiles)]
-                    rows.append((doc_id, block.ids[k], share, len(tiles), max(n for _, _, n in tiles), spans))
+            rows = [_leak(doc_id, block.ids[k], share, tiles) for doc_id, raw in zip(ids, texts, strict=True) for k, share, tiles in block.matches(raw)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
@@ -190,12 +288,17 @@ def _found(block: Items):
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS, covered: float = COVERED, most_bytes: int = ITEM_BYTES) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, with all columns; decided row by row, without a shuffle."""
-    for rows in item_blocks(items, most_bytes):
-        block = Items(rows, seed_words, covered)
-        row = docs.select(whole_row(docs))
-        docs = row.mapInArrow(_clean(block), row.schema).select("row.*")
-    return docs
+    """The rows of ``docs`` that no item contaminates, with all columns; decided row by row, without a shuffle, while the items are few.
+
+    Null, empty and very long texts, null ids and short items: as :func:`find_leaks`. Repeated rows are decided alike and kept
+    each. Extra columns may have any names. Empty tables: all documents stay, or there are none.
+    """
+    rows = few_items(items, most_bytes)
+    if rows is None:
+        leaks = _joined(docs, items, seed_words, covered).select(F.col("doc_key").alias("leak")).distinct()
+        return docs.select(whole_row(docs), _row_key("doc_id").alias("key")).join(leaks, F.col("key") == F.col("leak"), "left_anti").select("row.*")
+    row = docs.select(whole_row(docs))
+    return row.mapInArrow(_clean(Items(rows, seed_words, covered)), row.schema).select("row.*")
 
 
 def _clean(block: Items):

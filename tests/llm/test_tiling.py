@@ -86,13 +86,21 @@ def test_leaks(spark, docs_of):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, *_ in rows if i not in bad), key=str) and kept.columns == docs_of([]).columns
 
 
-def test_blocks_of_items_do_not_matter(spark, docs_of):
+def test_many_items_are_joined_to_the_same_result(spark, docs_of):
     r = random.Random(6)
     items = [(k, " ".join(r.choice("abcdefghijklmnop") * 3 for _ in range(20))) for k in range(40)]
     rows = [(k, " ".join([items[k][1], *(f"x{j}" for j in range(30)), items[k + 1][1]]), "a") for k in range(0, 38, 3)]
     whole = {(x.doc_id, x.item_id) for x in g.find_leaks(docs_of(rows), items_of(spark, items)).collect()}
     parts = {(x.doc_id, x.item_id) for x in g.find_leaks(docs_of(rows), items_of(spark, items), most_bytes=500).collect()}
     assert whole == parts and len(whole) >= 2 * len(rows)
+    odd = docs_of([*ODD, *[(700 + k, f"{t} and {t}", "a") for k, (_, t) in enumerate(ITEMS) if t]])
+    for full in (False, True):  # a filter that is full lets all windows through
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(g, "FILTER_BITS", 64 if full else 1 << 16)
+            one, two = ([tuple(map(str, x)) for x in g.find_leaks(odd, items_of(spark, ITEMS + ITEMS[:2]), most_bytes=n).collect()] for n in (1 << 20, 10))
+            assert sorted(one) == sorted(two) and len(one) > 5
+    left = [sorted(str(x.doc_id) for x in g.decontaminated(odd, items_of(spark), most_bytes=n).collect()) for n in (1 << 20, 10)]
+    assert left[0] == left[1] and g.find_leaks(docs_of([]), items_of(spark), most_bytes=1).count() == 0
     assert g.decontaminated(docs_of(rows), items_of(spark, items), most_bytes=500).count() == 0
 
 
@@ -132,3 +140,17 @@ def test_query_finds_every_whole_passage(spark):
     whole = {(d, i) for d, t in docs.items() for i, p in items.items() if p in t}
     got = {(r.doc_id, r.item_id) for r in op6_decontamination(spark, str(SF)).collect()}
     assert whole <= got and len(got) <= len(whole) + 2
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_query_against_a_brute_force_version(spark):
+    """All pairs that share a run of five words, tiled by hand."""
+    docs, items = ([(r[0], r.text) for r in spark.read.parquet(str(SF / f"{t}.parquet")).select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    runs = lambda text: {tuple(w[i : i + 5]) for w in [g.words_of(text.encode())] for i in range(len(w) - 4)}
+    of_items = {i: runs(t) for i, t in items}
+    want = set()
+    for d in docs:
+        own = runs(d[1])
+        near = [(i, t) for i, t in items if own & of_items[i]]
+        want |= leaks_by_hand([d], near) if near else set()
+    assert {(r.doc_id, r.item_id) for r in op6_decontamination(spark, str(SF)).collect()} == want and len(want) >= 3
