@@ -12,7 +12,7 @@ from ..operators import animation, colour, geometry, palette
 from ..registry import default_registry
 from ..sources import images as sources
 from .convert import Settings, convert
-from .synth import SQL, light_pixels, table, text_pixels
+from .synth import SQL, folded, light_pixels, table, text_pixels
 from .synth import images as synth_images
 from .synth import light_images
 
@@ -389,15 +389,16 @@ _OVER = "CASE WHEN blend = 0 OR va = 255 THEN v{c} WHEN va = 0 THEN c{c} ELSE fl
 _OVER_A = "CASE WHEN blend = 0 OR va = 255 THEN va WHEN va = 0 THEN ca ELSE floor((va / 255::DOUBLE + ca / 255::DOUBLE * (1 - va / 255::DOUBLE)) * 255 + 0.5::DOUBLE)::INT END AS na"
 _AFTER = ", ".join(f"CASE WHEN NOT hit OR dispose = 0 THEN n{c} WHEN dispose = 1 THEN 0 ELSE c{c} END AS c{c}" for c in "rgba")
 _SHOWN = ", ".join(f"n{c} AS s{c}" for c in "rgba")
-_VALUE = ", ".join(f"CASE WHEN hit THEN ('0x' || substr(h, 2 * ((4 * ((y - y0) * 4 + x - x0) + {k}) % n) + 1, 2))::INT END AS v{c}" for k, c in enumerate("rgba"))
+_VALUE = ", ".join(f"CASE WHEN hit THEN s[4 * ((y - y0) * 4 + x - x0) + {k} + 1]::INT END AS v{c}" for k, c in enumerate("rgba"))
 
 
-@_query("q_anim_compose", f"""WITH RECURSIVE f AS (SELECT conv_id AS image_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, hex(encode(text)) AS h, octet_length(encode(text)) AS n,
-    turn % 5 AS x0, turn * 3 % 5 AS y0, turn % 3 AS dispose, turn % 2 AS blend FROM conversations WHERE octet_length(encode(text)) > 0),
+@_query("q_anim_compose", f"""WITH RECURSIVE heads AS (SELECT *, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM conversations WHERE octet_length(encode(text)) > 0),
+    f AS MATERIALIZED (SELECT conv_id AS image_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k,
+    list_transform(range(64), lambda j: list_sum(list_transform(range(0, (n + 63) // 64), lambda i: ('0x' || substr(h, 2 * ((j + 64 * i) % n) + 1, 2))::INT)) & 255) AS s, turn % 5 AS x0, turn * 3 % 5 AS y0, turn % 3 AS dispose, turn % 2 AS blend FROM heads),
     r AS (SELECT image_id, y, x, 0::BIGINT AS k, 0 AS cr, 0 AS cg, 0 AS cb, 0 AS ca, 0 AS sr, 0 AS sg, 0 AS sb, 0 AS sa FROM (SELECT DISTINCT image_id FROM f), (SELECT unnest(range(8)) AS y), (SELECT unnest(range(8)) AS x)
     UNION ALL SELECT image_id, y, x, k, {_AFTER}, {_SHOWN} FROM (SELECT *, {', '.join(f'CASE WHEN hit THEN d{c} ELSE c{c} END AS n{c}' for c in 'rgba')} FROM (
       SELECT *, {', '.join((_OVER if c != 'a' else _OVER_A).format(c=c).replace(' AS n', ' AS d') for c in 'rgba')} FROM (SELECT *, {_VALUE} FROM (
-        SELECT r.image_id, y, x, f.k, cr, cg, cb, ca, h, n, x0, y0, dispose, blend, x BETWEEN x0 AND x0 + 3 AND y BETWEEN y0 AND y0 + 3 AS hit FROM r JOIN f ON f.image_id = r.image_id AND f.k = r.k + 1)))))
+        SELECT r.image_id, y, x, f.k, cr, cg, cb, ca, s, x0, y0, dispose, blend, x BETWEEN x0 AND x0 + 3 AND y BETWEEN y0 AND y0 + 3 AS hit FROM r JOIN f ON f.image_id = r.image_id AND f.k = r.k + 1)))))
     SELECT image_id, (k - 1)::INT AS frame, sum(((y * 8 + x + 1)::BIGINT * (sr::BIGINT + 256 * sg::BIGINT + 65536 * sb::BIGINT + 16777216 * sa::BIGINT)) % 1000003)::BIGINT AS checksum FROM r WHERE k > 0 GROUP BY ALL""", plain=True)
 def q_anim_compose(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as animations: each turn a 4 x 4 patch on an 8 x 8 canvas, with disposal and blending by its number."""
@@ -406,8 +407,8 @@ def q_anim_compose(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").where(F.octet_length("text") > 0)
     turns = turns.withColumn("frame", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("int"))
     frames = turns.select(F.col("conv_id").alias("image_id"), "frame", (F.col("turn") % 3).cast("int").alias("dispose"), (F.col("turn") % 2).cast("int").alias("blend"))
-    raw = turns.select(F.col("conv_id").alias("image_id"), "frame", "turn", F.hex(F.substring(F.col("text").cast("binary"), 1, 64)).alias("head"), F.octet_length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p"))
-    channel = lambda k: F.conv(F.substring(F.col("head"), (2 * F.pmod(4 * F.col("p") + k, F.col("n")) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    raw = folded(turns.select(F.col("conv_id").alias("image_id"), "frame", "turn", "text"), 64).select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p"))
+    channel = lambda k: F.element_at("samples", 4 * F.col("p") + k + 1)
     patches = raw.select("image_id", "frame", (F.col("turn") * 3 % 5 + F.floor(F.col("p") / 4)).cast("int").alias("y"), (F.col("turn") % 5 + F.col("p") % 4).cast("int").alias("x"), *(channel(k).alias(c) for k, c in enumerate("rgba")))
     out = animation.compose(frames, patches, 8, 8).withColumn("width", F.lit(8))
     return out.groupBy("image_id", "frame").agg(_checksum())

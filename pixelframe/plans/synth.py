@@ -6,26 +6,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, HEIGHT = 16, 12
+#: Samples that a text is folded into: three channels of every pixel.
+SAMPLES = 3 * WIDTH * HEIGHT
 
 
-def _byte(head: str, n: str, at: Column) -> Column:
-    return F.conv(F.hex(F.substring(F.col(head), (F.pmod(at, F.col(n)) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+def folded(texts: DataFrame, samples: int) -> DataFrame:
+    """``texts`` with ``samples`` numbers from 0 to 255, which every byte of the column text has a part in, in its place.
+
+    Sample j is the sum, modulo 256, of the bytes j, j + samples, j + 2 * samples and so on, counted round and round until
+    all bytes are in one. Texts must not be empty.
+    """
+    octets = F.transform(F.split(F.decode(F.col("text").cast("binary"), "ISO-8859-1"), ""), F.ascii)
+    # Exploding an array of one keeps the optimiser from computing the bytes anew for every sample.
+    rest = [c for c in texts.columns if c != "text"]
+    rows = texts.select(*rest, F.explode(F.array(octets)).alias("octets"))
+    n = F.size("octets")
+    rounds = F.sequence(F.lit(0), F.ceil(n / samples).cast("int") - 1)
+    byte = lambda at: F.element_at("octets", F.pmod(at, n) + 1)
+    sums = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda j: F.aggregate(rounds, F.lit(0), lambda s, i: s + byte(j + i * samples)).bitwiseAND(F.lit(255)))
+    return rows.select(*rest, F.explode(F.array(sums)).alias("samples"))
 
 
 def text_pixels(docs: DataFrame, alpha: bool = False, few: bool = False) -> DataFrame:
-    """16 x 12 pixels of every document with a text: channel k of pixel p is byte 3p + k of the text, again and again.
+    """16 x 12 pixels of every document with a text: channel k of pixel p is sample 3p + k of the whole text (see :func:`folded`).
 
-    With ``alpha``, alpha is 255, 191, 127 or 63 by byte 7p; with ``few``, channels keep their two high bits.
+    With ``alpha``, alpha is 255, 191, 127 or 63 by sample 7p; with ``few``, channels keep their two high bits.
     """
     size = WIDTH * HEIGHT
-    # 7p stays below 1344, so that many bytes of a text are enough, whatever its length.
-    texts = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").alias("image_id"), F.substring(F.col("text").cast("binary"), 1, 7 * size).alias("head"), F.octet_length("text").alias("n"))
+    texts = folded(docs.where(F.octet_length("text") > 0).select(F.col("doc_id").alias("image_id"), "text"), SAMPLES)
     # Dealt by image while an image is one short row: the pixels are made where what groups them by image needs them.
     texts = texts.repartition("image_id")
-    p = texts.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    channel = lambda k: (_byte("head", "n", 3 * F.col("p") + k).bitwiseAND(F.lit(0xC0 if few else 0xFF)))
-    a = 255 - _byte("head", "n", 7 * F.col("p")).bitwiseAND(F.lit(0xC0)) if alpha else F.lit(255)
-    return p.select("image_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.floor(F.col("p") / WIDTH).cast("int").alias("y"), (F.col("p") % WIDTH).cast("int").alias("x"), *(channel(k).alias(c) for k, c in enumerate("rgb")), a.alias("a"))
+    sample = lambda at: F.element_at("samples", at + 1)
+    channel = lambda p, k: sample(3 * p + k).bitwiseAND(F.lit(0xC0 if few else 0xFF))
+    opaque = lambda p: 255 - sample(F.pmod(7 * p, F.lit(SAMPLES))).bitwiseAND(F.lit(0xC0)) if alpha else F.lit(255)
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda p: F.struct(p.alias("p"), *(channel(p, k).alias(c) for k, c in enumerate("rgb")), opaque(p).alias("a")))
+    p = texts.select("image_id", F.explode(pixel).alias("x"))
+    return p.select("image_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.floor(F.col("x.p") / WIDTH).cast("int").alias("y"), (F.col("x.p") % WIDTH).cast("int").alias("x"), *(F.col(f"x.{c}").alias(c) for c in "rgba"))
 
 
 def light_pixels(embeddings: DataFrame) -> DataFrame:
@@ -42,10 +58,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: The same pixels in DuckDB, as the tables px (opaque), pa (with alpha) and pf (few colours, with alpha), and light.
 SQL = """
 WITH heads AS (SELECT doc_id AS image_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) > 0),
-raw AS (SELECT image_id, p // 16 AS y, p % 16 AS x, p,
-  ('0x' || substr(h, 2 * ((3 * p) % n) + 1, 2))::INT AS r0, ('0x' || substr(h, 2 * ((3 * p + 1) % n) + 1, 2))::INT AS g0,
-  ('0x' || substr(h, 2 * ((3 * p + 2) % n) + 1, 2))::INT AS b0, 255 - (('0x' || substr(h, 2 * ((7 * p) % n) + 1, 2))::INT & 192) AS a0
-  FROM heads, (SELECT unnest(range(192))::INT AS p)),
+folds AS (SELECT image_id, list_transform(range(576), lambda j: list_sum(list_transform(range(0, (n + 575) // 576), lambda i: ('0x' || substr(h, 2 * ((j + 576 * i) % n) + 1, 2))::INT)) & 255) AS s FROM heads),
+raw AS (SELECT image_id, p // 16 AS y, p % 16 AS x, p, s[3 * p + 1]::INT AS r0, s[3 * p + 2]::INT AS g0, s[3 * p + 3]::INT AS b0, 255 - (s[(7 * p) % 576 + 1] & 192)::INT AS a0
+  FROM folds, (SELECT unnest(range(192))::INT AS p)),
 px AS (SELECT image_id, 16 AS width, 12 AS height, y::INT AS y, x::INT AS x, r0 AS r, g0 AS g, b0 AS b, 255 AS a FROM raw),
 pa AS (SELECT image_id, 16 AS width, 12 AS height, y::INT AS y, x::INT AS x, r0 AS r, g0 AS g, b0 AS b, a0 AS a FROM raw),
 pf AS (SELECT image_id, 16 AS width, 12 AS height, y::INT AS y, x::INT AS x, r0 & 192 AS r, g0 & 192 AS g, b0 & 192 AS b, a0 AS a FROM raw),
@@ -70,16 +85,15 @@ def images(docs: DataFrame, alpha: bool = False, few: bool = False) -> DataFrame
             made = []
             for raw in batch.column(1):
                 b = np.frombuffer(raw.as_py(), np.uint8)
+                whole = np.resize(b, -(-len(b) // SAMPLES) * SAMPLES)  # round and round
+                s = whole.reshape(-1, SAMPLES).sum(axis=0, dtype=np.uint8)
                 data = np.empty((WIDTH * HEIGHT, 4), np.uint8)
-                for c in range(3):
-                    data[:, c] = b[(3 * p + c) % len(b)] & (0xC0 if few else 0xFF)
-                data[:, 3] = 255 - (b[(7 * p) % len(b)] & 0xC0) if alpha else 255
+                data[:, :3] = s.reshape(-1, 3) & (0xC0 if few else 0xFF)
+                data[:, 3] = 255 - (s[(7 * p) % SAMPLES] & 0xC0) if alpha else 255
                 made.append(packed(Raster(data.reshape(HEIGHT, WIDTH, 4), "srgb", bool((data[:, 3] != 255).any()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, _IMAGE)], names=["image_id", "image"])
 
-    # Places in the text stay below 1344, so that no more of a longer one is needed.
-    head = F.substring(F.col("text").cast("binary"), 1, 7 * WIDTH * HEIGHT)
-    rows = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").alias("image_id"), head.alias("text")).repartition("image_id")
+    rows = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").alias("image_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"image_id bigint, image {IMAGE}")
 
 
