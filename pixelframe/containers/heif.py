@@ -225,6 +225,8 @@ class PicturePlan:
 
 
 def _config(meta: Meta, item: int) -> bytes:
+    if meta.items[item].type == "jpeg":
+        return b""
     found = meta.of(item, "hvcC")
     if meta.items[item].type not in ("hvc1", "hev1") or found is None:
         raise HeifUnsupported(f"items of type {meta.items[item].type} are not read")

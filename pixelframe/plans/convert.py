@@ -27,7 +27,7 @@ MOST_PIXELS = 80_000_000
 REPORT = (
     "source_format string, target_format string, source_bytes bigint, target_bytes bigint, width int, height int, target_width int, target_height int, decoder string, "
     "decode_path string, encoder string, had_alpha boolean, flattened boolean, resized boolean, colour_space string, narrowed boolean, tone_mapped boolean, white double, frames int, "
-    "frames_kept int, loop_count int, had_exif boolean, exif_kept boolean, had_icc boolean, icc_kept boolean, duration_ms double"
+    "frames_kept int, loop_count int, had_exif boolean, exif_kept boolean, had_icc boolean, icc_kept boolean, had_gain_map boolean, gain_map_kept boolean, dropped_plane boolean, frames_truncated int, duration_ms double"
 )
 _KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
 _REPORT_TYPE = pa.struct([(x.split()[0], _KINDS[x.split()[1]]) for x in REPORT.split(", ")])
@@ -44,14 +44,19 @@ class Settings:
     most_pixels: int = MOST_PIXELS
     frames: str = "keep"
     stops: float = 0.0
+    #: Frames after so many are left out, and the report says how many.
+    most_frames: int | None = None
     options: Options = Options()
 
 
-def convert_bytes(data: bytes, settings: Settings, registry: Registry) -> tuple[bytes, dict]:
-    """One file: (content, report). Raises an :class:`ImageError` whose code says what is wrong."""
+def convert_bytes(data: bytes, settings: Settings, registry: Registry, source: str | None = None) -> tuple[bytes, dict]:
+    """One file: (content, report). Raises an :class:`ImageError` whose code says what is wrong. ``source``: the format, where it is known."""
     began = time.perf_counter()
-    source = detect.required(data)
+    source = source or detect.required(data)
     found, decoder = registry.decode(data, source, settings.most_pixels)
+    truncated = max(0, len(found.frames) - settings.most_frames) if settings.most_frames is not None else 0
+    if truncated:
+        found.frames = found.frames[: settings.most_frames]
     ladder = registry.encoders_for(settings.to)
     target = BY_ID[settings.to]
     report: dict = {"source_format": source, "target_format": settings.to, "source_bytes": len(data), "width": found.image.width, "height": found.image.height}
@@ -89,6 +94,8 @@ def convert_bytes(data: bytes, settings: Settings, registry: Registry) -> tuple[
     report |= flags | {"target_bytes": len(content), "target_width": image.width, "target_height": image.height, "encoder": encoder.id, "colour_space": image.colour_space}
     report |= {"tone_mapped": white is not None, "white": white, "frames_kept": max(1, len(frames) if encoder.animates else 1), "had_exif": payload is not None}
     report |= {"exif_kept": options.exif is not None and settings.to in ("png", "tiff", "jpeg"), "had_icc": found.icc is not None, "icc_kept": icc is not None and settings.to in ("png", "apng", "tiff", "jpeg")}
+    # No format that is written here carries a gain map; where the colours were moved it would be wrong anyway.
+    report |= {"had_gain_map": found.gain_map is not None, "gain_map_kept": False, "dropped_plane": found.dropped, "frames_truncated": truncated}
     return content, report | {"duration_ms": (time.perf_counter() - began) * 1000}
 
 
@@ -109,21 +116,21 @@ def convert(files: DataFrame, settings: Settings | None = None, registry: Regist
         .when(F.col("format").isNull(), F.lit("input/unknown-format"))
         .when(size["width"] * size["height"] > settings.most_pixels, F.lit("input/too-large"))
     )
-    seen = seen.withColumn("refused", refused).select("key", F.when(F.col("refused").isNull(), F.col("content")).alias("content"), "refused")
+    seen = seen.withColumn("refused", refused).select("key", F.when(F.col("refused").isNull(), F.col("content")).alias("content"), "refused", "format")
     key_type = files.schema[key].dataType.simpleString()
 
-    def one(data: bytes | None, code: str | None) -> tuple:
+    def one(data: bytes | None, code: str | None, source: str | None) -> tuple:
         if code is not None:
             return False, None, None, None, code, None, None
         try:
-            made, report = convert_bytes(data, settings, registry)
+            made, report = convert_bytes(data, settings, registry, source)
             return True, made, target.mime, target.extension, None, None, report
         except ImageError as e:
             return False, None, None, None, e.code, str(e), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from in_pieces(batch, lambda i, batch=batch: one(batch.column(1)[i].as_py(), batch.column(2)[i].as_py()), _OUT, lambda r: len(r[1] or b""))
+            yield from in_pieces(batch, lambda i, batch=batch: one(*(batch.column(k)[i].as_py() for k in (1, 2, 3))), _OUT, lambda r: len(r[1] or b""))
 
     out = seen.mapInArrow(run, f"key {key_type}, ok boolean, content binary, mime string, extension string, error_code string, error_message string, report struct<{REPORT.replace(' ', ':').replace(',:', ',')}>")
     return out.withColumnRenamed("key", key)

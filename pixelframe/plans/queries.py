@@ -365,7 +365,7 @@ def q_convert_report(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy(F.col("report.source_format").alias("source_format"), F.col("report.target_format").alias("target_format"), "lang").agg(F.count("*").alias("n_files"), F.sum(F.col("ok").cast("long")).alias("n_ok"), F.sum((F.col("report.target_width") * F.col("report.target_height")).cast("long")).alias("pixels"))
 
 
-@_query("q_readable_not_writable", "SELECT unnest(['dds', 'psd', 'raw']) AS format", plain=True)
+@_query("q_readable_not_writable", "SELECT unnest(['dds', 'heic', 'psd', 'raw']) AS format", plain=True)
 def q_readable_not_writable(spark: SparkSession, d: str) -> DataFrame:
     r = default_registry()
     rows = [(f,) for f in r.readable()], [(f,) for f in r.writable()]
@@ -373,7 +373,7 @@ def q_readable_not_writable(spark: SparkSession, d: str) -> DataFrame:
     return readable.join(writable, "format", "left_anti")
 
 
-@_query("q_codec_ladder", "SELECT 'apng' AS format, unnest(['apng-pure', 'apng-fallback']) AS id, unnest([1, 2]) AS rung UNION ALL SELECT f, f || '-pure', 1 FROM (SELECT unnest(['bmp', 'dds', 'exr', 'farbfeld', 'gif', 'hdr', 'icns', 'ico', 'jpeg', 'pcx', 'png', 'pnm', 'psd', 'qoi', 'ras', 'tga', 'tiff', 'xbm', 'xpm']) AS f) UNION ALL VALUES ('raw', 'raw-preview', 1), ('tiff', 'tiff-preview', 2)", plain=True)
+@_query("q_codec_ladder", "SELECT 'apng' AS format, unnest(['apng-pure', 'apng-fallback']) AS id, unnest([1, 2]) AS rung UNION ALL SELECT f, f || '-pure', 1 FROM (SELECT unnest(['bmp', 'dds', 'exr', 'farbfeld', 'gif', 'hdr', 'icns', 'ico', 'jpeg', 'pcx', 'png', 'pnm', 'psd', 'qoi', 'ras', 'tga', 'tiff', 'xbm', 'xpm']) AS f) UNION ALL VALUES ('raw', 'raw-preview', 1), ('tiff', 'tiff-preview', 2), ('gif', 'gif-fallback', 2), ('heic', 'heic-jpeg', 1)", plain=True)
 def q_codec_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Decoders by format in the order in which they are tried."""
     from pyspark.sql import Window

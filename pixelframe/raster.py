@@ -68,6 +68,9 @@ class Decoded:
     loop_count: int = 0
     exif: bytes | None = None
     icc: bytes | None = None
+    #: The picture of a gain map; whether an alpha plane or gain map could not be read.
+    gain_map: Raster | None = None
+    dropped: bool = False
 
 
 def blank(width: int, height: int, colour_space: str = "srgb", has_alpha: bool = False) -> Raster:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from .codecs import bmp, dds, exr, farbfeld, gif, hdr, icns, ico, jpeg_pixels, pcx, png, pnm, psd, qoi, ras, tga, tiff, xbm, xpm
+from .containers import heif
 from .errors import DecodeFailed, EncodeFailed, EncodeUnsupported, ImageError, TooLarge, UnsupportedHere
 from .raster import Decoded, Frame, Raster, flatten
 
@@ -35,6 +36,8 @@ class Decoder:
     path: str = "pure"
     priority: int = 40
     available: Callable[[], bool] = lambda: True
+    #: Whether it gives light; such decoders of a format are tried before those that give bytes.
+    light: bool = False
 
 
 @dataclass(frozen=True)
@@ -63,7 +66,7 @@ class Registry:
         self.encoders.pop(codec_id, None)
 
     def decoders_for(self, fmt: str) -> list[Decoder]:
-        return sorted((d for d in self.decoders.values() if d.format == fmt and _works(d)), key=lambda d: d.priority)
+        return sorted((d for d in self.decoders.values() if d.format == fmt and _works(d)), key=lambda d: (not d.light, d.priority))
 
     def encoders_for(self, fmt: str) -> list[Encoder]:
         return sorted((e for e in self.encoders.values() if e.format == fmt and _works(e)), key=lambda e: e.priority)
@@ -127,6 +130,45 @@ def _frames(p: Decoded) -> list[Frame]:
     return p.frames or [Frame(p.image, 0.0)]
 
 
+def heif_decoder(tile_decoder: heif.TileDecoder, codec_id: str = "heic-native", path: str = "native-image", priority: int = 10) -> Decoder:
+    """A reader of HEIF files: the library plans and assembles, ``tile_decoder`` gives the pixels of the coded items."""
+
+    def decode(data: bytes) -> Decoded:
+        image, gain, dropped = heif.decode(data, tile_decoder)
+        return Decoded(image, exif=heif.plan(data).exif, gain_map=gain, dropped=dropped)
+
+    return Decoder(codec_id, "heic", decode, path, priority)
+
+
+def jpeg_tile(config: bytes, data: bytes, width: int, height: int) -> Raster:
+    """The coded items that need no more than this library."""
+    if data[:2] != b"\xff\xd8":
+        raise UnsupportedHere("there is no decoder of HEVC here")
+    return jpeg_pixels.decode(data).image
+
+
+@dataclass(frozen=True)
+class Capabilities:
+    """What a registry can do."""
+
+    readable: tuple[str, ...]
+    writable: tuple[str, ...]
+    animated: tuple[str, ...]
+    light_in: tuple[str, ...]
+    light_out: tuple[str, ...]
+    native: tuple[str, ...]
+
+
+def capabilities(registry: Registry) -> Capabilities:
+    """Formats that can be read and written here; with several frames, as light, and by other means than the library's own code."""
+    encoders, decoders = ([c for c in x.values() if _works(c)] for x in (registry.encoders, registry.decoders))
+    of = lambda codecs: tuple(sorted({c.format for c in codecs}))
+    return Capabilities(
+        tuple(registry.readable()), tuple(registry.writable()), of(e for e in encoders if e.animates), of(d for d in decoders if d.light),
+        of(e for e in encoders if e.floats), of(c for c in (*decoders, *encoders) if c.path != "pure"),
+    )
+
+
 def default_registry() -> Registry:
     """All codecs that need nothing but the library."""
     r = Registry()
@@ -138,10 +180,12 @@ def default_registry() -> Registry:
     r.register(Decoder("apng-pure", "apng", png.decode_apng, priority=20))
     r.register(Decoder("apng-fallback", "apng", png.decode, priority=30))
     r.register(Decoder("gif-pure", "gif", gif.decode, priority=20))
+    r.register(Decoder("gif-fallback", "gif", lambda data: gif.decode(data, first_only=True), priority=30))
+    r.register(heif_decoder(jpeg_tile, "heic-jpeg", "pure", 40))
     r.register(Decoder("raw-preview", "raw", jpeg_pixels.decode_preview, priority=20))
     r.register(Decoder("tiff-preview", "tiff", jpeg_pixels.decode_preview, priority=45))
     for fmt, read in readers.items():
-        r.register(Decoder(f"{fmt}-pure", fmt, read))
+        r.register(Decoder(f"{fmt}-pure", fmt, read, light=fmt in ("hdr", "exr")))
     still: dict[str, Callable[[Decoded, Options], bytes]] = {
         "png": lambda p, o: png.encode(p.image, o.palette, o.dither, o.icc, o.exif),
         "qoi": lambda p, o: qoi.encode(p.image),

@@ -83,17 +83,15 @@ def encode(images: DataFrame, to: str, key: str = "image_id", options: Options |
     """key, content and error_code: each ``image`` written in format ``to``."""
     options, registry = options or Options(), registry or default_registry()
 
+    def one(image: dict) -> tuple[bytes | None, str | None]:
+        try:
+            return registry.encode(Decoded(unpacked(image)), to, options)[0], None
+        except ImageError as e:
+            return None, e.code
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, errors = [], []
-            for row in batch.column(1):
-                try:
-                    made.append(registry.encode(Decoded(unpacked(row.as_py())), to, options)[0])
-                    errors.append(None)
-                except ImageError as e:
-                    made.append(None)
-                    errors.append(e.code)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array(errors, pa.string())], names=["key", "content", "error_code"])
+            yield from in_pieces(batch, lambda i, batch=batch: one(batch.column(1)[i].as_py()), (("content", pa.binary()), ("error_code", pa.string())), lambda r: len(r[0] or b""))
 
     kind = images.schema[key].dataType.simpleString()
     return images.select(F.col(key).alias("key"), "image").mapInArrow(run, f"key {kind}, content binary, error_code string").withColumnRenamed("key", key)

@@ -139,3 +139,45 @@ def test_table_functions(spark):
     assert [r.width for r in rows("ico_entries", "i")] == [32, 16] and len(rows("icns_entries", "n")) == 3
     assert 256 in {r.tag for r in rows("tiff_tags", "t")} and {r.type for r in rows("iso_boxes", "h")} == {"ftyp", "meta", "mdat"}
     assert len(rows("heif_tiles", "h")) == 4 and {r.ref_type for r in rows("heif_references", "h")} == {"dimg"} and len(rows("heif_items", "h")) == 5
+
+
+def test_heif_of_jpeg_tiles_is_read_by_default():
+    """A grid of two coded tiles, cut to size and turned; a tile that is not JPEG is unsupported."""
+    import numpy as np
+
+    from pixelframe.codecs import jpeg_pixels
+    from pixelframe.containers import heif
+    from pixelframe.errors import ImageError
+    from pixelframe.raster import opaque
+    from pixelframe.registry import capabilities, default_registry, jpeg_tile
+
+    left, right = (opaque(np.full((16, 16, 3), c, np.uint8)) for c in ((200, 20, 40), (10, 30, 220)))
+    tiles = {1: jpeg_pixels.encode(left, 95), 2: jpeg_pixels.encode(right, 95)}
+
+    class Meta:
+        def bytes_of(self, item):
+            return tiles[item]
+
+    plan = heif.Plan(30, 16, [heif.Tile(0, 0, 16, 16, 1), heif.Tile(16, 0, 16, 16, 2)], b"", "srgb", 90, None)
+    image = heif.assemble(Meta(), plan, jpeg_tile)
+    assert (image.width, image.height) == (16, 30)
+    assert np.abs(image.data[-1, 0, :3].astype(int) - (200, 20, 40)).max() < 6 and np.abs(image.data[0, 0, :3].astype(int) - (10, 30, 220)).max() < 6
+    with pytest.raises(ImageError):
+        jpeg_tile(b"", b"\0\0\0\1hevc", 16, 16)
+    found = capabilities(default_registry())
+    assert {"heic", "raw", "jpeg"} <= set(found.readable) and "heic" not in found.writable and found.light_in == ("exr", "hdr") and {"gif", "apng"} <= set(found.animated)
+
+
+def test_frames_after_the_most_are_left_out_and_counted():
+    import numpy as np
+
+    from pixelframe.plans.convert import Settings, convert_bytes
+    from pixelframe.raster import Decoded, Frame, opaque
+    from pixelframe.registry import Options, default_registry
+
+    registry = default_registry()
+    frames = [Frame(opaque(np.full((4, 5, 3), 40 * k, np.uint8)), 100.0) for k in range(5)]
+    gif, _ = registry.encode(Decoded(frames[0].image, frames), "gif", Options())
+    made, report = convert_bytes(gif, Settings(to="apng", most_frames=3), registry)
+    assert report["frames_truncated"] == 2 and report["frames_kept"] == 3 and len(registry.decode(made, "apng", 10**6)[0].frames) == 3
+    assert convert_bytes(gif, Settings(to="apng"), registry)[1]["frames_truncated"] == 0
