@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..formats import formats_table
 from ..functions.exif import metadata
 from ..raster import Decoded, Frame, mirror, rotate
-from ..registry import Options, default_registry
+from ..registry import Options, capabilities, default_registry
 from ..sources import images as sources
 from .convert import Settings, convert, convert_bytes
 from .queries import _checked, _docs, _query
@@ -204,3 +205,73 @@ def q_animation_trip(spark: SparkSession, d: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["image_id", "frame", "delay_ms", "checksum"])
 
     return synth_images(_docs(spark, d), alpha=True, few=True).mapInArrow(run, "image_id bigint, frame int, delay_ms double, checksum bigint")
+
+
+# ---------------------------------------------------------------- containers, capabilities
+
+
+def _box(kind: bytes, *parts: str) -> str:
+    body = "".join(parts)
+    return f"{len(body) // 2 + 8:08x}{kind.hex()}{body}"
+
+
+@_query("q_built_heif", "SELECT image_id, 'heic-jpeg' AS decoder, 16 AS width, 12 AS height, TRUE AS within FROM (SELECT doc_id AS image_id FROM documents WHERE octet_length(encode(text)) > 0)", plain=True)
+def q_built_heif(spark: SparkSession, d: str) -> DataFrame:
+    """A grid of two coded tiles, its boxes and offsets put together from columns; no channel is off by more than 4."""
+    import numpy as np
+
+    from ..raster import crop, opaque
+
+    registry = default_registry()
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                image = sources.unpacked(batch.column(1)[i].as_py())
+                two = [registry.encode(Decoded(crop(image, x, 0, 8, HEIGHT)), "jpeg", Options(quality=100))[0] for x in (0, 8)]
+                rows.append((batch.column(0)[i].as_py(), *two, image.data.tobytes()))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["image_id", "left", "right", "data"])
+
+    tiles = synth_images(_docs(spark, d)).mapInArrow(halves, "image_id bigint, left binary, right binary, data binary")
+    entry = lambda item, kind: _box(b"infe", "02000000", f"{item:04x}0000", kind.hex(), "00")
+    fixed = _box(b"hdlr", "00000000" * 2, b"pict".hex(), "00" * 13) + _box(b"pitm", "00000000", "0003")
+    fixed += _box(b"iinf", "00000000", "0003", entry(1, b"jpeg"), entry(2, b"jpeg"), entry(3, b"grid")) + _box(b"iref", "00000000", _box(b"dimg", "0003", "0002", "0001", "0002"))
+    sizes = _box(b"ipco", _box(b"ispe", "00000000", f"{8:08x}{HEIGHT:08x}"), _box(b"ispe", "00000000", f"{WIDTH:08x}{HEIGHT:08x}"))
+    fixed += _box(b"iprp", sizes, _box(b"ipma", "00000000", "00000003", "00010101", "00020101", "00030102"))
+    head = _box(b"ftyp", b"heic".hex(), "00000000", b"mif1heic".hex())
+    places = 8 + 4 + 2 + 2 + 3 * 14
+    meta = 8 + 4 + len(fixed) // 2 + places
+    begin = len(head) // 2 + meta + 8
+    n_left, n_right = F.octet_length("left"), F.octet_length("right")
+    spots = [(1, F.lit(begin + 8), n_left), (2, F.lit(begin + 8) + n_left, n_right), (3, F.lit(begin), F.lit(8))]
+    located = F.concat(F.lit(f"{places:08x}{b'iloc'.hex()}00000000" + "4400" + "0003"), *(F.concat(F.lit(f"{item:04x}0000" + "0001"), big(at, 4), big(n, 4)) for item, at, n in spots))
+    grid = f"00000001{WIDTH:04x}{HEIGHT:04x}"
+    content = F.unhex(F.concat(F.lit(head + f"{meta:08x}{b'meta'.hex()}00000000" + fixed), located, big(n_left + n_right + 16, 4), F.lit(b"mdat".hex() + grid), F.hex("left"), F.hex("right")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                found, codec = registry.decode(batch.column(1)[i].as_py(), "heic", 10**6)
+                want = opaque(np.frombuffer(batch.column(2)[i].as_py(), np.uint8).reshape(HEIGHT, WIDTH, 4)[..., :3]).data
+                near = found.image.data.shape == want.shape and int(np.abs(found.image.data.astype(int) - want).max()) <= 4
+                rows.append((batch.column(0)[i].as_py(), codec.id, found.image.width, found.image.height, near))
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["image_id", "decoder", "width", "height", "within"])
+
+    return tiles.select("image_id", content.alias("content"), "data").mapInArrow(read, "image_id bigint, decoder string, width int, height int, within boolean")
+
+
+@_query("q_capabilities", """SELECT 'animated' AS kind, unnest(['apng', 'gif']) AS format UNION ALL SELECT 'light_in', unnest(['exr', 'hdr']) UNION ALL SELECT 'light_out', unnest(['exr', 'hdr'])
+    UNION ALL SELECT 'only_read', unnest(['dds', 'heic', 'psd', 'raw']) UNION ALL SELECT 'unread', unnest(['avif', 'jxl', 'svg', 'webp'])""", plain=True)
+def q_capabilities(spark: SparkSession, d: str) -> DataFrame:
+    """What the library can do by itself, beside the table of formats."""
+    found = capabilities(default_registry())
+    rows = [(kind, fmt) for kind in ("animated", "light_in", "light_out", "readable", "writable") for fmt in getattr(found, kind)]
+    told = spark.createDataFrame(rows, "kind string, format string")
+    of = lambda kind: told.where(F.col("kind") == kind).select("format")
+    only = of("readable").join(of("writable"), "format", "left_anti").select(F.lit("only_read").alias("kind"), "format")
+    unread = formats_table(spark).select(F.col("id").alias("format")).join(of("readable"), "format", "left_anti").select(F.lit("unread").alias("kind"), "format")
+    return told.where(F.col("kind").isin("animated", "light_in", "light_out")).unionByName(only).unionByName(unread)
