@@ -109,6 +109,18 @@ def resize(pixels: DataFrame, width: str | Column | int, height: str | Column |
     return two.select("image_id", F.col("to_width").alias("width"), F.col("to_height").alias("height"), "y", "x", *(v.alias(c) for c, v in colour.items()), half_up(a).cast("int").alias("a"))
 
 
+def resize_light(light: DataFrame, width: str | Column | int, height: str | Column | int) -> DataFrame:
+    """As :func:`resize` on linear light: alpha is 0 to 1 and nothing is rounded but to float32."""
+    of = lambda v: F.lit(v) if isinstance(v, int) else F.col(v) if isinstance(v, str) else v
+    rows = light.withColumns({"to_width": of(width), "to_height": of(height)}).repartition("image_id")
+    alpha = F.col("a").cast("double")
+    one = _spread(rows, "x", "width", "to_width", {c: F.col(c).cast("double") * alpha for c in CHANNELS[:3]} | {"a": alpha})
+    two = _spread(one, "y", "height", "to_height", {c: F.col(c).cast("double") for c in CHANNELS})
+    a = F.col("a").cast("double")
+    colour = {c: F.when(a > 0, F.col(c).cast("double") / a).otherwise(F.lit(0.0)).cast("float") for c in CHANNELS[:3]}
+    return two.select("image_id", F.col("to_width").alias("width"), F.col("to_height").alias("height"), "y", "x", *(v.alias(c) for c, v in colour.items()), "a")
+
+
 def fit_square(pixels: DataFrame, side: int) -> DataFrame:
     """Letterboxed into a square; the rim is transparent black."""
     scale = F.least(F.lit(float(side)) / F.col("width"), F.lit(float(side)) / F.col("height"))

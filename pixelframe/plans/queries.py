@@ -140,6 +140,28 @@ for _name, _w, _h in (("q_resize_half", 8, 6), ("q_resize_uneven", 7, 5), ("q_re
     _query(_name, _resize_sql(str(_w), str(_h)))(lambda spark, d, w=_w, h=_h: _checked(geometry.resize(text_pixels(_docs(spark, d), alpha=True), w, h)))
 
 
+def _light_sql(w: int, h: int) -> str:
+    """The two passes on light, with an alpha that differs by place."""
+
+    def footprint(name: str, size: int, to: int) -> str:
+        return f"""{name} AS (SELECT i, s, least(s + 1, (i + 0.5::DOUBLE) * sc + rd) - greatest(s, (i + 0.5::DOUBLE) * sc - rd) AS w
+          FROM (SELECT i, s, {size} / {to}::DOUBLE AS sc, greatest({size} / {to}::DOUBLE, 1::DOUBLE) / 2 AS rd FROM (SELECT unnest(range({to})) AS i), (SELECT unnest(range({size})) AS s)))"""
+
+    one = ", ".join(f"(sum({c} * w ORDER BY s) / sum(w ORDER BY s))::FLOAT::DOUBLE AS {c}" for c in "rgba")
+    return f""", {footprint("fx", 8, w)}, {footprint("fy", 8, h)},
+    seen AS (SELECT image_id, y, x, r, g, b, ((x + 2 * y) % 5) / 4::DOUBLE AS a FROM light),
+    pre AS (SELECT image_id, y, x, r * a AS r, g * a AS g, b * a AS b, a FROM seen),
+    one AS (SELECT image_id, y, i AS x, {one} FROM pre JOIN fx ON fx.s = x AND fx.w > 0 GROUP BY image_id, y, i),
+    two AS (SELECT image_id, i AS y, x, {one} FROM one JOIN fy ON fy.s = y AND fy.w > 0 GROUP BY image_id, x, i)
+    SELECT image_id, {w} AS width, {h} AS height, y::INT AS y, x::INT AS x, {", ".join(f"round((CASE WHEN a > 0 THEN {c} / a ELSE 0 END)::FLOAT::DOUBLE, 4) AS {c}" for c in "rgb")}, round(a, 4) AS a FROM two"""
+
+
+@_query("q_resize_light", _light_sql(5, 3))
+def q_resize_light(spark: SparkSession, d: str) -> DataFrame:
+    light = light_pixels(table(spark, d, "embeddings")).withColumn("a", F.pmod(F.col("x") + 2 * F.col("y"), F.lit(5)) / F.lit(4.0))
+    return geometry.resize_light(light, 5, 3).withColumns({c: F.round(F.col(c).cast("double"), 4) for c in "rgba"})
+
+
 @_query("q_fit_square", _resize_sql("9", "7", f""", sq AS (SELECT i.image_id, 9 AS width, 9 AS height, yy AS y, xx AS x, coalesce(q.r, 0) AS r, coalesce(q.g, 0) AS g, coalesce(q.b, 0) AS b, coalesce(q.a, 0) AS a
     FROM (SELECT DISTINCT image_id FROM px) i, (SELECT unnest(range(9)) AS yy), (SELECT unnest(range(9)) AS xx) LEFT JOIN q ON q.image_id = i.image_id AND q.y + 1 = yy AND q.x = xx) SELECT image_id, {CHECK} FROM sq GROUP BY image_id"""))
 def q_fit_square(spark: SparkSession, d: str) -> DataFrame:
