@@ -94,3 +94,8 @@ def normalised_delay(ms: Column) -> Column:
 def plays_from_repeats(repeats: Column) -> Column:
     """Repetitions after the first play as a number of plays: endless is 0."""
     return F.when(repeats == float("inf"), F.lit(0)).when(repeats <= 0, F.lit(1)).otherwise(F.floor(repeats) + 1).cast("int")
+
+
+def webp_duration(ms: Column) -> Column:
+    """Milliseconds, half up, within 24 bits; absent is 0."""
+    return F.least(F.greatest(F.floor(F.coalesce(ms, F.lit(0.0)) + F.lit(0.5)), F.lit(0)), F.lit((1 << 24) - 1)).cast("int")

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..formats import formats_table
+from ..functions import naming
 from ..functions.exif import metadata
 from ..raster import Decoded, Frame, mirror, rotate
 from ..registry import Options, capabilities, default_registry
 from ..sources import images as sources
 from .convert import Settings, convert, convert_bytes
 from .queries import _checked, _docs, _query
-from .synth import HEIGHT, WIDTH, text_pixels
+from .synth import HEIGHT, WIDTH, table, text_pixels
 from .synth import images as synth_images
 
 CHECK = "16 AS width, 12 AS height, 192::BIGINT AS n, sum(((y * 16 + x + 1)::BIGINT * (r::BIGINT + 256 * g::BIGINT + 65536 * b::BIGINT + 16777216 * a::BIGINT)) % 1000003)::BIGINT AS checksum"
@@ -275,3 +276,38 @@ def q_capabilities(spark: SparkSession, d: str) -> DataFrame:
     only = of("readable").join(of("writable"), "format", "left_anti").select(F.lit("only_read").alias("kind"), "format")
     unread = formats_table(spark).select(F.col("id").alias("format")).join(of("readable"), "format", "left_anti").select(F.lit("unread").alias("kind"), "format")
     return told.where(F.col("kind").isin("animated", "light_in", "light_out")).unionByName(only).unionByName(unread)
+
+
+# ---------------------------------------------------------------- frames and their times
+
+
+@_query("q_delay_rules", """WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 13 = 0 THEN 20000000::DOUBLE ELSE (p_partkey * 37 % 400 - 60) / 4::DOUBLE END AS ms FROM part)
+    SELECT p_partkey, CASE WHEN ms IS NULL OR ms <= 10 THEN 100::DOUBLE ELSE ms END AS normal, greatest(0, least(floor(coalesce(ms, 0) + 0.5::DOUBLE), 16777215))::INT AS webp FROM t""", plain=True)
+def q_delay_rules(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    ms = F.when(k % 11 == 0, F.lit(None).cast("double")).when(k % 13 == 0, F.lit(20_000_000.0)).otherwise((k * 37 % 400 - 60) / F.lit(4.0))
+    return table(spark, d, "part").select("p_partkey", ms.alias("ms")).select("p_partkey", naming.normalised_delay(F.col("ms")).alias("normal"), naming.webp_duration(F.col("ms")).alias("webp"))
+
+
+@_query("q_frames_first", """SELECT image_id, 4 AS frames, unnest(['first', 'keep', 'keep']) AS wanted, unnest(['apng', 'apng', 'bmp']) AS target, unnest([1, 3, 1]) AS kept, unnest([1, 1, 1]) AS truncated
+    FROM (SELECT doc_id AS image_id FROM documents WHERE octet_length(encode(text)) > 0)""", plain=True)
+def q_frames_first(spark: SparkSession, d: str) -> DataFrame:
+    """GIFs of four frames, of which three are wanted at most, converted to a still and a moving target."""
+    registry = default_registry()
+
+    def moving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for row in batch.column(1):
+                image = sources.unpacked(row.as_py())
+                made.append(registry.encode(Decoded(image, [Frame(rotate(image, 180 * k), 50.0) for k in range(4)], 0), "gif", Options(dither=False))[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["image_id", "content"])
+
+    gifs = synth_images(_docs(spark, d), few=True).mapInArrow(moving, "image_id bigint, content binary")
+    out = None
+    for wanted, target in (("first", "apng"), ("keep", "apng"), ("keep", "bmp")):
+        r = convert(gifs, Settings(to=target, frames=wanted, most_frames=3), key="image_id")
+        kept = F.col("report.frames_kept")
+        part = r.select("image_id", (F.col("report.frames") + F.col("report.frames_truncated")).alias("frames"), F.lit(wanted).alias("wanted"), F.lit(target).alias("target"), kept.alias("kept"), F.col("report.frames_truncated").alias("truncated"))
+        out = part if out is None else out.unionByName(part)
+    return out
