@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,8 +45,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths made since, for each call of :func:`finished` that is under way.
+_MADE: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def forget_on_exit(spark: SparkSession, path: str) -> None:
@@ -68,6 +80,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``make`` gives, staged; what was staged on the way to it is deleted at once."""
+    _MADE.append([])
+    try:
+        out = staged(make(), name)
+        *others, kept = _MADE[-1]
+    finally:
+        _MADE.pop()
+    if _MADE:
+        _MADE[-1].append(kept)
+    for path in others:
+        delete(out.sparkSession, path)
+    return out
+
+
 def text_bytes(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column; null stays null."""
     return F.col(name).cast("binary").alias(name)

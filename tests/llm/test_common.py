@@ -30,3 +30,21 @@ def test_staged_tables_keep_rows_and_types(spark):
     back = common.staged(df, "t")
     assert back.dtypes == df.dtypes and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     assert common.staged(df.where("false"), "t").count() == 0
+
+
+def test_finished_deletes_what_was_staged_on_the_way(spark):
+    from pathlib import Path
+
+    paths = []
+
+    def make():
+        one = common.staged(spark.range(5).withColumnRenamed("id", "a"), "inner")
+        two = common.finished(lambda: common.staged(one.where("a > 1"), "deep").where("a > 2"), "middle")
+        paths.extend(p.removeprefix("file:") for df in (one, two) for p in df.inputFiles())
+        return one.join(two, "a")
+
+    out = common.finished(make, "outer")
+    assert sorted(r.a for r in out.collect()) == [3, 4] and paths and not any(Path("/" + p.lstrip("/")).exists() for p in paths)
+    with pytest.raises(ZeroDivisionError):
+        common.finished(lambda: 1 / 0, "broken")
+    assert common._MADE == []
