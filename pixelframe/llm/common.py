@@ -12,11 +12,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a filter that goes to all tasks.
+FILTER_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,6 +98,33 @@ def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
+def _places(hashes: np.ndarray, n_bits: int) -> np.ndarray:
+    return (hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8) & np.uint64(n_bits - 1)
+
+
+def filter_of(hashes: DataFrame, n_bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of the one column of ``hashes`` (long): ``n_bits``, a power of two, of which each hash sets one.
+
+    At most one row for 64 bits is collected, however many hashes there are. A filter that fills lets more through.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_places(batch.column(0).to_numpy(), n_bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    found = hashes.mapInArrow(run, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(n_bits // 64, np.uint64)
+    bits[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+    return bits
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a filter lets through: all that it was made of, and some others."""
+    at = _places(hashes, len(bits) * 64)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
+
+
 def text_bytes(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column; null stays null."""
     return F.col(name).cast("binary").alias(name)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, staged, text_bytes, whole_row
+from .common import columns_of, filter_of, may_hold, staged, text_bytes, whole_row
 from .components import components
 
 SEED, BITS, DENSE = 42, 64, 64
@@ -348,10 +348,23 @@ def _with(pairs: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
     return one.join(of, F.col("b") == F.col("who")).select("a", "b", "of_a", F.col("value").alias("of_b"))
 
 
+def _among(nodes: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of those ``nodes`` that a filter of the column node of ``wanted`` lets through, so that a join shuffles few others."""
+    bits = filter_of(wanted.select(F.xxhash64("node").alias("h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield x.filter(pa.array(may_hold(bits, x.column(0).to_numpy()))).select(["node", *columns])
+
+    ddl = ", ".join(f"{c} binary" for c in ("node", *columns))
+    return nodes.select(F.xxhash64("node").alias("h"), "node", *columns).mapInArrow(run, ddl)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets have that cosine: pigeonring, the Hamming test, then the sets themselves."""
     near = staged(_with(pairs, nodes, "fp").mapInArrow(_close(budget(similarity)), "a binary, b binary"), "simhash-near")
-    return staged(_with(near, nodes, "shingles").mapInArrow(_exact(similarity), "a binary, b binary"), "simhash-links")
+    sides = near.select(F.explode(F.array("a", "b")).alias("node"))
+    return staged(_with(near, _among(nodes, sides, "shingles"), "shingles").mapInArrow(_exact(similarity), "a binary, b binary"), "simhash-links")
 
 
 def _by_key(n_keys: int, of_group):
@@ -478,7 +491,7 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
         return roots
     strays = rest.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).withColumnRenamed("cell", "at")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    payload = nodes.select(F.col("node").alias("who"), "fp", "shingles")
+    payload = _among(nodes, members.join(strays, F.col("cell") == F.col("at"), "left_semi"), "fp", "shingles").withColumnRenamed("node", "who")
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
     sides = members.join(strays, F.col("cell") == F.col("at")).select("cell", "block", "blocks", "parts", F.lit(0).alias("side"), "node", "root")
     sides = sides.unionByName(rest.join(strays, F.col("cell") == F.col("at")).select("cell", F.lit(0).alias("block"), "blocks", own.alias("parts"), F.lit(1).alias("side"), "node", "root"))

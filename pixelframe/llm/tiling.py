@@ -27,12 +27,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, staged, text_bytes, whole_row
+from .common import FILTER_BITS, columns_of, filter_of, may_hold, staged, text_bytes, whole_row
 
 #: Words of a seed, share of an item that tiles must cover, bytes of test items that go to all tasks at once.
 SEED_WORDS, COVERED, ITEM_BYTES = 5, 0.6, 8 << 20
-#: Bits of the filter of seeds.
-FILTER_BITS = 1 << 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Letters and digits of any script; all else parts words.
 _WORDS = re.compile(r"[^\W_]+")
@@ -187,16 +185,13 @@ def _seeds(seed_words: int, covered: float):
 
 def _hits(bits: np.ndarray, sizes: list[int]):
     """Windows of the documents that the filter lets through, each once for a document."""
-    mask = np.uint64(len(bits) * 64 - 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in columns_of(batches, "doc_key", "text"):
             for key, raw in zip(keys, texts, strict=True):
                 words, found = words_of(raw), []
                 for size in sizes:
                     h = np.unique(_windows(words, size))
-                    at = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8) & mask
-                    found.append(h[(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1])
+                    found.append(h[may_hold(bits, h)])
                 h = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 if len(h):
                     yield pa.RecordBatch.from_arrays([pa.array([key] * len(h)), pa.array(h.view(np.int64))], names=["doc_key", "hit"])
@@ -204,20 +199,6 @@ def _hits(bits: np.ndarray, sizes: list[int]):
     return run
 
 
-def _filter_of(seeds: DataFrame, n_bits: int) -> np.ndarray:
-    """The bits of all seeds; at most one row for 64 of them is collected."""
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            at = np.unique((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8) & np.uint64(n_bits - 1))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
-
-    found = seeds.select("seed").mapInArrow(places, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(n_bits // 64, np.uint64)
-    bits[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
-    return bits
-
-
 def _tiled(seed_words: int, covered: float):
     """Leaks of pairs (doc_id, item_id, text, item_text, doc_key)."""
 
@@ -240,7 +221,7 @@ def _joined(docs: DataFrame, items: DataFrame, seed_words: int, covered: float)
     seeds = staged(tests.dropDuplicates(["item_key"]).select("item_key", "text").mapInArrow(_seeds(seed_words, covered), "seed bigint, size int, item_key string, covers bigint, need double"), "tiling-seeds")
     sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())
     rows = docs.select("doc_id", text_bytes(), _row_key("doc_id").alias("doc_key"))
-    hits = rows.select("doc_key", "text").mapInArrow(_hits(_filter_of(seeds, FILTER_BITS), sizes), "doc_key string, hit bigint").distinct()
+    hits = rows.select("doc_key", "text").mapInArrow(_hits(filter_of(seeds.select("seed"), FILTER_BITS), sizes), "doc_key string, hit bigint").distinct()
     met = hits.join(seeds, F.col("hit") == F.col("seed")).groupBy("doc_key", "item_key").agg(F.sum("covers").alias("covers"), F.first("need").alias("need"))
     pairs = staged(met.where("covers >= need").select(F.col("doc_key").alias("in_doc"), F.col("item_key").alias("in_item")), "tiling-pairs")
     with_text = rows.join(pairs, F.col("doc_key") == F.col("in_doc")).join(tests.select("item_id", F.col("text").alias("item_text"), "item_key"), F.col("in_item") == F.col("item_key"))
