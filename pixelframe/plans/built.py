@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..formats import formats_table
-from ..functions import naming
+from ..functions import detect, naming
 from ..functions.exif import metadata
+from ..functions.tables import register_all
 from ..raster import Decoded, Frame, mirror, rotate
 from ..registry import Options, capabilities, default_registry
 from ..sources import images as sources
@@ -54,12 +55,16 @@ def _files(rows: DataFrame, *parts: Column) -> DataFrame:
     return rows.select("image_id", F.unhex(F.concat(*parts)).alias("content"))
 
 
-@_query("q_built_psd", f" SELECT image_id, {CHECK} FROM px GROUP BY image_id")
-def q_built_psd(spark: SparkSession, d: str) -> DataFrame:
+def _psd(spark: SparkSession, d: str) -> DataFrame:
     """A flat document of three planes."""
     rows = _hexed(text_pixels(_docs(spark, d)), {c: (_place(), c) for c in "rgb"})
     head = F.lit(b"8BPS".hex() + "0001" + "00" * 6 + "0003" + f"{HEIGHT:08x}{WIDTH:08x}" + "0008" + "0003" + "00000000" * 3 + "0000")
-    return _read_back(_files(rows, head, "r", "g", "b"))
+    return _files(rows, head, "r", "g", "b")
+
+
+@_query("q_built_psd", f" SELECT image_id, {CHECK} FROM px GROUP BY image_id")
+def q_built_psd(spark: SparkSession, d: str) -> DataFrame:
+    return _read_back(_psd(spark, d))
 
 
 @_query("q_built_dds", f" SELECT image_id, {CHECK} FROM pa GROUP BY image_id")
@@ -70,18 +75,21 @@ def q_built_dds(spark: SparkSession, d: str) -> DataFrame:
     return _read_back(_files(rows, F.lit(b"DDS ".hex()), *(little(n, 4) for n in numbers), "body"))
 
 
-@_query("q_built_ico", f" SELECT image_id, {CHECK} FROM pa GROUP BY image_id")
-def q_built_ico(spark: SparkSession, d: str) -> DataFrame:
+def _ico(spark: SparkSession, d: str) -> DataFrame:
     """An icon of one bitmap, its rows from the bottom up, with a mask after it."""
     rows = _hexed(text_pixels(_docs(spark, d), alpha=True), {"body": ((HEIGHT - 1 - F.col("y")) * WIDTH + F.col("x"), "bgra")})
     size = 40 + WIDTH * HEIGHT * 4 + HEIGHT * 4
     head = [little(0, 2), little(1, 2), little(1, 2), F.lit(f"{WIDTH:02x}{HEIGHT:02x}0000"), little(1, 2), little(32, 2), little(size, 4), little(22, 4)]
     dib = [little(40, 4), little(WIDTH, 4), little(2 * HEIGHT, 4), little(1, 2), little(32, 2), *(little(0, 4) for _ in range(6))]
-    return _read_back(_files(rows, *head, *dib, "body", F.lit("00000000" * HEIGHT)))
+    return _files(rows, *head, *dib, "body", F.lit("00000000" * HEIGHT))
 
 
-@_query("q_built_tiff", f" SELECT image_id, {CHECK} FROM px GROUP BY image_id")
-def q_built_tiff(spark: SparkSession, d: str) -> DataFrame:
+@_query("q_built_ico", f" SELECT image_id, {CHECK} FROM pa GROUP BY image_id")
+def q_built_ico(spark: SparkSession, d: str) -> DataFrame:
+    return _read_back(_ico(spark, d))
+
+
+def _tiff(spark: SparkSession, d: str) -> DataFrame:
     """Big-endian, its rows in two strips without compression."""
     rows = _hexed(text_pixels(_docs(spark, d)), {"body": (_place(), "rgb")})
     strip = WIDTH * 3 * HEIGHT // 2
@@ -89,11 +97,15 @@ def q_built_tiff(spark: SparkSession, d: str) -> DataFrame:
     bits, offsets, sizes = begin, begin + 6, begin + 14
     fields = [(256, 3, 1, WIDTH << 16), (257, 3, 1, HEIGHT << 16), (258, 3, 3, bits), (259, 3, 1, 1 << 16), (262, 3, 1, 2 << 16), (273, 4, 2, offsets), (277, 3, 1, 3 << 16), (278, 3, 1, HEIGHT // 2 << 16), (279, 4, 2, sizes), (284, 3, 1, 1 << 16)]
     head = F.lit("4d4d002a00000008" + f"{len(fields):04x}" + "".join(f"{t:04x}{k:04x}{n:08x}{v:08x}" for t, k, n, v in fields) + "00000000" + "0008" * 3 + f"{begin + 22:08x}{begin + 22 + strip:08x}" + f"{strip:08x}" * 2)
-    return _read_back(_files(rows, head, "body"))
+    return _files(rows, head, "body")
 
 
-@_query("q_built_png16", f" SELECT image_id, {CHECK} FROM pa GROUP BY image_id")
-def q_built_png16(spark: SparkSession, d: str) -> DataFrame:
+@_query("q_built_tiff", f" SELECT image_id, {CHECK} FROM px GROUP BY image_id")
+def q_built_tiff(spark: SparkSession, d: str) -> DataFrame:
+    return _read_back(_tiff(spark, d))
+
+
+def _png16(spark: SparkSession, d: str) -> DataFrame:
     """Sixteen bits a channel in a stored deflate block; both checksums are computed from the bytes."""
     rows = _hexed(text_pixels(_docs(spark, d), alpha=True), {"body": (_place(), "rgba")}, wide=True)
     line = WIDTH * 16
@@ -109,7 +121,12 @@ def q_built_png16(spark: SparkSession, d: str) -> DataFrame:
         return F.concat(big(size, 4), F.lit(kind.hex()), body, big(F.crc32(F.unhex(F.concat(F.lit(kind.hex()), body))), 4))
 
     head = chunk(b"IHDR", F.lit(f"{WIDTH:08x}{HEIGHT:08x}1006000000"), 13)
-    return _read_back(_files(rows, F.lit("89504e470d0a1a0a"), head, chunk(b"IDAT", packed, n + 11), chunk(b"IEND", F.lit(""), 0)))
+    return _files(rows, F.lit("89504e470d0a1a0a"), head, chunk(b"IDAT", packed, n + 11), chunk(b"IEND", F.lit(""), 0))
+
+
+@_query("q_built_png16", f" SELECT image_id, {CHECK} FROM pa GROUP BY image_id")
+def q_built_png16(spark: SparkSession, d: str) -> DataFrame:
+    return _read_back(_png16(spark, d))
 
 
 # ---------------------------------------------------------------- JPEG
@@ -311,3 +328,42 @@ def q_frames_first(spark: SparkSession, d: str) -> DataFrame:
         part = r.select("image_id", (F.col("report.frames") + F.col("report.frames_truncated")).alias("frames"), F.lit(wanted).alias("wanted"), F.lit(target).alias("target"), kept.alias("kept"), F.col("report.frames_truncated").alias("truncated"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# ---------------------------------------------------------------- what is inside
+
+
+def _inside(spark: SparkSession, files: DataFrame, table_function: str) -> DataFrame:
+    """The rows of a table function for every file."""
+    register_all(spark)
+    return spark.sql(f"SELECT image_id, t.* FROM {{files}}, LATERAL {table_function}(content) t", files=files)
+
+
+_IDS = "(SELECT doc_id AS image_id FROM documents WHERE octet_length(encode(text)) > 0)"
+
+
+@_query("q_png_chunks", f"SELECT image_id, unnest([0, 1, 2])::INT AS number, unnest(['IHDR', 'IDAT', 'IEND']) AS type, unnest([13, 1559, 0])::BIGINT AS size FROM {_IDS}", plain=True)
+def q_png_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _inside(spark, _png16(spark, d), "png_chunks")
+
+
+@_query("q_ico_entries", f"SELECT image_id, 16 AS width, 12 AS height, 32 AS bits, 22::BIGINT AS \"offset\", 856::BIGINT AS size, FALSE AS is_png FROM {_IDS}", plain=True)
+def q_ico_entries(spark: SparkSession, d: str) -> DataFrame:
+    return _inside(spark, _ico(spark, d), "ico_entries")
+
+
+@_query("q_tiff_tags", f"SELECT image_id, 0 AS directory, unnest([256, 257, 258, 259, 262, 273, 277, 278, 279, 284])::INT AS tag, unnest([3, 3, 3, 3, 3, 4, 3, 3, 4, 3])::INT AS kind, unnest([1, 1, 3, 1, 1, 2, 1, 1, 2, 1])::BIGINT AS count FROM {_IDS}", plain=True)
+def q_tiff_tags(spark: SparkSession, d: str) -> DataFrame:
+    return _inside(spark, _tiff(spark, d), "tiff_tags")
+
+
+@_query("q_measure_built", f"SELECT image_id, kind, 16 AS width, 12 AS height FROM {_IDS}, (SELECT unnest(['png', 'psd']) AS kind)", plain=True)
+def q_measure_built(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes by the column expressions, from headers that no writer of ours made."""
+    out = None
+    for kind, files in (("png", _png16(spark, d)), ("psd", _psd(spark, d))):
+        found = files.select("image_id", detect.format_of(F.col("content")).alias("kind"), "content")
+        size = detect.measure(F.col("content"), F.col("kind"))
+        part = found.select("image_id", "kind", size["width"].cast("int").alias("width"), size["height"].cast("int").alias("height"))
+        out = part if out is None else out.unionByName(part)
+    return out
