@@ -99,7 +99,7 @@ BANDS: dict[str, dict[str, Band]] = {
 }
 #: A language or script has a band of its own from so many trusted documents on. It is as wide as so many distances of the
 #: quartiles, and a distance counts as this share of the median at least; the byte share may always be the last number.
-LEAST_TRUSTED, WIDTH, LEAST_SPREAD, FREE_SHARE = 30, 5.0, 0.02, 0.05
+LEAST_TRUSTED, WIDTH, LEAST_SPREAD, FREE_SHARE = 30, 8.0, 0.02, 0.05
 
 _MEASURED = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
