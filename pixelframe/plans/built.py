@@ -35,12 +35,19 @@ def big(value: Column | int, n: int) -> Column:
     return F.lit(value.to_bytes(n, "big").hex()) if isinstance(value, int) else F.lpad(F.hex(value), 2 * n, "0")
 
 
-def _hexed(pixels: DataFrame, orders: dict[str, tuple[Column, str]], wide: bool = False) -> DataFrame:
-    """(image_id, one column for each of ``orders``): the channels' bytes as hex, in the order of a column."""
-    two = lambda c: F.lpad(F.hex(c), 2, "0")
-    byte = lambda c: F.concat(two(c), two(c)) if wide else two(c)
-    parts = [F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at.alias("at"), F.concat(*(byte(c) for c in channels)).alias("h")))), lambda v: v["h"]), "").alias(name) for name, (at, channels) in orders.items()]
-    return pixels.groupBy("image_id").agg(*parts)
+def _hexed(pixels: DataFrame, at: Column, orders: dict[str, str], wide: bool = False, more: tuple[Column, ...] = ()) -> DataFrame:
+    """(image_id, one column for each of ``orders``, ``more``): the channels' bytes as hex, in the order of ``at``; ``more`` are aggregates."""
+    digits = 4 if wide else 2
+
+    def hexed(channels: str) -> Column:
+        value = F.lit(0).cast("long")
+        for c in channels:
+            value = F.shiftleft(value, 4 * digits).bitwiseOR(F.col(c).cast("long") * (257 if wide else 1))
+        return F.lpad(F.hex(value), digits * len(channels), "0")
+
+    listed = F.sort_array(F.collect_list(F.struct(at.alias("at"), *(hexed(channels).alias(name) for name, channels in orders.items()))))
+    rows = pixels.groupBy("image_id").agg(listed.alias("listed"), *more)
+    return rows.select("image_id", *(F.array_join(F.col(f"listed.{name}"), "").alias(name) for name in orders), *(c for c in rows.columns if c not in ("image_id", "listed")))
 
 
 def _place() -> Column:
@@ -57,7 +64,7 @@ def _files(rows: DataFrame, *parts: Column) -> DataFrame:
 
 def _psd(spark: SparkSession, d: str) -> DataFrame:
     """A flat document of three planes."""
-    rows = _hexed(text_pixels(_docs(spark, d)), {c: (_place(), c) for c in "rgb"})
+    rows = _hexed(text_pixels(_docs(spark, d)), _place(), {c: c for c in "rgb"})
     head = F.lit(b"8BPS".hex() + "0001" + "00" * 6 + "0003" + f"{HEIGHT:08x}{WIDTH:08x}" + "0008" + "0003" + "00000000" * 3 + "0000")
     return _files(rows, head, "r", "g", "b")
 
@@ -70,14 +77,14 @@ def q_built_psd(spark: SparkSession, d: str) -> DataFrame:
 @_query("q_built_dds", f" SELECT image_id, {CHECK} FROM pa GROUP BY image_id")
 def q_built_dds(spark: SparkSession, d: str) -> DataFrame:
     """A surface of 32 bits a pixel with masks."""
-    rows = _hexed(text_pixels(_docs(spark, d), alpha=True), {"body": (_place(), "bgra")})
+    rows = _hexed(text_pixels(_docs(spark, d), alpha=True), _place(), {"body": "bgra"})
     numbers = (124, 0x100F, HEIGHT, WIDTH, WIDTH * 4, 0, 0, *(0,) * 11, 32, 0x41, 0, 32, 0xFF0000, 0xFF00, 0xFF, 0xFF000000, 0x1000, 0, 0, 0, 0)
     return _read_back(_files(rows, F.lit(b"DDS ".hex()), *(little(n, 4) for n in numbers), "body"))
 
 
 def _ico(spark: SparkSession, d: str) -> DataFrame:
     """An icon of one bitmap, its rows from the bottom up, with a mask after it."""
-    rows = _hexed(text_pixels(_docs(spark, d), alpha=True), {"body": ((HEIGHT - 1 - F.col("y")) * WIDTH + F.col("x"), "bgra")})
+    rows = _hexed(text_pixels(_docs(spark, d), alpha=True), (HEIGHT - 1 - F.col("y")) * WIDTH + F.col("x"), {"body": "bgra"})
     size = 40 + WIDTH * HEIGHT * 4 + HEIGHT * 4
     head = [little(0, 2), little(1, 2), little(1, 2), F.lit(f"{WIDTH:02x}{HEIGHT:02x}0000"), little(1, 2), little(32, 2), little(size, 4), little(22, 4)]
     dib = [little(40, 4), little(WIDTH, 4), little(2 * HEIGHT, 4), little(1, 2), little(32, 2), *(little(0, 4) for _ in range(6))]
@@ -91,7 +98,7 @@ def q_built_ico(spark: SparkSession, d: str) -> DataFrame:
 
 def _tiff(spark: SparkSession, d: str) -> DataFrame:
     """Big-endian, its rows in two strips without compression."""
-    rows = _hexed(text_pixels(_docs(spark, d)), {"body": (_place(), "rgb")})
+    rows = _hexed(text_pixels(_docs(spark, d)), _place(), {"body": "rgb"})
     strip = WIDTH * 3 * HEIGHT // 2
     begin = 8 + 2 + 10 * 12 + 4
     bits, offsets, sizes = begin, begin + 6, begin + 14
@@ -107,21 +114,21 @@ def q_built_tiff(spark: SparkSession, d: str) -> DataFrame:
 
 def _png16(spark: SparkSession, d: str) -> DataFrame:
     """Sixteen bits a channel in a stored deflate block; both checksums are computed from the bytes."""
-    rows = _hexed(text_pixels(_docs(spark, d), alpha=True), {"body": (_place(), "rgba")}, wide=True)
-    line = WIDTH * 16
+    line, n = WIDTH * 16, HEIGHT * (1 + WIDTH * 8)
+    # Adler-32 in closed form: byte i of n is in the first sum once and in the second n - i times; a channel has two equal bytes, filter bytes are 0.
+    left = n - (F.col("y") * (1 + WIDTH * 8) + 1 + F.col("x") * 8)
+    sums = F.sum(2 * (F.col("r") + F.col("g") + F.col("b") + F.col("a"))).alias("once"), F.sum(sum((F.col(c) * (2 * (left - 2 * k) - 1) for k, c in enumerate("rgba")), F.lit(0))).alias("often")
+    rows = _hexed(text_pixels(_docs(spark, d), alpha=True), _place(), {"body": "rgba"}, wide=True, more=sums)
     lines = F.concat(*(F.concat(F.lit("00"), F.substring("body", k * line + 1, line)) for k in range(HEIGHT)))
-    rows = rows.select("image_id", lines.alias("raw"))
-    n = HEIGHT * (1 + WIDTH * 8)
-    octets = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.conv(F.substring(F.col("raw"), 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
-    one = F.lit(1).cast("long")
-    adler = F.aggregate(octets, F.struct(one.alias("a"), F.lit(0).cast("long").alias("b")), lambda s, v: F.struct(((s["a"] + v) % 65521).alias("a"), ((s["b"] + s["a"] + v) % 65521).alias("b")), lambda s: s["b"] * 65536 + s["a"])
-    packed = F.concat(F.lit("780101"), little(n, 2), little(65535 - n, 2), "raw", big(adler, 4))
+    adler = F.pmod(n + F.col("often"), F.lit(65521)) * 65536 + F.pmod(1 + F.col("once"), F.lit(65521))
+    packed = F.concat(F.lit("780101"), little(n, 2), little(65535 - n, 2), lines, big(adler, 4))
+    rows = rows.select("image_id", packed.alias("packed"))
 
     def chunk(kind: bytes, body: Column, size: int) -> Column:
         return F.concat(big(size, 4), F.lit(kind.hex()), body, big(F.crc32(F.unhex(F.concat(F.lit(kind.hex()), body))), 4))
 
     head = chunk(b"IHDR", F.lit(f"{WIDTH:08x}{HEIGHT:08x}1006000000"), 13)
-    return _files(rows, F.lit("89504e470d0a1a0a"), head, chunk(b"IDAT", packed, n + 11), chunk(b"IEND", F.lit(""), 0))
+    return _files(rows, F.lit("89504e470d0a1a0a"), head, chunk(b"IDAT", F.col("packed"), n + 11), chunk(b"IEND", F.lit(""), 0))
 
 
 @_query("q_built_png16", f" SELECT image_id, {CHECK} FROM pa GROUP BY image_id")

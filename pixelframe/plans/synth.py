@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WIDTH, HEIGHT = 16, 12
 #: Samples that a text is folded into: three channels of every pixel.
@@ -16,15 +17,32 @@ def folded(texts: DataFrame, samples: int) -> DataFrame:
     Sample j is the sum, modulo 256, of the bytes j, j + samples, j + 2 * samples and so on, counted round and round until
     all bytes are in one. Texts must not be empty.
     """
-    octets = F.transform(F.split(F.decode(F.col("text").cast("binary"), "ISO-8859-1"), ""), F.ascii)
-    # Exploding an array of one keeps the optimiser from computing the bytes anew for every sample.
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
     rest = [c for c in texts.columns if c != "text"]
-    rows = texts.select(*rest, F.explode(F.array(octets)).alias("octets"))
-    n = F.size("octets")
-    rounds = F.sequence(F.lit(0), F.ceil(n / samples).cast("int") - 1)
-    byte = lambda at: F.element_at("octets", F.pmod(at, n) + 1)
-    sums = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda j: F.aggregate(rounds, F.lit(0), lambda s, i: s + byte(j + i * samples)).bitwiseAND(F.lit(255)))
-    return rows.select(*rest, F.explode(F.array(sums)).alias("samples"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = np.empty((batch.num_rows, samples), np.uint8)
+            for i, raw in enumerate(batch.column("text")):
+                sums[i] = _sums(np.frombuffer(raw.as_buffer(), np.uint8), samples)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * samples)
+            columns = [batch.column(c) for c in rest]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(sums.ravel().astype(np.int32)))], names=[*rest, "samples"])
+
+    schema = T.StructType([*(texts.schema[c] for c in rest), T.StructField("samples", T.ArrayType(T.IntegerType()))])
+    return texts.select(*rest, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+
+
+def _sums(octets, samples: int):
+    """The numbers of :func:`folded` for one text's bytes."""
+    import numpy as np
+
+    whole = np.resize(octets, -(-len(octets) // samples) * samples)  # round and round
+    return whole.reshape(-1, samples).sum(axis=0, dtype=np.uint8)
 
 
 def text_pixels(docs: DataFrame, alpha: bool = False, few: bool = False) -> DataFrame:
@@ -84,9 +102,7 @@ def images(docs: DataFrame, alpha: bool = False, few: bool = False) -> DataFrame
         for batch in batches:
             made = []
             for raw in batch.column(1):
-                b = np.frombuffer(raw.as_py(), np.uint8)
-                whole = np.resize(b, -(-len(b) // SAMPLES) * SAMPLES)  # round and round
-                s = whole.reshape(-1, SAMPLES).sum(axis=0, dtype=np.uint8)
+                s = _sums(np.frombuffer(raw.as_py(), np.uint8), SAMPLES)
                 data = np.empty((WIDTH * HEIGHT, 4), np.uint8)
                 data[:, :3] = s.reshape(-1, 3) & (0xC0 if few else 0xFF)
                 data[:, 3] = 255 - (s[(7 * p) % SAMPLES] & 0xC0) if alpha else 255
