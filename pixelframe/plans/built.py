@@ -35,17 +35,17 @@ def big(value: Column | int, n: int) -> Column:
     return F.lit(value.to_bytes(n, "big").hex()) if isinstance(value, int) else F.lpad(F.hex(value), 2 * n, "0")
 
 
-def _hexed(pixels: DataFrame, at: Column, orders: dict[str, str], wide: bool = False, more: tuple[Column, ...] = ()) -> DataFrame:
-    """(image_id, one column for each of ``orders``, ``more``): the channels' bytes as hex, in the order of ``at``; ``more`` are aggregates."""
-    digits = 4 if wide else 2
+def _hexed(pixels: DataFrame, at: Column, orders: dict[str, str], wide: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
+    """(image_id, one column for each of ``orders``, ``more``): the channels' bytes as hex, twice for ``wide``, in the order of ``at``; ``more`` are aggregates."""
 
-    def hexed(channels: str) -> Column:
+    def hexed(name: str, channels: str) -> Column:
+        digits, times = (4, 257) if name in wide else (2, 1)
         value = F.lit(0).cast("long")
         for c in channels:
-            value = F.shiftleft(value, 4 * digits).bitwiseOR(F.col(c).cast("long") * (257 if wide else 1))
+            value = F.shiftleft(value, 4 * digits).bitwiseOR(F.col(c).cast("long") * times)
         return F.lpad(F.hex(value), digits * len(channels), "0")
 
-    listed = F.sort_array(F.collect_list(F.struct(at.alias("at"), *(hexed(channels).alias(name) for name, channels in orders.items()))))
+    listed = F.sort_array(F.collect_list(F.struct(at.alias("at"), *(hexed(name, channels).alias(name) for name, channels in orders.items()))))
     rows = pixels.groupBy("image_id").agg(listed.alias("listed"), *more)
     return rows.select("image_id", *(F.array_join(F.col(f"listed.{name}"), "").alias(name) for name in orders), *(c for c in rows.columns if c not in ("image_id", "listed")))
 
@@ -62,11 +62,17 @@ def _files(rows: DataFrame, *parts: Column) -> DataFrame:
     return rows.select("image_id", F.unhex(F.concat(*parts)).alias("content"))
 
 
+_PLANES = {c: c for c in "rgb"}
+
+
 def _psd(spark: SparkSession, d: str) -> DataFrame:
     """A flat document of three planes."""
-    rows = _hexed(text_pixels(_docs(spark, d)), _place(), {c: c for c in "rgb"})
+    return _files(_hexed(text_pixels(_docs(spark, d)), _place(), _PLANES), *_psd_parts())
+
+
+def _psd_parts() -> tuple[Column | str, ...]:
     head = F.lit(b"8BPS".hex() + "0001" + "00" * 6 + "0003" + f"{HEIGHT:08x}{WIDTH:08x}" + "0008" + "0003" + "00000000" * 3 + "0000")
-    return _files(rows, head, "r", "g", "b")
+    return head, "r", "g", "b"
 
 
 @_query("q_built_psd", f" SELECT image_id, {CHECK} FROM px GROUP BY image_id")
@@ -114,21 +120,36 @@ def q_built_tiff(spark: SparkSession, d: str) -> DataFrame:
 
 def _png16(spark: SparkSession, d: str) -> DataFrame:
     """Sixteen bits a channel in a stored deflate block; both checksums are computed from the bytes."""
-    line, n = WIDTH * 16, HEIGHT * (1 + WIDTH * 8)
-    # Adler-32 in closed form: byte i of n is in the first sum once and in the second n - i times; a channel has two equal bytes, filter bytes are 0.
-    left = n - (F.col("y") * (1 + WIDTH * 8) + 1 + F.col("x") * 8)
-    sums = F.sum(2 * (F.col("r") + F.col("g") + F.col("b") + F.col("a"))).alias("once"), F.sum(sum((F.col(c) * (2 * (left - 2 * k) - 1) for k, c in enumerate("rgba")), F.lit(0))).alias("often")
-    rows = _hexed(text_pixels(_docs(spark, d), alpha=True), _place(), {"body": "rgba"}, wide=True, more=sums)
-    lines = F.concat(*(F.concat(F.lit("00"), F.substring("body", k * line + 1, line)) for k in range(HEIGHT)))
+    rows = _hexed(text_pixels(_docs(spark, d), alpha=True), _place(), {"body": "rgba"}, wide=("body",), more=_adler_sums())
+    return _files(rows.select("image_id", _png16_packed().alias("packed")), *_png16_parts())
+
+
+_PNG16_SIZE = HEIGHT * (1 + WIDTH * 8)
+
+
+def _adler_sums() -> tuple[Column, Column]:
+    """Adler-32 in closed form: byte i of n is in the first sum once and in the second n - i times; a channel has two equal bytes, filter bytes are 0."""
+    left = _PNG16_SIZE - (F.col("y") * (1 + WIDTH * 8) + 1 + F.col("x") * 8)
+    once = F.sum(2 * (F.col("r") + F.col("g") + F.col("b") + F.col("a")))
+    often = F.sum(sum((F.col(c) * (2 * (left - 2 * k) - 1) for k, c in enumerate("rgba")), F.lit(0)))
+    return once.alias("once"), often.alias("often")
+
+
+def _png16_packed() -> Column:
+    line, n = WIDTH * 16, _PNG16_SIZE
+    lines = (F.concat(F.lit("00"), F.substring("body", k * line + 1, line)) for k in range(HEIGHT))
     adler = F.pmod(n + F.col("often"), F.lit(65521)) * 65536 + F.pmod(1 + F.col("once"), F.lit(65521))
-    packed = F.concat(F.lit("780101"), little(n, 2), little(65535 - n, 2), lines, big(adler, 4))
-    rows = rows.select("image_id", packed.alias("packed"))
+    return F.concat(F.lit("780101"), little(n, 2), little(65535 - n, 2), *lines, big(adler, 4))
+
+
+def _png16_parts() -> tuple[Column, ...]:
+    """The chunks around the column packed, which is computed before as it is in a checksum too."""
 
     def chunk(kind: bytes, body: Column, size: int) -> Column:
         return F.concat(big(size, 4), F.lit(kind.hex()), body, big(F.crc32(F.unhex(F.concat(F.lit(kind.hex()), body))), 4))
 
     head = chunk(b"IHDR", F.lit(f"{WIDTH:08x}{HEIGHT:08x}1006000000"), 13)
-    return _files(rows, F.lit("89504e470d0a1a0a"), head, chunk(b"IDAT", F.col("packed"), n + 11), chunk(b"IEND", F.lit(""), 0))
+    return F.lit("89504e470d0a1a0a"), head, chunk(b"IDAT", F.col("packed"), _PNG16_SIZE + 11), chunk(b"IEND", F.lit(""), 0)
 
 
 @_query("q_built_png16", f" SELECT image_id, {CHECK} FROM pa GROUP BY image_id")
@@ -366,11 +387,10 @@ def q_tiff_tags(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("q_measure_built", f"SELECT image_id, kind, 16 AS width, 12 AS height FROM {_IDS}, (SELECT unnest(['png', 'psd']) AS kind)", plain=True)
 def q_measure_built(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes by the column expressions, from headers that no writer of ours made."""
-    out = None
-    for kind, files in (("png", _png16(spark, d)), ("psd", _psd(spark, d))):
-        found = files.select("image_id", detect.format_of(F.col("content")).alias("kind"), "content")
-        size = detect.measure(F.col("content"), F.col("kind"))
-        part = found.select("image_id", "kind", size["width"].cast("int").alias("width"), size["height"].cast("int").alias("height"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Sizes by the column expressions, from headers that no writer of ours made; both files of an image are made in one pass."""
+    rows = _hexed(text_pixels(_docs(spark, d), alpha=True), _place(), {"body": "rgba"} | _PLANES, wide=("body",), more=_adler_sums())
+    rows = rows.select("image_id", _png16_packed().alias("packed"), *_PLANES)
+    both = rows.select("image_id", F.explode(F.array(*(F.unhex(F.concat(*parts)) for parts in (_png16_parts(), _psd_parts())))).alias("content"))
+    found = both.select("image_id", detect.format_of(F.col("content")).alias("kind"), "content")
+    size = detect.measure(F.col("content"), F.col("kind"))
+    return found.select("image_id", "kind", size["width"].cast("int").alias("width"), size["height"].cast("int").alias("height"))

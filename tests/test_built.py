@@ -44,3 +44,9 @@ def test_png16_has_the_bytes_of_the_pixels_and_no_step_for_every_byte(spark):
         chunk = lambda k, b: len(b).to_bytes(4, "big") + k + b + zlib.crc32(k + b).to_bytes(4, "big")
         head = (16).to_bytes(4, "big") + (12).to_bytes(4, "big") + bytes((16, 6, 0, 0, 0))
         assert got[key] == b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+
+@needs_data
+def test_measure_built_makes_the_pixels_once(spark):
+    plan = planned(built.q_measure_built(spark, str(SF)))
+    assert plan.count("Relation [") == plan.count("collect_list(") == plan.count("crc32(") == 1
