@@ -50,3 +50,10 @@ def test_png16_has_the_bytes_of_the_pixels_and_no_step_for_every_byte(spark):
 def test_measure_built_makes_the_pixels_once(spark):
     plan = planned(built.q_measure_built(spark, str(SF)))
     assert plan.count("Relation [") == plan.count("collect_list(") == plan.count("crc32(") == 1
+
+
+@needs_data
+def test_png_chunks_packs_and_sums_a_file_once(spark):
+    plan = planned(built.q_png_chunks(spark, str(SF)))
+    assert plan.count("collect_list(") == plan.count("crc32(") == 1
+    assert "aggregate(" not in plan
