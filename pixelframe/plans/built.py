@@ -17,7 +17,7 @@ from ..registry import Options, capabilities, default_registry
 from ..sources import images as sources
 from .convert import Settings, convert, convert_bytes
 from .queries import _checked, _docs, _query
-from .synth import HEIGHT, WIDTH, table, text_pixels
+from .synth import HEIGHT, SAMPLES, WIDTH, sums_of, table, text_pixels
 from .synth import images as synth_images
 
 CHECK = "16 AS width, 12 AS height, 192::BIGINT AS n, sum(((y * 16 + x + 1)::BIGINT * (r::BIGINT + 256 * g::BIGINT + 65536 * b::BIGINT + 16777216 * a::BIGINT)) % 1000003)::BIGINT AS checksum"
@@ -119,9 +119,40 @@ def q_built_tiff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _png16(spark: SparkSession, d: str) -> DataFrame:
-    """Sixteen bits a channel in a stored deflate block; both checksums are computed from the bytes."""
-    rows = _hexed(text_pixels(_docs(spark, d), alpha=True), _place(), {"body": "rgba"}, wide=("body",), more=_adler_sums())
-    return _files(rows.select("image_id", _png16_packed().alias("packed")), *_png16_parts())
+    """Sixteen bits a channel in a stored deflate block, a file for each document, whatever its id; both checksums are computed from the bytes."""
+    listed = F.sort_array(F.collect_list(F.struct("y", "line")))
+    files = _png16_lines(_docs(spark, d)).groupBy("image_id", "document").agg(listed.alias("listed"), F.sum("once").alias("once"), F.sum("often").alias("often"))
+    lines = F.hex(F.concat(*(F.col("listed")[k]["line"] for k in range(HEIGHT))))
+    return _files(files.select("image_id", _png16_packed(lines).alias("packed")), *_png16_parts())
+
+
+def _png16_lines(docs: DataFrame) -> DataFrame:
+    """The pixels with alpha by lines, as the file has them: a filter byte, then every channel's byte twice; and a line's part in both sums of Adler-32.
+
+    Byte i of n is in the first sum once and in the second n - i times. A line is one row, where the relation of pixels has sixteen.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        p = np.arange(WIDTH * HEIGHT)
+        times = _PNG16_SIZE - np.arange(_PNG16_SIZE, dtype=np.int32).reshape(HEIGHT, -1)
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            n = batch.num_rows
+            sums = sums_of(batch.column("text"), SAMPLES)
+            rgba = np.concatenate([sums.reshape(n, -1, 3), (255 - (sums[:, 7 * p % SAMPLES] & 0xC0))[..., None]], axis=2)
+            lines = np.zeros((n, HEIGHT, 1 + WIDTH * 8), np.uint8)
+            lines[..., 1:] = np.repeat(rgba.reshape(n, HEIGHT, -1), 2, axis=2)
+            ends = np.arange(n * HEIGHT + 1, dtype=np.int32) * lines.shape[2]
+            rows = pa.array(np.repeat(np.arange(n), HEIGHT))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("image_id").take(rows), batch.column("document").take(rows), pa.array(np.tile(np.arange(HEIGHT, dtype=np.int32), n)),
+                pa.Array.from_buffers(pa.binary(), n * HEIGHT, [None, pa.py_buffer(ends), pa.py_buffer(lines)]),
+                pa.array(lines.sum(axis=2, dtype=np.int64).ravel()), pa.array((lines * times).sum(axis=2, dtype=np.int64).ravel()),
+            ], names=["image_id", "document", "y", "line", "once", "often"])
+
+    texts = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").alias("image_id"), F.monotonically_increasing_id().alias("document"), F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(run, "image_id bigint, document bigint, y int, line binary, once bigint, often bigint")
 
 
 _PNG16_SIZE = HEIGHT * (1 + WIDTH * 8)
@@ -135,11 +166,11 @@ def _adler_sums() -> tuple[Column, Column]:
     return once.alias("once"), often.alias("often")
 
 
-def _png16_packed() -> Column:
-    line, n = WIDTH * 16, _PNG16_SIZE
-    lines = (F.concat(F.lit("00"), F.substring("body", k * line + 1, line)) for k in range(HEIGHT))
+def _png16_packed(lines: Column) -> Column:
+    """The stored block around the lines' hex."""
+    n = _PNG16_SIZE
     adler = F.pmod(n + F.col("often"), F.lit(65521)) * 65536 + F.pmod(1 + F.col("once"), F.lit(65521))
-    return F.concat(F.lit("780101"), little(n, 2), little(65535 - n, 2), *lines, big(adler, 4))
+    return F.concat(F.lit("780101"), little(n, 2), little(65535 - n, 2), lines, big(adler, 4))
 
 
 def _png16_parts() -> tuple[Column, ...]:
@@ -389,7 +420,9 @@ def q_tiff_tags(spark: SparkSession, d: str) -> DataFrame:
 def q_measure_built(spark: SparkSession, d: str) -> DataFrame:
     """Sizes by the column expressions, from headers that no writer of ours made; both files of an image are made in one pass."""
     rows = _hexed(text_pixels(_docs(spark, d), alpha=True), _place(), {"body": "rgba"} | _PLANES, wide=("body",), more=_adler_sums())
-    rows = rows.select("image_id", _png16_packed().alias("packed"), *_PLANES)
+    line = WIDTH * 16
+    lines = F.concat(*(F.concat(F.lit("00"), F.substring("body", k * line + 1, line)) for k in range(HEIGHT)))
+    rows = rows.select("image_id", _png16_packed(lines).alias("packed"), *_PLANES)
     both = rows.select("image_id", F.explode(F.array(*(F.unhex(F.concat(*parts)) for parts in (_png16_parts(), _psd_parts())))).alias("content"))
     found = both.select("image_id", detect.format_of(F.col("content")).alias("kind"), "content")
     size = detect.measure(F.col("content"), F.col("kind"))

@@ -26,9 +26,7 @@ def folded(texts: DataFrame, samples: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = np.empty((batch.num_rows, samples), np.uint8)
-            for i, raw in enumerate(batch.column("text")):
-                sums[i] = _sums(np.frombuffer(raw.as_buffer(), np.uint8), samples)
+            sums = sums_of(batch.column("text"), samples)
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * samples)
             columns = [batch.column(c) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(sums.ravel().astype(np.int32)))], names=[*rest, "samples"])
@@ -37,12 +35,26 @@ def folded(texts: DataFrame, samples: int) -> DataFrame:
     return texts.select(*rest, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def sums_of(texts, samples: int):
+    """The numbers of :func:`folded` for an Arrow array of texts' bytes, a row for each text."""
+    import numpy as np
+
+    sums = np.empty((len(texts), samples), np.uint8)
+    for i, raw in enumerate(texts):
+        sums[i] = _sums(np.frombuffer(raw.as_buffer(), np.uint8), samples)
+    return sums
+
+
 def _sums(octets, samples: int):
     """The numbers of :func:`folded` for one text's bytes."""
     import numpy as np
 
-    whole = np.resize(octets, -(-len(octets) // samples) * samples)  # round and round
-    return whole.reshape(-1, samples).sum(axis=0, dtype=np.uint8)
+    rest = len(octets) % samples
+    sums = octets[: len(octets) - rest].reshape(-1, samples).sum(axis=0, dtype=np.uint8)
+    if rest:
+        sums[:rest] += octets[len(octets) - rest :]
+        sums[rest:] += np.resize(octets[: samples - rest], samples - rest)  # round and round
+    return sums
 
 
 def text_pixels(docs: DataFrame, alpha: bool = False, few: bool = False) -> DataFrame:

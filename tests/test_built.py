@@ -2,10 +2,12 @@
 
 import zlib
 
+import duckdb
 import pytest
-from support import SF
+from support import SF, same
 
 from pixelframe.plans import built, synth
+from pixelframe.plans.queries import ORACLE_SQL
 
 needs_data = pytest.mark.skipif(not SF.exists(), reason="no test tables")
 
@@ -57,3 +59,18 @@ def test_png_chunks_packs_and_sums_a_file_once(spark):
     plan = planned(built.q_png_chunks(spark, str(SF)))
     assert plan.count("collect_list(") == plan.count("crc32(") == 1
     assert "aggregate(" not in plan
+
+
+@needs_data
+def test_png_chunks_has_no_row_for_every_pixel(spark):
+    plan = planned(built.q_png_chunks(spark, str(SF)))
+    assert "explode(" not in plan and "transform(" not in plan
+
+
+def test_png_chunks_of_every_document_whatever_its_id(spark, tmp_path):
+    texts = ["x", "é" * 700, "x", "", None, "y" * 5000, "z", "ab" * 288]
+    docs = spark.createDataFrame(list(zip([1, 1, 1, 1, 2, None, None, 3], texts, strict=True)), "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    same(built.q_png_chunks(spark, str(tmp_path)), con, ORACLE_SQL["q_png_chunks"])
